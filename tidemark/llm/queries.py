@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import contamination, packing, quality, token_files
+from tidemark.llm import contamination, licenses, near_dup, packing, quality, secret_scan, token_files, url_filter
 from tidemark.llm.subwords import tokenizer_path
 
 
@@ -18,10 +19,23 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).cast("int").alias("bad"))
+    return url_filter.judge(table(spark, sf_dir, "pages"), labels)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -31,8 +45,13 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("word_bpe_49k.json")
+    return secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.train(secret_scan.word_list(path)), path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontamination, op5_packing, op8_token_files, op9_quality)}
+    return {f.__name__: f for f in (op2_decontamination, op3_near_dup, op4_url_filter, op5_packing, op6_licenses, op8_token_files, op9_quality, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
