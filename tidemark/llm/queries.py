@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import contamination, licenses, near_dup, packing, quality, secret_scan, token_files, url_filter
+from tidemark.llm import contamination, language_model, licenses, near_dup, packing, quality, secret_scan, token_files, url_filter
 from tidemark.llm.subwords import tokenizer_path
 
 
@@ -36,6 +36,10 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -51,7 +55,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontamination, op3_near_dup, op4_url_filter, op5_packing, op6_licenses, op8_token_files, op9_quality, op10_secrets)}
+    return {f.__name__: f for f in (op2_decontamination, op3_near_dup, op4_url_filter, op5_packing, op6_licenses, op7_lm_score, op8_token_files, op9_quality, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
