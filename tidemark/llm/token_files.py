@@ -16,15 +16,17 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batches, shared_dir, texts
+from tidemark.llm.common import batches, shared_dir, stored, texts
 from tidemark.llm.subwords import subwords
 
 BLOCK = "part int, block long, first long, n_docs int, doc_ids binary, lengths binary, control binary, data binary"
+KINDS = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 4)
 DOCS = "doc_id long, part int, start long, n_tokens long, ids_crc32 long"
 
 #: For a control byte: the bytes each of its four tokens takes.
@@ -51,19 +53,18 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out.view("<u4").ravel()
 
 
-def id_counts(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> np.ndarray:
+def id_counts(raw: DataFrame, size: int) -> np.ndarray:
     """How often each id occurs in the corpus: sums per task, then over tasks; `size` numbers reach the driver."""
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, total = subwords(tokenizer), np.zeros(size, np.int64)
-        for b in batches(it):
-            ids, _ = tok.column(b.column("text"))
-            total += np.bincount(ids, minlength=size)
-            total[end_id] += b.num_rows
+        total = np.zeros(size, np.int64)
+        for b in it:
+            for x in b.column("data"):
+                total += np.bincount(np.frombuffer(x.as_buffer(), "<u4" if size > 65536 else "<u2"), minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
 
-    rows = texts(docs).mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = raw.select("data").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(size, np.int64)
     for r in rows:
         out[r["id"]] = r["n"]
@@ -74,9 +75,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> np.nda
     """Writes the files under `path`; returns the id of each rank, also kept in `path`/ranks."""
     spark = docs.sparkSession
     size = max(subwords(tokenizer).tok.get_vocab_size(with_added_tokens=True), end_id + 1)
-    by_rank = np.argsort(-id_counts(docs, tokenizer, end_id, size), kind="stable")
-    rank = np.empty(size, np.uint32)
-    rank[by_rank] = np.arange(size)
+    names, kind = [c.split()[0] for c in BLOCK.split(", ")], "<u4" if size > 65536 else "<u2"
 
     def blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, done, k = subwords(tokenizer), 0, 0
@@ -84,19 +83,29 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> np.nda
             ids, offs = tok.column(b.column("text"))
             full = np.insert(ids, offs[1:], end_id)
             n = np.diff(offs) + 1
-            control, data = encode_ranks(rank[full])
             doc = b.column("doc_id").cast(pa.int64())
             null = doc.is_null().to_numpy(zero_copy_only=False)
             doc = pc.fill_null(doc, 0).to_numpy(zero_copy_only=False)
             lengths = np.where(null, -n, n).astype("<i8")  # a length below zero: no document id
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((b.column("part")[0].as_py(), pa.int32()), (k, pa.int64()), (done, pa.int64()), (len(n), pa.int32()), (doc.astype("<i8").tobytes(), pa.binary()), (lengths.tobytes(), pa.binary()), (control, pa.binary()), (data, pa.binary()))], names=[c.split()[0] for c in BLOCK.split(", ")])
+            row = (b.column("part")[0].as_py(), k, done, len(n), doc.astype("<i8").tobytes(), lengths.tobytes(), b"", full.astype(kind).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, KINDS, strict=True)], names=names)
             done += int(n.sum())
             k += 1
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = texts(docs).repartitionByRange(parts, "doc_id", "text").sortWithinPartitions("doc_id", "text")
-    ordered.withColumn("part", F.spark_partition_id()).mapInArrow(blocks, BLOCK).write.parquet(f"{path}/blocks")
-    spark.createDataFrame([(r, int(i)) for r, i in enumerate(by_rank)], "rank int, id int").coalesce(1).write.parquet(f"{path}/ranks")
+    ordered = texts(docs).repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    raw = stored(ordered.withColumn("part", F.spark_partition_id()).mapInArrow(blocks, BLOCK), "token-ids")
+    by_rank = np.argsort(-id_counts(raw, size), kind="stable")
+    rank = np.empty(size, np.uint32)
+    rank[by_rank] = np.arange(size)
+
+    def code(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            got = [encode_ranks(rank[np.frombuffer(x.as_buffer(), kind)]) for x in b.column("data")]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.binary())], names=names)
+
+    raw.mapInArrow(code, BLOCK).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    spark.createDataFrame(pd.DataFrame({"rank": np.arange(size), "id": by_rank}), "rank int, id int").coalesce(1).write.parquet(f"{path}/ranks")
     return by_rank
 
 
