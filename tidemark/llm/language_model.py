@@ -2,8 +2,8 @@
 
 All training texts are counted: words by 64-bit hash, and subword ids by the hash bucket of the id before them. Ids
 are clustered into classes by these contexts. A one-layer attention model predicts the next class from the classes
-before it, an id follows from its class and the bucket before, and a word has the product over its ids; each word is
-a mixture of this and its unigram share. Weights start from a bounded sample on the driver; then every partition
+before it; an id follows from its class and the bucket before, and a word has the product over its ids. A word's
+probability mixes this with its unigram share, plain and within the predicted class of its first id. Weights start from a bounded sample on the driver; then every partition
 trains on windows of all its training texts and the results are averaged, weighted by windows.
 
 Texts are scored in blocks of BLOCK ids: a block's queries attend to itself (causally) and to the block before, so
@@ -25,14 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import LOWER, batches, hash64, stored, texts, utf8, word_array, word_hashes, word_spans
-from tidemark.llm.subwords import subwords
+from tidemark.llm.subwords import BLANK, subwords
 
 BLOCK, CLASSES, WIDTH, BUCKETS = 16, 32, 16, 64
 ROWS = 11  # a block of documents is 2**ROWS rows at most
 SLICES = 16
+COLUMNS = BUCKETS + 1  # of the context counts; the last: as the first id of a word
 SAMPLE = 1500  # documents the weights start from
-UNIGRAM = 0.5  # share of the unigram in a word's mixture
+MIXTURE = (0.1, 0.65, 0.25)  # of a word: its unigram share; that share within the class of its first id, times the class' probability; its ids
 SMOOTH = 30.0
+LN10 = np.log(10)
+MIX = np.log(MIXTURE)
 
 STATS = "kind int, key long, block long, a binary, b binary"
 COUNTS = "block long, hashes binary, counts binary, types long, tokens long"
@@ -204,7 +207,7 @@ def statistics(copy: DataFrame, path: str, buckets: int) -> DataFrame:
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = subwords(path)
         size = len(tok.bytes)
-        context = np.zeros((size, BUCKETS), np.uint32)
+        context = np.zeros((size, COLUMNS), np.uint32)
         at, have = None, []
 
         def rows(block, have):
@@ -233,8 +236,12 @@ def statistics(copy: DataFrame, path: str, buckets: int) -> DataFrame:
                 have.append((hashes, np.bincount(codes[keep], minlength=len(hashes)) if len(codes) else np.zeros(len(hashes))))
                 if learn.any():
                     take = utf8(one.column("text").filter(pa.array(learn)))
-                    ids, ends, _, _ = _ids(tok, LOWER[take[0]], take[1], size - 1)
-                    key = np.bincount(ids.astype(np.int64) * BUCKETS + _before(ids, ends, size - 1), minlength=1)
+                    own = LOWER[take[0]]
+                    ids, ends, chunks, before = _ids(tok, own, take[1], size - 1)
+                    opens = before[(BLANK[own[chunks]] | np.isin(chunks, take[1])) & (np.diff(np.append(before, len(ids))) > 0)]
+                    key = np.bincount(ids.astype(np.int64) * COLUMNS + _before(ids, ends, size - 1))
+                    more = np.bincount(ids[opens].astype(np.int64) * COLUMNS + BUCKETS, minlength=len(key))
+                    key = more + np.pad(key, (0, len(more) - len(key)))
                     where = np.flatnonzero(key)
                     context.reshape(-1)[where] += key[where].astype(np.uint32)
         if have:
@@ -268,7 +275,7 @@ def word_counts(stats: DataFrame) -> DataFrame:
 
 
 def contexts(stats: DataFrame, size: int) -> np.ndarray:
-    """Context counts of all ids: `size` x BUCKETS numbers reach the driver."""
+    """Context counts of all ids: `size` x COLUMNS numbers reach the driver."""
 
     def total(t: pa.Table) -> pa.Table:
         out = None
@@ -279,14 +286,17 @@ def contexts(stats: DataFrame, size: int) -> np.ndarray:
 
     rows = stats.filter("kind = 1").groupBy("key").applyInArrow(total, "key long, a binary").collect()
     flat = [np.frombuffer(r["a"], "<u4") for r in sorted(rows, key=lambda r: r["key"])]
-    return (np.concatenate(flat) if flat else np.zeros(size * BUCKETS, np.uint32)).reshape(size, BUCKETS).astype(np.float64)
+    return (np.concatenate(flat) if flat else np.zeros(size * COLUMNS, np.uint32)).reshape(size, COLUMNS).astype(np.float64)
 
 
 class Model:
     """All that scoring needs, but for the word counts."""
 
-    def __init__(self, path: str, context: np.ndarray):
+    def __init__(self, path: str, counts: np.ndarray):
+        context, opens = counts[:, :BUCKETS], counts[:, BUCKETS]
         self.path, self.of = path, cluster(context)
+        opens = np.bincount(self.of, opens + 1e-3, CLASSES)
+        self.opening = np.log(opens / opens.sum())  # of the class of a word's first id
         self.end = len(context) - 1
         total = context.sum(1)
         in_class = np.bincount(self.of, total + 0.5, CLASSES)
@@ -308,8 +318,8 @@ class Model:
         ids, ends, starts, before = _ids(tok, data, offs, self.end)
         return ids, ends, starts, before, self.of[ids]
 
-    def log_ids(self, net: Attention, ids: np.ndarray, ends: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """Natural log-probability of each id."""
+    def log_ids(self, net: Attention, ids: np.ndarray, ends: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Natural log-probability of each id, and of its class."""
         out = np.zeros(len(ids))
         x, first, y, place = windows(classes, ends)
         for lo in range(0, len(x), 1024):
@@ -319,7 +329,7 @@ class Model:
             out[place[lo : lo + 1024][t >= 0]] = got[t >= 0]
         b = _before(ids, ends, self.end)
         within = (self.context[ids, b] + SMOOTH * self.plain[ids]) / (self.sums[classes, b] + SMOOTH)
-        return out + np.log(within)
+        return out + np.log(within), out
 
 
 def train(copy: DataFrame, model: Model) -> None:
@@ -397,17 +407,19 @@ def score(docs: DataFrame, tokenizer: str, folds: int = 5, held: int = 1) -> Dat
                 base = np.diff(sums[words]) + last
                 seen = np.concatenate([[0], np.cumsum(c > 0)])
                 ids, ends, chunks, before, classes = m.sequences(tok, data, offs)
-                by_id = np.concatenate([[0], np.cumsum(m.log_ids(net, ids, ends, classes) / np.log(10))])
+                by_id, by_class = m.log_ids(net, ids, ends, classes)
+                by_id = np.concatenate([[0], np.cumsum(by_id)])
                 chunk = np.searchsorted(chunks, starts, side="right") - 1
                 row = np.repeat(np.arange(len(n)), n)
                 lead = np.append(True, (chunk[1:] != chunk[:-1]) | (row[1:] != row[:-1]))[: len(chunk)]
                 final = np.append(row[1:] != row[:-1], True)[: len(chunk)]
                 upto = np.where(final, (ends[1:] - 1)[row], np.append(before[chunk[1:]], 0)[: len(chunk)])
-                sub = by_id[upto] - by_id[before[chunk]]
-                mixed = np.where(lead & (upto > before[chunk]), np.logaddexp(np.log(UNIGRAM) + uni * np.log(10), np.log(1 - UNIGRAM) + sub * np.log(10)) / np.log(10), uni)
+                plain, at_first = uni * LN10, before[chunk]
+                mixed = np.logaddexp(np.logaddexp(plain + MIX[0], plain + by_class[at_first] - m.opening[classes[at_first]] + MIX[1]), by_id[upto] - by_id[at_first] + MIX[2])
+                mixed = np.where(lead & (upto > at_first), mixed, plain)  # a word without ids of its own
                 own = np.diff(np.concatenate([[0], np.cumsum(mixed)])[words])
-                end = by_id[ends[1:]] - by_id[ends[1:] - 1]
-                own += np.logaddexp(np.log(UNIGRAM) + last * np.log(10), np.log(1 - UNIGRAM) + end * np.log(10)) / np.log(10)
+                tail = by_id[ends[1:]] - by_id[ends[1:] - 1]
+                own = (own + np.logaddexp(last * LN10 + np.logaddexp(MIX[0], MIX[1]), tail + MIX[2])) / LN10
                 k = hi - lo
                 yield pa.RecordBatch.from_arrays([one.column("doc_id"), one.column("held"), pa.array(n + 1, pa.int64()), pa.array(np.diff(seen[words]) + (learned > 0), pa.int64()), pa.array([tokens] * k, pa.int64()), pa.array(base), pa.array(own)], names=_names(SCORES))
 
