@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import contamination, language_model, licenses, near_dup, packing, quality, secret_scan, token_files, url_filter
+from tidemark.llm import contamination, language_model, licenses, near_dup, packing, quality, secret_scan, suffix_dedup, token_files, url_filter
 from tidemark.llm.subwords import tokenizer_path
 
 
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -55,7 +59,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontamination, op3_near_dup, op4_url_filter, op5_packing, op6_licenses, op7_lm_score, op8_token_files, op9_quality, op10_secrets)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_near_dup, op4_url_filter, op5_packing, op6_licenses, op7_lm_score, op8_token_files, op9_quality, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
