@@ -211,3 +211,16 @@ def judge(docs: DataFrame, model: Trees, least_words: int = 50, most_repeated: i
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(counts[c].astype(np.int64)) for c in COUNTS), pa.array(failed), pa.array(score), pa.array(~failed & (score >= model.threshold))], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
     return texts(docs).mapInArrow(run, SCHEMA)
+
+
+def keep(docs: DataFrame, model: Trees, least_words: int = 50, most_repeated: int = 50) -> DataFrame:
+    """The documents that pass, with all their columns."""
+    texts(docs)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it):
+            counts, x = statistics(b.column(b.schema.get_field_index("text")))
+            failed = (counts["n_words"] < least_words) | (100 * counts["n_repeat_words"] > most_repeated * counts["n_words"])
+            yield b.filter(pa.array(~failed & (model.score(x) >= model.threshold)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -263,9 +263,11 @@ def interleave(transforms: list[np.ndarray], depth: int) -> np.ndarray:
     flat = np.concatenate(transforms)
     z = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
     symbol = np.empty_like(flat)
+    ends = np.repeat(np.arange(len(transforms), dtype=np.uint8), [int((t == 0).sum()) for t in transforms])
     for _ in range(depth):
         symbol[np.argsort(z, kind="stable")] = flat  # the rows of a shard keep their own order
         new = z[np.argsort(symbol, kind="stable")]
+        new[: len(ends)] = ends  # terminators are in order of their strings
         if np.array_equal(new, z):
             break
         z = new
