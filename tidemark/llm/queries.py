@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import contamination, language_model, licenses, near_dup, packing, quality, secret_scan, suffix_dedup, token_files, url_filter
+from tidemark.llm import contamination, language_model, licenses, near_dup, oracles, packing, quality, secret_scan, suffix_dedup, token_files, url_filter
 from tidemark.llm.subwords import tokenizer_path
 
 
@@ -63,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_decontamination": oracles.DECONTAMINATION, "op3_near_dup": oracles.NEAR_DUPLICATES}
