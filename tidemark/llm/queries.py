@@ -63,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": oracles.DECONTAMINATION, "op3_near_dup": oracles.NEAR_DUPLICATES}
+    return {"op2_decontamination": oracles.DECONTAMINATION, "op3_near_dup": oracles.NEAR_DUPLICATES, "op4_url_filter": oracles.url_filter()}
