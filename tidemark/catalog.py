@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import vectors as V
-from tidemark.operators import aggregate, explore, grouping, methods, stats
+from tidemark.operators import aggregate, explore, grouping, methods, report, stats
 from tidemark.plans import attention as A
 from tidemark.sources import sinks, tables
 
@@ -568,6 +568,45 @@ def gqa_join(spark, sf):
     return heads.join(vectors(spark, sf), F.col("head") == F.col("kv_head")).groupBy("layer", "q_head", "kv_head").agg(F.count("*").alias("n_keys"))
 
 
+# ---- plot data
+
+
+@query(f"WITH {_HEADS}, {_LONG}, q AS (SELECT metric, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3 FROM lng GROUP BY metric) SELECT metric, round(any_value(q1), 6) AS q1, round(any_value(median), 6) AS median, round(any_value(q3), 6) AS q3, round(min(value), 6) AS low, round(max(value), 6) AS high FROM lng JOIN q USING (metric) WHERE value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY metric")
+def box_plots(spark, sf):
+    return rounded(report.box(_long(spark, sf), ["metric"]), "q1", "median", "q3", "low", "high")
+
+
+@query(f"WITH {_HEADS}, {_LONG}, tk AS (SELECT unnest(['a', 'b']) AS task), al AS (SELECT task, layer, head, metric, value FROM lng, tk WHERE task = 'a' OR head < 4), ch AS (SELECT DISTINCT layer, head FROM lng WHERE head % 3 = 0) SELECT task, layer, head, round(value, 6) AS value FROM tk CROSS JOIN ch LEFT JOIN (SELECT * FROM al WHERE metric = 'full_entropy') x USING (task, layer, head)")
+def heads_across_tasks(spark, sf):
+    rows = _long(spark, sf).drop("task").withColumn("task", F.explode(F.array(F.lit("a"), F.lit("b")))).filter("task = 'a' or head < 4")
+    chosen = rows.filter("head % 3 = 0").select("layer", "head").distinct()
+    return rounded(report.across_tasks(chosen, rows, "full_entropy"), "value")
+
+
+@query(f"WITH {_HEADS}, {_LONG} SELECT 'ex' AS task, layer, head, metric, round(value * 2, 6) AS value FROM lng UNION ALL SELECT 'scout', layer, head, metric, round(value, 6) FROM lng")
+def pooled_statistics(spark, sf):
+    rows = _long(spark, sf).drop("task")
+    per_example = rows.withColumn("task", F.lit("ex")).withColumn("value", F.col("value") * 2)
+    return rounded(report.pooled(per_example, rows.withColumn("task", F.explode(F.array(F.lit("ex"), F.lit("scout"))))), "value")
+
+
+_ROPE = "list_transform(generate_series(1, 64), lambda i: CASE WHEN i <= 32 THEN {x}[i] * cos(pos * pow(10000.0, -2.0 * (i - 1) / 64)) - {x}[i + 32] * sin(pos * pow(10000.0, -2.0 * (i - 1) / 64)) ELSE {x}[i] * cos(pos * pow(10000.0, -2.0 * (i - 33) / 64)) + {x}[i - 32] * sin(pos * pow(10000.0, -2.0 * (i - 33) / 64)) END)"
+
+
+@query(f"WITH {_STATS} SELECT 'raw' AS variant, head, round(avg(full_entropy), 6) AS full_entropy FROM st GROUP BY head UNION ALL SELECT 'rope', head, round(avg(full_entropy), 6) FROM (WITH {_STATS.replace('list_transform(e, lambda x: x * (1 + (pos % 7) / 10.0)) AS k', _ROPE.format(x='kk') + ' AS k').replace('SELECT head, pos, e AS q', 'SELECT head, pos, ' + _ROPE.format(x='e') + ' AS q').replace('AS v FROM vec)', 'AS v FROM (SELECT *, list_transform(e, lambda x: x * (1 + (pos % 7) / 10.0)) AS kk FROM vec) z)')} SELECT * FROM st) r GROUP BY head")
+def rope_raw_comparison(spark, sf):
+    raw = vectors(spark, sf)
+    turned = raw.withColumn("q", V.rotate("q", "pos", DIM, 10000.0)).withColumn("k", V.rotate("k", "pos", DIM, 10000.0))
+    each = lambda v: stats.head_statistics(logits(v)).select("head", "full_entropy")
+    return rounded(report.variants(each(turned), each(raw)), "full_entropy")
+
+
+@query()
+def pair_dashboard(spark, sf):
+    v = vectors(spark, sf)
+    return rounded(report.pair_panels(A.last_queries(v, N).select("head", F.col("qpos").alias("pos")), v, DIM, 5, 10, 50), "centre", "mean", "sem")
+
+
 # ---- benchmark examples
 
 
