@@ -39,6 +39,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key as long and text, null texts empty. Long rows go to Python in small batches, to bound its memory."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     return df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 

@@ -4,8 +4,8 @@ A byte goes if a string of `size` bytes that covers it also starts in a document
 out by content, so that equal strings meet without any order over the whole corpus: each string belongs to the
 least hash among its grams (its minimizer), and neighbours with the same minimizer make one piece.
 
-1. Minimizers that lie in one document only are found by counts in hash buckets and dropped.
-2. The pieces left go, once per group of documents, to the bucket of their minimizer.
+1. Minimizers (40-bit hashes) that lie in one document only are found by counts in hash buckets and dropped.
+2. The pieces left go, once per unit of documents, to the bucket of their minimizer.
 3. There the distinct pieces are cut into shards; each gets a suffix order and its Burrows-Wheeler transform. The
    transforms are merged by refining the interleave of the shards, one character more each round, without sorting
    their suffixes again. Neighbours with a common prefix of `size` form repeated intervals; each gets its least id.
@@ -19,10 +19,12 @@ ignored; very long texts are one row of a batch.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,13 +34,13 @@ GRAM = 24  # bytes whose hash picks the minimizer
 POSITION = 20  # low bits of a packed minimizer
 SHARD = 32_000  # bytes of pieces in a shard
 CHUNK = 200_000  # bytes of pieces whose shards are merged at a time
-GROUP_DOCS = 1000  # documents a group has about
 LAST = np.iinfo(np.int64).max
 
-SEEN = "block long, bucket long, hashes binary, many binary"
-SHARED = "block long, hashes binary"
-PIECES = "kind int, block long, unit long, bucket long, doc_id long, text binary, n_bytes long, sha string, a binary, b binary, c binary, d binary"
-LEAST = "block long, unit long, numbers binary, windows binary, least binary"
+UNITS = "unit long, n int, ids binary, ends binary, data binary"
+SEEN = "unit long, bucket long, hashes binary, several binary"
+SHARED = "unit long, hashes binary"
+PIECES = "kind int, unit long, bucket long, first long, size long, data binary, about binary"
+LEAST = "unit long, first long, about binary, least binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -53,6 +55,25 @@ def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, fields, strict=True)], names=[f[0] for f in fields])
 
 
+def _table(schema: str, rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_batches([_batch(schema, rows)])
+
+
+def _pressed(*arrays: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(3).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+
+
+def _unpressed(raw: bytes, *kinds: str) -> list[np.ndarray]:
+    """Arrays of one length and these kinds, put together."""
+    raw = zstandard.ZstdDecompressor().decompress(raw)
+    widths = [np.dtype(k).itemsize for k in kinds]
+    n, at, out = len(raw) // sum(widths), 0, []
+    for k, w in zip(kinds, widths, strict=True):
+        out.append(np.frombuffer(raw, k, n, at))
+        at += n * w
+    return out
+
+
 def words64(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each position on as a number; zeros follow the end."""
     n = len(data)
@@ -95,129 +116,110 @@ def runs(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.
     first = np.flatnonzero(new)
     row = np.searchsorted(offs, first, side="right") - 1
     stop = np.minimum(np.append(first[1:], n), (offs[1:] - size + 1)[row])
-    return first, stop - first, row, h[first] >> np.uint64(POSITION)
+    return first, stop - first, row, h[first] >> np.uint64(POSITION + 4)
 
 
-def _six(h: np.ndarray) -> bytes:
-    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _five(h: np.ndarray) -> bytes:
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
 
 
 def _eight(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
     return out.view("<u8").ravel()
 
 
-def minimizers(docs: DataFrame, size: int, buckets: int) -> DataFrame:
-    """For each group of documents in a task: its distinct minimizers by bucket, and which lie in several rows."""
+def units(docs: DataFrame, parts: int) -> DataFrame:
+    """The documents in units of some MB, compressed, in a table bucketed by unit: what joins them later is not shuffled."""
+    spark = docs.sparkSession
 
-    def see(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(it):
+    def gather(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, b in enumerate(batches(it)):
             data, offs = utf8(b.column("text"))
-            block = b.column("block").to_numpy(zero_copy_only=False)
-            _, _, row, h = runs(data, offs, size)
-            order = np.lexsort((row, h))
-            h, row = h[order], row[order]
-            head = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-            tail = np.append(head[1:], len(h)) - 1 if len(h) else head
-            several = row[head] != row[tail]
-            out = []
-            # a minimizer of several rows is sent once, marked; one of a single row goes under its row's group
-            for own, blocks in (((~several), block[row[head]]), (several, np.full(len(head), -1))):
-                hs, bl = h[head][own], np.asarray(blocks)[own]
-                part = (hs % np.uint64(buckets)).astype(np.int64)
-                by = np.lexsort((hs, bl, part))
-                hs, bl, part = hs[by], bl[by], part[by]
-                cut = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (bl[1:] != bl[:-1]), [True]])) if len(hs) else np.zeros(1, np.int64)
-                out += [(int(bl[x]), int(part[x]), _six(hs[x:y]), b"") for x, y in zip(cut[:-1], cut[1:], strict=True)]
-            if several.any():  # who holds the marked ones
-                who = np.repeat(several, np.diff(np.append(head, len(h))))
-                hs, bl = h[who], block[row[who]]
-                part = (hs % np.uint64(buckets)).astype(np.int64)
-                by = np.lexsort((hs, bl, part))
-                hs, bl, part = hs[by], bl[by], part[by]
-                once = np.append(True, (hs[1:] != hs[:-1]) | (bl[1:] != bl[:-1]))
-                hs, bl, part = hs[once], bl[once], part[once]
-                cut = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (bl[1:] != bl[:-1]), [True]]))
-                out += [(int(bl[x]), int(part[x]), b"", _six(hs[x:y])) for x, y in zip(cut[:-1], cut[1:], strict=True)]
-            yield _batch(SEEN, out)
-
-    return docs.select("block", "text").mapInArrow(see, SEEN)
+            doc = b.column("doc_id")
+            yield _batch(UNITS, [(b.column("part")[0].as_py() << 32 | k, b.num_rows, _pressed(doc.is_valid().to_numpy(zero_copy_only=False).astype("u1"), doc.fill_null(LAST).to_numpy(zero_copy_only=False).astype("<i8")), offs[1:].astype("<i8").tobytes(), _pressed(data))])
+
+    name = f"tidemark_units_{uuid.uuid4().hex}"
+    rows = texts(docs).withColumn("part", F.spark_partition_id().cast("long")).mapInArrow(gather, UNITS)
+    rows.write.format("parquet").bucketBy(parts, "unit").saveAsTable(name)
+    return spark.table(name)
+
+
+def _unit(n: int, ids: bytes, ends: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    valid, own = _unpressed(ids, "u1", "<i8")
+    return valid.astype(bool), own, np.concatenate([[0], np.frombuffer(ends, "<i8")]), _unpressed(data, "u1")[0]
+
+
+def minimizers(rows: DataFrame, size: int, buckets: int) -> DataFrame:
+    """Each unit's distinct minimizers by bucket, and which of them lie in several documents."""
+
+    def see(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for r in range(b.num_rows):
+                _, _, offs, data = _unit(*(b.column(c)[r].as_py() for c in ("n", "ids", "ends", "data")))
+                _, _, row, h = runs(data, offs, size)
+                part = (h % np.uint64(buckets)).astype(np.int64)
+                order = np.lexsort((row, h, part))
+                h, row, part = h[order], row[order], part[order]
+                head = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+                several = row[head] != row[np.append(head[1:], len(h)) - 1] if len(h) else np.zeros(0, bool)
+                cut = np.searchsorted(part[head], np.arange(buckets + 1))
+                yield _batch(SEEN, [(b.column("unit")[r].as_py(), p, _five(h[head[x:y]]), np.packbits(several[x:y]).tobytes()) for p, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x])
+
+    return rows.mapInArrow(see, SEEN)
 
 
 def shared(seen: DataFrame) -> DataFrame:
-    """Stored: for each group of documents, the minimizers that lie in several documents."""
+    """Stored: for each unit, its minimizers that lie in several documents."""
 
     def pick(t: pa.Table) -> pa.Table:
-        one = [_eight(x.as_py()) for x in t.column("hashes")]
-        many = [_eight(x.as_py()) for x in t.column("many")]
-        block = t.column("block").to_numpy()
-        single = np.sort(np.concatenate([x for x, k in zip(one, block, strict=True) if k >= 0] or [np.zeros(0, np.uint64)]))
-        marked = np.unique(np.concatenate([x for x, k in zip(one, block, strict=True) if k < 0] or [np.zeros(0, np.uint64)]))
-        twice = np.unique(single[1:][single[1:] == single[:-1]])
-        both = np.union1d(twice, marked)
-        out: dict[int, list[np.ndarray]] = {}
-        for k, x, y in zip(block.tolist(), one, many, strict=True):
-            if k >= 0:
-                if len(x) and len(both):
-                    at = np.minimum(np.searchsorted(both, x), len(both) - 1)
-                    out.setdefault(k, []).append(x[both[at] == x])
-                out.setdefault(k, []).append(y)
-        rows = [(k, _six(np.unique(np.concatenate(v)))) for k, v in out.items()]
-        return pa.Table.from_batches([_batch(SHARED, [r for r in rows if r[1]])])
+        own = [_eight(x.as_py()) for x in t.column("hashes")]
+        flags = [np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8))[: len(h)].astype(bool) for x, h in zip(t.column("several"), own, strict=True)]
+        every = np.sort(np.concatenate(own))
+        both = np.union1d(every[1:][every[1:] == every[:-1]], np.concatenate([h[f] for h, f in zip(own, flags, strict=True)]))
+        rows = []
+        for k, h in zip(t.column("unit").to_pylist(), own, strict=True):
+            if len(both):
+                h = h[both[np.minimum(np.searchsorted(both, h), len(both) - 1)] == h]
+                if len(h):
+                    rows.append((k, _five(h)))
+        return _table(SHARED, rows)
 
     return stored(seen.groupBy("bucket").applyInArrow(pick, SHARED), "suffix-shared")
 
 
-def pieces(docs: DataFrame, common: DataFrame, size: int, buckets: int, parts: int) -> DataFrame:
-    """Stored. kind 0: distinct pieces of a unit of documents for a bucket; kind 1: the documents and their pieces."""
-    none = [F.lit(None).cast(t).alias(n) for n, t in (("doc_id", "long"), ("text", "string"))]
-    rows = common.select("block", F.lit(0).alias("kind"), *none, "hashes")
-    rows = rows.unionByName(docs.select("block", F.lit(1).alias("kind"), "doc_id", "text", F.lit(None).cast("binary").alias("hashes")))
-
-    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, known, ready, unit = None, [], None, 0
-        for b in batches(it):
-            block, kind = (b.column(c).to_numpy(zero_copy_only=False) for c in ("block", "kind"))
-            edge = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (kind[1:] != kind[:-1]), [True]]))
-            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                if block[lo] != at:
-                    at, known, ready = block[lo], [], None
-                one = b.slice(lo, hi - lo)
-                if kind[lo] == 0:
-                    known += [_eight(x.as_py()) for x in one.column("hashes")]
-                    continue
-                if ready is None:
-                    ready = np.unique(np.concatenate(known or [np.zeros(0, np.uint64)]))
-                unit += 1
-                data, offs = utf8(one.column("text"))
-                ids = one.column("doc_id").fill_null(LAST).to_numpy(zero_copy_only=False)
-                first, n, row, h = runs(data, offs, size)
-                keep = ready[np.minimum(np.searchsorted(ready, h), len(ready) - 1)] == h if len(ready) else np.zeros(len(h), bool)
-                first, n, row, h = first[keep], n[keep], row[keep], h[keep]
-                d = word_array(data, first, first + n + size - 1).dictionary_encode()
-                number, distinct = d.indices.to_numpy(zero_copy_only=False).astype(np.int64), d.dictionary
-                lead = np.zeros(len(distinct), np.int64)
-                lead[number[::-1]] = np.arange(len(number))[::-1]
-                least = np.full(len(distinct), LAST)
-                np.minimum.at(least, number, ids[row])
-                part = (h[lead] % np.uint64(buckets)).astype(np.int64)
-                by = np.argsort(part, kind="stable")
-                where = np.searchsorted(part[by], np.arange(buckets + 1))
-                out = []
-                for p in np.unique(part):
-                    i = by[where[p] : where[p + 1]]
-                    raw = word_array(data, first[lead[i]], first[lead[i]] + n[lead[i]] + size - 1)
-                    out.append((0, int(at), unit, int(p), None, raw.buffers()[2].to_pybytes(), None, None, i.astype("<i4").tobytes(), n[lead[i]].astype("<i4").tobytes(), least[i].astype("<i8").tobytes(), h[lead[i]].astype("<u8").tobytes()))
-                span = np.searchsorted(row, np.arange(hi - lo + 1))
-                start = first - offs[row]
-                for k, doc in enumerate(one.column("doc_id").to_pylist()):
-                    x, y = span[k], span[k + 1]
-                    raw = data[offs[k] : offs[k + 1]].tobytes()
-                    out.append((1, int(at), unit, None, doc, raw if y > x else None, len(raw), None if y > x else hashlib.sha256(raw).hexdigest(), start[x:y].astype("<i4").tobytes(), n[x:y].astype("<i4").tobytes(), number[x:y].astype("<i4").tobytes(), None))
-                yield _batch(PIECES, out)
-
-    return stored(rows.repartition(parts, "block").sortWithinPartitions("block", "kind").withColumn("text", F.coalesce("text", F.lit(""))).mapInArrow(cut, PIECES), "suffix-pieces")
+def pieces(rows: DataFrame, common: DataFrame, size: int, buckets: int) -> DataFrame:
+    """Stored. kind 0: distinct pieces of a unit for a bucket; kind 1: where the unit's pieces lie."""
+
+    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        known = np.unique(np.concatenate([_eight(x.as_py()) for x in right.column("hashes")])) if right.num_rows else np.zeros(0, np.uint64)
+        for k, *stuff in zip(*(left.column(c).to_pylist() for c in _names(UNITS)), strict=True):
+            _, ids, offs, data = _unit(*stuff)
+            if not len(known):
+                continue
+            first, n, row, h = runs(data, offs, size)
+            keep = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+            first, n, row, h = first[keep], n[keep], row[keep], h[keep]
+            d = word_array(data, first, first + n + size - 1).dictionary_encode()
+            number = d.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            lead = np.zeros(len(d.dictionary), np.int64)
+            lead[number[::-1]] = np.arange(len(number))[::-1]
+            least = np.full(len(lead), LAST)
+            np.minimum.at(least, number, ids[row])
+            part = (h[lead] % np.uint64(buckets)).astype(np.int64)
+            by = np.lexsort((h[lead], part))
+            where = np.searchsorted(part[by], np.arange(buckets + 1))
+            rank = np.empty(len(by), np.int64)
+            rank[by] = np.arange(len(by))
+            for p in np.unique(part).tolist():
+                i = lead[by[where[p] : where[p + 1]]]
+                raw = data[ranges(first[i], n[i] + size - 1)]
+                out.append((0, k, p, int(where[p]), len(i), _pressed(raw), _pressed(n[i].astype("u1"), least[by[where[p] : where[p + 1]]].astype("<i8"), (h[i] >> np.uint64(8)).astype("<u4"))))
+            out.append((1, k, None, None, len(first), None, _pressed(first.astype("<i8"), n.astype("u1"), rank[number].astype("<i4"))))
+        return _table(PIECES, out)
+
+    return stored(rows.groupBy("unit").cogroup(common.groupBy("unit")).applyInArrow(cut, PIECES), "suffix-pieces")
 
 
 def suffix_order(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -315,93 +317,88 @@ def merge(rows: DataFrame, size: int) -> DataFrame:
     """Stored: for each unit and its pieces, by number, the least id of each string start (one value if all are equal)."""
 
     def bucket(t: pa.Table) -> pa.Table:
-        raw = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in t.column("text")])
-        n = [np.frombuffer(x.as_buffer(), "<i4").astype(np.int64) for x in t.column("b")]
-        sizes = np.concatenate(n) + size - 1
-        ids = np.concatenate([np.frombuffer(x.as_buffer(), "<i8") for x in t.column("c")])
-        h = np.concatenate([np.frombuffer(x.as_buffer(), "<u8") for x in t.column("d")])
-        edge = np.concatenate([[0], np.cumsum(sizes)])
-        d = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(edge.astype(np.int64)), pa.py_buffer(raw)]).dictionary_encode()
+        raw = np.concatenate([_unpressed(x.as_py(), "u1")[0] for x in t.column("data")])
+        about = [_unpressed(x.as_py(), "u1", "<i8", "<u4") for x in t.column("about")]
+        count = [len(x[0]) for x in about]
+        sizes, ids, h = (np.concatenate([x[i] for x in about]) for i in range(3))
+        sizes = sizes.astype(np.int64) + size - 1
+        del about
+        edge = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        d = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(edge), pa.py_buffer(raw)]).dictionary_encode()
         number = d.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         lead = np.zeros(len(d.dictionary), np.int64)
+        del d
         lead[number[::-1]] = np.arange(len(number))[::-1]
         low = np.full(len(lead), LAST)
         np.minimum.at(low, number, ids)
         by = np.argsort(h[lead], kind="stable")  # equal minimizers stay together
         hs, ns = h[lead][by], sizes[lead][by]
         total = np.cumsum(ns)
-        results, at = [None] * len(lead), 0
+        results: list = [None] * len(lead)
+        at = 0
         while at < len(by):
             to = int(np.searchsorted(total, (total[at - 1] if at else 0) + CHUNK, side="right"))
             to = int(np.searchsorted(hs, hs[min(max(to, at + 1), len(by)) - 1], side="right"))
             i = by[at:to]
-            data = raw[ranges(edge[lead[i]], sizes[lead[i]])]
-            got = least_ids(data, sizes[lead[i]], low[i], size)
+            got = least_ids(raw[ranges(edge[lead[i]], sizes[lead[i]])], sizes[lead[i]], low[i], size)
             cut = np.concatenate([[0], np.cumsum(sizes[lead[i]] - size + 1)])
             lo, hi = np.minimum.reduceat(got, cut[:-1]), np.maximum.reduceat(got, cut[:-1])
             for k, j in enumerate(i.tolist()):
                 results[j] = lo[k : k + 1] if lo[k] == hi[k] else got[cut[k] : cut[k + 1]]
             at = to
         out, done = [], 0
-        for k, (block, unit, numbers) in enumerate(zip(t.column("block").to_pylist(), t.column("unit").to_pylist(), t.column("a").to_pylist(), strict=True)):
-            own = [results[j] for j in number[done : done + len(n[k])].tolist()]
-            out.append((block, unit, numbers, np.array([len(x) for x in own], "<i4").tobytes(), np.concatenate(own).astype("<i8").tobytes()))
-            done += len(n[k])
-        return pa.Table.from_batches([_batch(LEAST, out)])
+        for k, (unit, first) in enumerate(zip(t.column("unit").to_pylist(), t.column("first").to_pylist(), strict=True)):
+            own = [results[j] for j in number[done : done + count[k]].tolist()]
+            out.append((unit, first, _pressed(np.array([len(x) for x in own], "u1")), _pressed(np.concatenate(own).astype("<i8"))))
+            done += count[k]
+        return _table(LEAST, out)
 
     return stored(rows.filter("kind = 0").groupBy("bucket").applyInArrow(bucket, LEAST), "suffix-least")
 
 
-def remove(rows: DataFrame, least: DataFrame, size: int, parts: int) -> DataFrame:
+def remove(rows: DataFrame, found: DataFrame, least: DataFrame, size: int) -> DataFrame:
     """Every document without the bytes covered: counts and the hash of what is left."""
-    null = lambda n, t: F.lit(None).cast(t).alias(n)
-    back = least.select("block", "unit", F.lit(0).alias("kind"), null("doc_id", "long"), null("text", "binary"), null("n_bytes", "long"), null("sha", "string"), F.col("numbers").alias("a"), F.col("windows").alias("b"), F.col("least").alias("c"))
-    both = back.unionByName(rows.filter("kind = 1").select(*back.columns))
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, parts_, ready = None, [], None
-        for b in batches(it):
-            out = []
-            for block, unit, kind, doc, text, n, sha, x, y, z in zip(*(b.column(c).to_pylist() for c in ("block", "unit", "kind", "doc_id", "text", "n_bytes", "sha", "a", "b", "c")), strict=True):
-                if (block, unit) != at:
-                    at, parts_, ready = (block, unit), [], None
-                if kind == 0:
-                    parts_.append((np.frombuffer(x, "<i4"), np.frombuffer(y, "<i4").astype(np.int64), np.frombuffer(z, "<i8")))
-                    continue
-                if text is None:
-                    out.append((doc, n, 0, 0, sha))
-                    continue
-                if ready is None:
-                    numbers, sizes, values = (np.concatenate([p[i] for p in parts_]) for i in range(3))
-                    place = np.zeros(len(numbers), np.int64)
-                    place[numbers] = np.arange(len(numbers))
-                    ready = place, np.cumsum(sizes) - sizes, sizes, values
-                place, first, sizes, values = ready
-                start, k, number = (np.frombuffer(v, "<i4").astype(np.int64) for v in (x, y, z))
-                own = place[number]
-                of = np.repeat(np.arange(len(start)), k)
-                nth = np.arange(len(of)) - np.repeat(np.cumsum(k) - k, k)
-                low = values[first[own][of] + np.where(sizes[own][of] == 1, 0, nth)]
-                hit = (start[of] + nth)[low < (LAST if doc is None else doc)]
-                step = np.zeros(n + 1, np.int64)
-                np.add.at(step, hit, 1)
-                np.add.at(step, hit + size, -1)
-                gone = np.cumsum(step)[:n] > 0
-                left = np.frombuffer(text, np.uint8)[~gone].tobytes()
-                spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if n else 0
-                out.append((doc, n, n - len(left), spans, hashlib.sha256(left).hexdigest()))
-            yield _batch(RESULT, out)
-
-    return both.repartition(parts, "block").sortWithinPartitions("block", "unit", "kind").mapInArrow(run, RESULT)
+    side = least.select("unit", "first", "about", "least").unionByName(found.filter("kind = 1").select("unit", F.lit(-1).cast("long").alias("first"), "about", F.lit(None).cast("binary").alias("least")))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        places, parts = None, {}
+        for first, about, low in zip(*(right.column(c).to_pylist() for c in ("first", "about", "least")), strict=True):
+            if first < 0:
+                places = _unpressed(about, "<i8", "u1", "<i4")
+            else:
+                parts[first] = (_unpressed(about, "u1")[0].astype(np.int64), _unpressed(low, "<i8")[0])
+        for _, *stuff in zip(*(left.column(c).to_pylist() for c in _names(UNITS)), strict=True):
+            valid, ids, offs, data = _unit(*stuff)
+            gone = np.zeros(len(data), bool)
+            if places is not None and parts:
+                start, n, number = (x.astype(np.int64) for x in places)
+                sizes, values = (np.concatenate([parts[k][i] for k in sorted(parts)]) for i in range(2))
+                first = np.cumsum(sizes) - sizes
+                of = np.repeat(np.arange(len(start)), n)
+                nth = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+                low = values[first[number][of] + np.where(sizes[number][of] == 1, 0, nth)]
+                own = ids[np.searchsorted(offs, start, side="right") - 1]
+                hit = (start[of] + nth)[low < own[of]]
+                step = np.bincount(hit, minlength=len(data) + 1) - np.bincount(hit + size, minlength=len(data) + 1)
+                gone = np.cumsum(step)[: len(data)] > 0
+            opens = gone.copy()
+            opens[1:] &= ~gone[:-1]
+            heads = offs[:-1][offs[:-1] < offs[1:]]
+            opens[heads] = gone[heads]
+            for k in range(len(ids)):
+                a, b = int(offs[k]), int(offs[k + 1])
+                g = gone[a:b]
+                kept = data[a:b][~g] if g.any() else data[a:b]
+                out.append((int(ids[k]) if valid[k] else None, b - a, b - a - len(kept), int(opens[a:b].sum()), hashlib.sha256(kept.tobytes()).hexdigest()))
+        return _table(RESULT, out)
+
+    return rows.groupBy("unit").cogroup(side.groupBy("unit")).applyInArrow(run, RESULT)
 
 
 def dedup(docs: DataFrame, size: int = 50) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document; size: 32 bytes at least."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = texts(docs)
-    groups = max(parts, rows.count() // GROUP_DOCS)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(groups)))
-    common = shared(minimizers(rows, size, parts))
-    found = pieces(rows, common, size, parts, parts)
-    return remove(found, merge(found, size), size, parts)
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document; size: 32 to 250 bytes."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = units(docs, parts)
+    found = pieces(rows, shared(minimizers(rows, size, parts)), size, parts)
+    return remove(rows, found, merge(found, size), size)
