@@ -4,8 +4,8 @@ Texts with equal shingle sets form a class at once (their sorted hashes' digest)
 Each class has a signature of TREES * DEPTH min-hashes; each tree sorts all classes by its own order of the
 signature. In a tree, classes that share DEPTH values are a region. Small regions give all their pairs; in dense
 ones the depth adapts: classes are compared to their longest-common-prefix neighbours in the deeper order first,
-and what is then still apart in such a region is compared across components, block by block. Candidates are
-confirmed on full shingle sets, near each other in cells of bounded size; links become components by alternating
+and what is then still apart in such a region is compared across components, block by block, by an inverted index
+of the block's sets. Candidates are confirmed on full shingle sets, near each other in cells of bounded size; links become components by alternating
 star contraction. Links, components and candidates stay distributed; only region borders of range partitions, a
 few rows each, pass the driver.
 
@@ -23,15 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, batches, hash64, mix, stored, texts, utf8, word_array, word_hashes, word_spans
+from tidemark.llm.common import LOWER, batches, hash64, mix, ranges, stored, texts, utf8, word_array, word_hashes, word_spans
 
 TREES, DEPTH = 24, 4
 SIZE = TREES * DEPTH
 SMALL = 6  # classes in a region whose pairs are all compared at once
 NEAR = 2  # neighbours compared in a larger one
+HELD = 16_384  # rows of one region held at a time
 CELL = 2000  # pairs confirmed in a cell
-BLOCK = 4096  # classes of a dense region held at a time
-LIKELY = 0.62  # share of equal min-hashes from which a pair of a dense region is confirmed; 4 standard deviations below 0.8
+BLOCK = 256  # classes outside the largest component of a dense neighbourhood held at a time
 
 _rng = np.random.default_rng(2024)
 _XOR = _rng.integers(0, 1 << 32, SIZE, dtype=np.uint32)
@@ -158,7 +158,7 @@ def candidates(rows: DataFrame, percent: int) -> DataFrame:
             held = np.concatenate([held, np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in cols])])
             cut = np.flatnonzero((held[1:, :3] != held[:-1, :3]).any(axis=1))
             last = int(cut[-1]) + 1 if len(cut) else 0
-            if not last and len(held) > 4 * BLOCK:  # a long region: its end is carried over
+            if not last and len(held) > HELD:  # a long region: its end is carried over
                 last = len(held) - SMALL
                 yield out(_pairs(held, percent))
                 held = held[last:]
@@ -241,44 +241,76 @@ def components(links: DataFrame) -> DataFrame:
         last = now
 
 
-def across(rows: DataFrame, dense: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame:
-    """Likely pairs of dense regions whose ends are in different components so far."""
+def across(rows: DataFrame, dense: DataFrame, links: DataFrame, comps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Stored links between the components that meet in dense regions.
+
+    Regions that share classes are put together. In each such neighbourhood the classes outside its largest component
+    are dealt into blocks, and every class of the neighbourhood passes every block once, with its full set.
+    """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = ["tree", "k1", "k2"]
     member = rows.join(dense.select(*key).distinct(), key).select(*key, "rep")
     member = member.join(comps, F.col("rep") == F.col("v"), "left").select(*key, "rep", F.coalesce("component", "rep").alias("c"))
-    sizes = member.groupBy(*key, "c").agg(F.count("*").alias("m"))
-    shape = sizes.groupBy(*key).agg(F.count("*").alias("cs"), F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("all"))
-    shape = shape.filter("cs > 1").select(*key, F.col("top.c").alias("main"), F.ceil((F.col("all") - F.col("top.m")) / BLOCK).alias("subs"))
-    open_ = stored(member.join(shape, key), "near-open")
-    own = open_.filter("c != main").select(*key, F.pmod(F.xxhash64("rep"), F.col("subs")).alias("sub"), F.lit(0).alias("role"), "rep", "c")
-    other = open_.select(*key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)).alias("sub"), F.lit(1).alias("role"), "rep", "c")
-    every = own.unionByName(other).join(classes.select("rep", "sig"), "rep")
+    torn = member.groupBy(*key).agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("rep").alias("first")).filter("low != high")
+    member = stored(member.join(torn, key).select("rep", "c", "first").distinct(), "near-torn")
+    if member.isEmpty():
+        return links.limit(0)
+    wide = components(links.unionByName(member.select(F.col("rep").alias("a"), F.col("first").alias("b"))))
+    member = member.select("rep", "c").distinct().join(wide, F.col("rep") == F.col("v"), "left").select(F.coalesce("component", "rep").alias("place"), "rep", "c")
+    sizes = member.groupBy("place", "c").agg(F.count("*").alias("m")).groupBy("place").agg(F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("all"))
+    sizes = sizes.select("place", F.col("top.c").alias("main"), F.ceil((F.col("all") - F.col("top.m")) / BLOCK).alias("subs")).filter("subs > 0")
+    member = stored(member.join(sizes, "place"), "near-open")
+    own = member.filter("c != main").select("place", F.pmod(F.xxhash64("rep"), F.col("subs")).alias("sub"), F.lit(0).alias("role"), "rep", "c")
+    other = member.select("place", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)).alias("sub"), F.lit(1).alias("role"), "rep", "c")
+    every = texts(docs).join(own.unionByName(other), F.col("doc_id") == F.col("rep")).drop("doc_id")
 
     def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, mine = None, []
-        for b in it:
-            cols = [b.column(k).to_pylist() for k in (*key, "sub", "role", "rep", "c", "sig")]
-            found = set()
-            held: tuple | None = None
-            for *k, role, rep, c, sig in zip(*cols, strict=True):
-                if k != at:
-                    at, mine, held = k, [], None
+        at, mine, index, root = None, [], None, {}
+
+        def top(v):
+            while root.get(v, v) != v:
+                root[v] = root.get(root[v], root[v])
+                v = root[v]
+            return v
+
+        for b in batches(it):
+            sets, found = shingle_sets(b.column("text")), []
+            for place, sub, role, rep, c, got in zip(*(b.column(k).to_pylist() for k in ("place", "sub", "role", "rep", "c")), sets, strict=True):
+                if (place, sub) != at:
+                    at, mine, index, root = (place, sub), [], None, {}
                 if role == 0:
-                    mine.append((rep, c, sig))
-                    held = None
+                    mine.append((rep, c, got))
                     continue
-                if held is None:
-                    held = (np.array([x[0] for x in mine]), np.array([x[1] for x in mine]), np.frombuffer(b"".join(x[2] for x in mine), np.uint32).reshape(-1, SIZE))
-                if not len(held[0]):
+                if not mine:
                     continue
-                same = (held[2] == np.frombuffer(sig, np.uint32)).sum(axis=1)
-                for i in np.flatnonzero((same >= LIKELY * SIZE) & (held[1] != c)):
-                    found.add((min(rep, int(held[0][i])), max(rep, int(held[0][i]))))
-            found = sorted(found)
+                index = index or Postings([m[2] for m in mine])
+                shared = index.shared(got)
+                for i in np.flatnonzero((shared > 0) & (100 * shared >= percent * (index.sizes + len(got) - shared))).tolist():
+                    if (p := top(c)) != (q := top(mine[i][1])):
+                        root[max(p, q)] = min(p, q)
+                        found.append((min(rep, mine[i][0]), max(rep, mine[i][0])))
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return every.repartition(parts, *key, "sub").sortWithinPartitions(*key, "sub", "role", "rep").mapInArrow(compare, "a long, b long")
+    return stored(every.repartition(parts, "place", "sub").sortWithinPartitions("place", "sub", "role", "rep").mapInArrow(compare, "a long, b long"), "near-across")
+
+
+class Postings:
+    """Inverted index of some sets: how many members each shares with another set, all at once."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(flat, kind="stable")
+        flat, self.of = flat[order], of[order]
+        head = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))[: len(flat)]
+        self.keys, self.start, self.count = flat[head], head, np.diff(np.append(head, len(flat)))
+
+    def shared(self, one: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(self.sizes), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, one), len(self.keys) - 1)
+        at = at[self.keys[at] == one]
+        return np.bincount(self.of[ranges(self.start[at], self.count[at])], minlength=len(self.sizes))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -295,9 +327,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     comps = components(links)
     dense = cand.filter("a is null")
     if not dense.isEmpty():
-        more = stored(across(trees, dense, classes, comps).distinct(), "near-across")
+        more = across(trees, dense, links, comps, docs, percent)
         if not more.isEmpty():
-            comps = components(links.unionByName(confirm(more, docs, percent)))
+            comps = components(links.unionByName(more))
     named = rows.select("doc_id", "n", "digest").join(classes.select("digest", "rep"), "digest", "left")
     named = named.join(comps, F.col("rep") == F.col("v"), "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "rep", "doc_id"))
