@@ -332,9 +332,13 @@ def merge(rows: DataFrame, size: int) -> DataFrame:
         low = np.full(len(lead), LAST)
         np.minimum.at(low, number, ids)
         by = np.argsort(h[lead], kind="stable")  # equal minimizers stay together
-        hs, ns = h[lead][by], sizes[lead][by]
-        total = np.cumsum(ns)
+        hs = h[lead][by]
+        alone = np.append(True, hs[1:] != hs[:-1]) & np.append(hs[1:] != hs[:-1], True)  # nothing to merge with
         results: list = [None] * len(lead)
+        for j in by[alone].tolist():
+            results[j] = low[j : j + 1]
+        by, hs = by[~alone], hs[~alone]
+        total = np.cumsum(sizes[lead][by])
         at = 0
         while at < len(by):
             to = int(np.searchsorted(total, (total[at - 1] if at else 0) + CHUNK, side="right"))
