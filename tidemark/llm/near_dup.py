@@ -16,6 +16,7 @@ rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,7 @@ _rng = np.random.default_rng(2024)
 _XOR = _rng.integers(0, 1 << 32, SIZE, dtype=np.uint32)
 _MUL = _rng.integers(0, 1 << 32, SIZE, dtype=np.uint32) | np.uint32(1)
 
-SIGNED = "doc_id long, n long, digest binary, sig binary"
+SIGNED = "doc_id long, n long, digest binary, sig binary, text string"
 FOREST = "tree int, k1 long, k2 long, k3 long, n long, rep long"
 PAIRS = "a long, b long, tree int, k1 long, k2 long"
 
@@ -81,7 +82,8 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """Stored (doc_id, n, digest, sig) of every row."""
+    """(doc_id, n, digest, sig, text) of every row, in a table bucketed by doc_id: later joins don't shuffle the texts."""
+    spark = docs.sparkSession
 
     def sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -92,10 +94,12 @@ def signed(docs: DataFrame) -> DataFrame:
             sig = iter(signatures([sets[i] for i in some])) if some else iter(())
             yield pa.RecordBatch.from_arrays([
                 b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                pa.array([next(sig).tobytes() if len(s) else None for s in sets], pa.binary()),
-            ], names=["doc_id", "n", "digest", "sig"])
+                pa.array([next(sig).tobytes() if len(s) else None for s in sets], pa.binary()), b.column("text"),
+            ], names=["doc_id", "n", "digest", "sig", "text"])
 
-    return stored(texts(docs).mapInArrow(sign, SIGNED), "near-signed")
+    name, parts = f"tidemark_signed_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts(docs).mapInArrow(sign, SIGNED).write.format("parquet").option("compression", "zstd").bucketBy(parts, "doc_id").saveAsTable(name)
+    return spark.table(name)
 
 
 def forest(classes: DataFrame) -> DataFrame:
@@ -183,7 +187,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     many = cells.groupBy("cell").agg(F.ceil(F.count("*") / CELL).alias("subs"))
     cells = stored(cells.join(many, "cell").select("a", "b", "cell", F.pmod(F.xxhash64("a", "b"), F.col("subs")).alias("sub")), "near-cells")
     need = cells.select("cell", "sub", F.col("a").alias("doc_id")).unionByName(cells.select("cell", "sub", F.col("b").alias("doc_id"))).distinct()
-    rows = texts(docs).join(need, "doc_id").select("cell", "sub", F.lit(0).alias("kind"), F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    rows = docs.select("doc_id", "text").join(need.hint("shuffle_hash"), "doc_id").select("cell", "sub", F.lit(0).alias("kind"), F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "text")
     rows = rows.unionByName(cells.select("cell", "sub", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("string").alias("text")))
 
     def check(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +266,7 @@ def across(rows: DataFrame, dense: DataFrame, links: DataFrame, comps: DataFrame
     member = stored(member.join(sizes, "place"), "near-open")
     own = member.filter("c != main").select("place", F.pmod(F.xxhash64("rep"), F.col("subs")).alias("sub"), F.lit(0).alias("role"), "rep", "c")
     other = member.select("place", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)).alias("sub"), F.lit(1).alias("role"), "rep", "c")
-    every = texts(docs).join(own.unionByName(other), F.col("doc_id") == F.col("rep")).drop("doc_id")
+    every = docs.select("doc_id", "text").join(own.unionByName(other).hint("shuffle_hash"), F.col("doc_id") == F.col("rep")).drop("doc_id")
 
     def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, mine, index, root = None, [], None, {}
@@ -320,14 +324,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     classes = stored(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "near-classes")
     trees = forest(classes)
     cand = candidates(trees, percent)
-    links = confirm(cand.filter("a is not null"), docs, percent)
+    links = confirm(cand.filter("a is not null"), rows, percent)
     same_id = some.join(classes.select("digest", "rep"), "digest").filter("doc_id != rep").groupBy("doc_id", "rep").count().select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     odd = stored(same_id.join(classes.select(F.col("rep").alias("a")).distinct(), "a", "left_semi"), "near-same-id")  # an id that has several texts
     links = links.unionByName(odd)
     comps = components(links)
     dense = cand.filter("a is null")
     if not dense.isEmpty():
-        more = across(trees, dense, links, comps, docs, percent)
+        more = across(trees, dense, links, comps, rows, percent)
         if not more.isEmpty():
             comps = components(links.unionByName(more))
     named = rows.select("doc_id", "n", "digest").join(classes.select("digest", "rep"), "digest", "left")
