@@ -91,6 +91,31 @@ class Attention:
         z -= np.log(np.exp(z).sum(2, keepdims=True))
         return z, (e, q, k, v, a, o, h)
 
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The layer as tables by (position, class): exponentials of masked scores of a query and a key, logits of a
+        query, and what a key adds to the logits. There are few classes, so nothing has to be multiplied out again."""
+        w, n = self.w, CLASSES + 1
+        e = w["E"][None] + w["P"][:, None]  # position, class
+        q = (e[BLOCK:] @ w["Q"]).reshape(BLOCK * n, WIDTH)
+        k = (e @ w["K"]).reshape(2 * BLOCK * n, WIDTH)
+        s = np.exp(np.minimum(q @ k.T * np.float32(WIDTH**-0.5), 60))
+        s = (s.reshape(BLOCK, n, 2 * BLOCK, n) * (self.mask == 0)[:, None, :, None]).reshape(BLOCK * n, 2 * BLOCK * n)
+        return s.astype(np.float32), (e[BLOCK:] @ w["U"] + w["B"]).reshape(BLOCK * n, CLASSES), (e @ w["V"] @ w["O"] @ w["U"]).reshape(2 * BLOCK * n, CLASSES)
+
+    def log_classes(self, x: np.ndarray, first: np.ndarray, y: np.ndarray, tables: tuple) -> np.ndarray:
+        """Log-probability of each target, as forward() has it, from the tables."""
+        pair, own, add = tables
+        at = x.astype(np.int64) + np.arange(2 * BLOCK) * (CLASSES + 1)
+        q = at[:, BLOCK:] - BLOCK * (CLASSES + 1)
+        a = pair.ravel().take(q[:, :, None] * pair.shape[1] + at[:, None, :], mode="clip")
+        a[first, :, :BLOCK] = 0
+        a /= a @ np.ones((2 * BLOCK, 1), np.float32)
+        z = a @ add.take(at, axis=0)
+        z += own.take(q, axis=0)
+        np.clip(z, -60, 60, out=z)
+        got = np.take_along_axis(z, np.maximum(y, 0)[..., None], 2)[..., 0]
+        return got - np.log(np.exp(z, out=z) @ np.ones(CLASSES, np.float32))
+
     def gradient(self, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         """Loss and gradients; y: the next class, or -1 where there is none."""
         w, live = self.w, y >= 0
@@ -143,11 +168,14 @@ def windows(classes: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     nth = np.arange(len(row)) - np.repeat(np.cumsum(k) - k, k)
     place = (offs[row] + nth * BLOCK)[:, None] + np.arange(BLOCK)
     live = place < offs[row + 1][:, None]
-    place = np.where(live, place, 0)
-    y = np.where(live, classes[place] if len(classes) else 0, -1)
-    span = (offs[row] + (nth - 1) * BLOCK - 1)[:, None] + np.arange(2 * BLOCK)  # the class before each target
-    inside = (span >= offs[row][:, None]) & (span < offs[row + 1][:, None])
-    x = np.where(inside, classes[np.where(inside, span, 0)] if len(classes) else 0, CLASSES)
+    pad = np.zeros(BLOCK, np.int32)
+    before = np.concatenate([[CLASSES], classes, pad]).astype(np.int32)
+    before[offs[:-1]] = CLASSES  # the class before each target; the start before a row's first
+    x = np.full((len(row), 2 * BLOCK), CLASSES, np.int32)
+    x[:, BLOCK:] = np.where(live, before[place], CLASSES)
+    later = np.flatnonzero(nth > 0)
+    x[later, :BLOCK] = x[later - 1, BLOCK:]
+    y = np.where(live, np.concatenate([classes, pad]).astype(np.int32)[place], -1)
     return x, nth == 0, y, place
 
 
@@ -239,11 +267,9 @@ def statistics(copy: DataFrame, path: str, buckets: int) -> DataFrame:
                     own = LOWER[take[0]]
                     ids, ends, chunks, before = _ids(tok, own, take[1], size - 1)
                     opens = before[(BLANK[own[chunks]] | np.isin(chunks, take[1])) & (np.diff(np.append(before, len(ids))) > 0)]
-                    key = np.bincount(ids.astype(np.int64) * COLUMNS + _before(ids, ends, size - 1))
-                    more = np.bincount(ids[opens].astype(np.int64) * COLUMNS + BUCKETS, minlength=len(key))
-                    key = more + np.pad(key, (0, len(more) - len(key)))
-                    where = np.flatnonzero(key)
-                    context.reshape(-1)[where] += key[where].astype(np.uint32)
+                    flat = context.reshape(-1)
+                    np.add.at(flat, ids.astype(np.int64) * COLUMNS + _before(ids, ends, size - 1), np.uint32(1))
+                    np.add.at(flat, ids[opens].astype(np.int64) * COLUMNS + BUCKETS, np.uint32(1))
         if have:
             yield rows(at, have)
             cut = np.linspace(0, size, SLICES + 1).astype(int)
@@ -296,7 +322,7 @@ class Model:
         context, opens = counts[:, :BUCKETS], counts[:, BUCKETS]
         self.path, self.of = path, cluster(context)
         opens = np.bincount(self.of, opens + 1e-3, CLASSES)
-        self.opening = np.log(opens / opens.sum())  # of the class of a word's first id
+        self.opening = np.log((opens + 1e-9) / (opens.sum() + 1e-9))  # of the class of a word's first id
         self.end = len(context) - 1
         total = context.sum(1)
         in_class = np.bincount(self.of, total + 0.5, CLASSES)
@@ -320,13 +346,11 @@ class Model:
 
     def log_ids(self, net: Attention, ids: np.ndarray, ends: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Natural log-probability of each id, and of its class."""
-        out = np.zeros(len(ids))
         x, first, y, place = windows(classes, ends)
-        for lo in range(0, len(x), 1024):
-            z, _ = net.forward(x[lo : lo + 1024], first[lo : lo + 1024])
-            t = y[lo : lo + 1024]
-            got = np.take_along_axis(z, np.maximum(t, 0)[..., None], 2)[..., 0]
-            out[place[lo : lo + 1024][t >= 0]] = got[t >= 0]
+        held, got = net.tables(), np.empty(y.shape, np.float32)
+        for lo in range(0, len(x), 256):
+            got[lo : lo + 256] = net.log_classes(x[lo : lo + 256], first[lo : lo + 256], y[lo : lo + 256], held)
+        out = got[y >= 0].astype(float)  # blocks, and targets in them, are in order
         b = _before(ids, ends, self.end)
         within = (self.context[ids, b] + SMOOTH * self.plain[ids]) / (self.sums[classes, b] + SMOOTH)
         return out + np.log(within), out
@@ -399,9 +423,9 @@ def score(docs: DataFrame, tokenizer: str, folds: int = 5, held: int = 1) -> Dat
                 data, offs = utf8(one.column("text"))
                 data = LOWER[data]
                 starts, words, codes, hashes = _hashed(data, offs)
-                c = (ready[1][np.searchsorted(ready[0], hashes)] if len(hashes) else np.zeros(0, np.int64))[codes]
+                each = ready[1][np.searchsorted(ready[0], hashes)] if len(hashes) else np.zeros(0, np.int64)
+                c, uni = each[codes], np.log10((each + 0.5) / floor)[codes]
                 n = np.diff(words)
-                uni = np.log10((c + 0.5) / floor)
                 last = np.log10((learned + 0.5) / floor)
                 sums = np.concatenate([[0], np.cumsum(uni)])
                 base = np.diff(sums[words]) + last
