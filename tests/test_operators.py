@@ -190,6 +190,37 @@ def test_sinks(spark, tmp_path):
     assert json.loads((tmp_path / "spec.json").read_text())["budgets"] == [16]
 
 
+def test_metadata(spark, tmp_path):
+    path = str(tmp_path / "metadata.json")
+    assert tables.task_metadata(spark, path) == {}
+    sinks.task_metadata(path, task="t", layers_extracted=[17], backend=None)
+    assert tables.task_metadata(spark, path) == {"task": "t", "layers_extracted": [17]}
+
+
+def test_tensor_names():
+    from tidemark.sources.tensor_files import parsed
+
+    assert parsed("file:/x/all_heads/math/ex_001/layer_17.pt", "K_rope_kvhead3") == ("math", "ex_001", 17, "K_rope", 3)
+    assert parsed("m/e/layer_02.pt", "V_kvhead0")[3:] == ("V", 0)
+    with pytest.raises(ValueError):
+        parsed("m/e/layer_02.pt", "other")
+
+
+def test_plot_sample(context):
+    from tidemark.operators import report
+
+    rows = report.plot_sample(context.vectors.withColumn("sink", F.col("pos") < 1), "sink", 5, ["pos"]).collect()
+    assert len(rows) == 5 and any(r.pos == 0 for r in rows)
+
+
+def test_sampled_cosines(context, data):
+    q, k, _ = data
+    rows = explore.sampled_cosines(context.vectors, 50).collect()
+    assert len(rows) == 50
+    for r in rows:
+        assert math.isclose(r.cos, q[r.pos_q] @ k[r.pos_k] / np.linalg.norm(q[r.pos_q]) / np.linalg.norm(k[r.pos_k]), abs_tol=1e-9)
+
+
 def test_entry_stands_without_the_text_operators():
     import subprocess
     import sys

@@ -543,6 +543,11 @@ def cluster_separation_sampled(spark, sf):
     return rounded(explore.separation(vectors(spark, sf), sample=20), "intra_q", "intra_k", "inter", "centroid_distance", "ratio")
 
 
+@query()
+def sampled_cosines(spark, sf):
+    return rounded(explore.sampled_cosines(vectors(spark, sf), 500), "cos")
+
+
 @query()
 def pca_explained(spark, sf):
     _, share = explore.principal(vectors(spark, sf), "k", 2)

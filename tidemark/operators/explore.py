@@ -118,3 +118,13 @@ def family(method: Column) -> tuple[Column, Column, Column]:
     pattern = r"^(.*?)(?:-(topk|hybrid)-k(\d+))?$"
     empty = lambda c: F.nullif(c, F.lit(""))
     return F.regexp_extract(method, pattern, 1), empty(F.regexp_extract(method, pattern, 2)), empty(F.regexp_extract(method, pattern, 3)).cast("int")
+
+
+def sampled_cosines(vectors: DataFrame, n: int = 1000, seed: int = 42, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, pos_q, pos_k, cos) of n query-key pairs a head, drawn with repeats by hash; never more than there are."""
+    ends = vectors.groupBy(*keys).agg(F.count("*").alias("m"))
+    at = ends.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(n).cast("long"), F.col("m") * F.col("m")))))
+    at = at.select(*keys, F.pmod(F.xxhash64("i", F.lit(seed)), F.col("m")).alias("pos_q"), F.pmod(F.xxhash64("i", F.lit(seed + 1)), F.col("m")).alias("pos_k"))
+    q = vectors.select(*keys, F.col("pos").alias("pos_q"), "q")
+    k = vectors.select(*keys, F.col("pos").alias("pos_k"), "k")
+    return at.join(q, [*keys, "pos_q"]).join(k, [*keys, "pos_k"]).select(*keys, "pos_q", "pos_k", cosine("q", "k").alias("cos"))

@@ -51,3 +51,8 @@ def write_json(path: str, data) -> None:
 
 def run_spec(path: str, config: dict, methods: list[str], tasks: list[str], budgets: list[int], seed: int) -> None:
     write_json(path, {"date": datetime.now().isoformat(timespec="seconds"), "methods": methods, "tasks": tasks, "budgets": budgets, "seed": seed, "resolved_config": config})
+
+
+def task_metadata(path: str, **fields) -> None:
+    """A task's metadata; fields that are None are left out."""
+    write_json(path, {k: v for k, v in fields.items() if v is not None})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 from collections.abc import Sequence
@@ -113,3 +114,9 @@ def task_dir(root: str, task: str, phase: str | None = None) -> str:
         if os.path.isdir(at):
             return at
     return os.path.join(root, task)
+
+
+def task_metadata(spark: SparkSession, path: str) -> dict:
+    """A task's metadata file; nothing where there is none."""
+    found = spark.read.text(path, wholetext=True).first() if os.path.exists(path) else None
+    return json.loads(found["value"]) if found else {}
