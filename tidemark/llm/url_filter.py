@@ -24,6 +24,7 @@ LEVELS = 4
 LEAST = 8  # rows that a literal segment has at least
 SHARE = 0.02  # of its parent's rows
 PRIOR = 4.0  # weight of the corpus' rate in a template's rate
+DOUBT = 20.0  # good rows added to the corpus' rate
 REJECT = 0.5
 Z = 1.96
 
@@ -62,6 +63,9 @@ def leaves(urls: DataFrame, levels: int = LEVELS) -> DataFrame:
         children = stored(children, "url-children")
         parents = children.groupBy("template").agg(F.sum("n").alias("total"))
         literal = children.join(parents, "template").filter((F.col("n") >= LEAST) & (F.col("n") >= SHARE * F.col("total"))).drop("total")
+        # siblings are compared to those of the same make whose rates are in the same quarter, by one sum and not in pairs
+        quarter = F.floor(4 * (F.col("bad") + 0.5) / (F.col("labelled") + 1)).cast("string")
+        literal = literal.withColumn("make", F.concat("make", F.lit(":"), quarter))
         groups = literal.groupBy("template", "make").agg((F.sum("bad") / F.greatest(F.sum("labelled"), F.lit(1))).alias("rate"))
         gap = F.abs(F.col("bad") - F.col("rate") * F.col("labelled"))
         alike = gap <= Z * F.sqrt(F.col("labelled") * F.col("rate") * (1 - F.col("rate")))
@@ -79,9 +83,9 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     known = labels.filter("page_id is not null and bad is not null").groupBy(F.col("page_id").cast("long").alias("page_id")).agg(F.max("bad").cast("int").alias("bad"))
     tree = leaves(base.join(known, "page_id", "left"))
     stats = tree.groupBy("template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    overall = stats.agg((F.sum("bad") / F.greatest(F.sum("labelled"), F.lit(1))).alias("prior"))  # one row
+    overall = stats.agg((F.sum("bad") / (F.sum("labelled") + DOUBT)).alias("prior"))  # one row
     purity = (F.col("bad") + PRIOR * F.coalesce("prior", F.lit(0.0))) / (F.col("labelled") + PRIOR)
-    rejected = stats.crossJoin(F.broadcast(overall)).select("template", (purity >= REJECT).alias("rejected"))
+    rejected = stats.crossJoin(F.broadcast(overall)).select("template", ((F.col("labelled") > 0) & (purity >= REJECT)).alias("rejected"))
     by_path = tree.join(rejected, "template").select("host", "path", "template", "rejected")
     name, verdict = rule(F.col("host"), F.col("path"), rules)
     return base.join(by_path, ["host", "path"], "left").select(
