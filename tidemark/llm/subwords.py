@@ -19,7 +19,7 @@ import pyarrow as pa
 from tidemark.llm.common import ranges, utf8
 
 #: Distinct chunks kept in a worker; the frequent ones come first, and what comes later is encoded each time.
-CACHE = 400_000
+CACHE = 200_000
 
 
 BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batches, ranges, stored, texts, utf8, word_array
+from tidemark.llm.common import batches, ranges, stored, texts, utf8, word_array, words64
 
 GRAM = 24  # bytes whose hash picks the minimizer
 POSITION = 20  # low bits of a packed minimizer
@@ -74,13 +74,6 @@ def _unpressed(raw: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def words64(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from each position on as a number; zeros follow the end."""
-    n = len(data)
-    pad = np.concatenate([data, np.zeros(8, np.uint8)])
-    return np.ascontiguousarray(np.lib.stride_tricks.as_strided(pad, (n, 8), (1, 1))).view("<u8").ravel()
-
-
 def runs(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of string starts with one minimizer: first start, how many, row, and minimizer hash."""
     none = np.zeros(0, np.int64)
