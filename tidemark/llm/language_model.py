@@ -21,7 +21,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import LOWER, batches, hash64, stored, texts, utf8, word_array, word_hashes, word_spans
@@ -29,9 +30,10 @@ from tidemark.llm.subwords import BLANK, subwords
 
 BLOCK, CLASSES, WIDTH, BUCKETS = 16, 32, 16, 64
 ROWS = 11  # a block of documents is 2**ROWS rows at most
-SLICES = 16
+SLICES = 256  # of the context counts
 COLUMNS = BUCKETS + 1  # of the context counts; the last: as the first id of a word
 SAMPLE = 1500  # documents the weights start from
+SPAN = 200  # characters of every training text that its window is taken from
 MIXTURE = (0.1, 0.65, 0.25)  # of a word: its unigram share; that share within the class of its first id, times the class' probability; its ids
 SMOOTH = 30.0
 LN10 = np.log(10)
@@ -107,7 +109,7 @@ class Attention:
         pair, own, add = tables
         at = x.astype(np.int64) + np.arange(2 * BLOCK) * (CLASSES + 1)
         q = at[:, BLOCK:] - BLOCK * (CLASSES + 1)
-        a = pair.ravel().take(q[:, :, None] * pair.shape[1] + at[:, None, :], mode="clip")
+        a = pair.ravel().take((q * pair.shape[1])[:, :, None] + at[:, None, :], mode="clip")
         a[first, :, :BLOCK] = 0
         a /= a @ np.ones((2 * BLOCK, 1), np.float32)
         z = a @ add.take(at, axis=0)
@@ -229,6 +231,11 @@ def _hashed(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, np.searchsorted(starts, offs), codes, hash64(distinct)
 
 
+def task_id() -> int:
+    context = TaskContext.get()
+    return context.partitionId() if context else 0
+
+
 def statistics(copy: DataFrame, path: str, buckets: int) -> DataFrame:
     """Stored blobs: kind 0, word hashes of a block and their training counts, by bucket; kind 1, slices of context counts."""
 
@@ -273,7 +280,7 @@ def statistics(copy: DataFrame, path: str, buckets: int) -> DataFrame:
         if have:
             yield rows(at, have)
             cut = np.linspace(0, size, SLICES + 1).astype(int)
-            yield pa.RecordBatch.from_arrays([pa.array([1] * SLICES, pa.int32()), pa.array(range(SLICES), pa.int64()), pa.array([0] * SLICES, pa.int64()), pa.array([context[x:y].astype("<u4").tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.array([b""] * SLICES, pa.binary())], names=_names(STATS))
+            yield pa.RecordBatch.from_arrays([pa.array([1] * SLICES, pa.int32()), pa.array(range(SLICES), pa.int64()), pa.array([task_id()] * SLICES, pa.int64()), pa.array([context[x:y].astype("<i8").tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.array([b""] * SLICES, pa.binary())], names=_names(STATS))
 
     return stored(copy.select("text", "held", "block").mapInArrow(count, STATS), "lm-statistics")
 
@@ -301,18 +308,21 @@ def word_counts(stats: DataFrame) -> DataFrame:
 
 
 def contexts(stats: DataFrame, size: int) -> np.ndarray:
-    """Context counts of all ids: `size` x COLUMNS numbers reach the driver."""
+    """Context counts of all ids, summed in two steps of about the root of the tasks each: `size` x COLUMNS numbers reach the driver."""
 
     def total(t: pa.Table) -> pa.Table:
         out = None
         for x in t.column("a"):
-            v = np.frombuffer(x.as_buffer(), "<u4").astype(np.int64)
+            v = np.frombuffer(x.as_buffer(), "<i8")
             out = v if out is None else out + v
-        return pa.table({"key": t.column("key").slice(0, 1), "a": pa.array([out.astype("<u4").tobytes()], pa.binary())})
+        return pa.table({"key": t.column("key").slice(0, 1), "lot": t.column("lot").slice(0, 1), "a": pa.array([out.tobytes()], pa.binary())})
 
-    rows = stats.filter("kind = 1").groupBy("key").applyInArrow(total, "key long, a binary").collect()
-    flat = [np.frombuffer(r["a"], "<u4") for r in sorted(rows, key=lambda r: r["key"])]
-    return (np.concatenate(flat) if flat else np.zeros(size * COLUMNS, np.uint32)).reshape(size, COLUMNS).astype(np.float64)
+    rows = stats.filter("kind = 1")
+    lots = int(np.ceil(np.sqrt(rows.filter("key = 0").count()))) or 1
+    rows = rows.select("key", F.pmod("block", F.lit(lots)).alias("lot"), "a").groupBy("key", "lot").applyInArrow(total, "key long, lot long, a binary")
+    rows = rows.groupBy("key").applyInArrow(total, "key long, lot long, a binary").collect()
+    flat = [np.frombuffer(r["a"], "<i8") for r in sorted(rows, key=lambda r: r["key"])]
+    return (np.concatenate(flat) if flat else np.zeros(size * COLUMNS, np.int64)).reshape(size, COLUMNS).astype(np.float64)
 
 
 class Model:
@@ -356,9 +366,15 @@ class Model:
         return out + np.log(within), out
 
 
+def _slice(n: int) -> Column:
+    """n characters of a text, from a place drawn by hash."""
+    at = F.pmod(F.xxhash64("doc_id", F.length("text")), F.greatest(F.length("text") - n, F.lit(1)))
+    return F.substring("text", 1 + at.cast("int"), F.lit(n))
+
+
 def train(copy: DataFrame, model: Model) -> None:
     """Starts the weights on a bounded sample, then trains on a window of every training text in all partitions."""
-    few = copy.filter("not held").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select(F.substring("text", 1, 4000).alias("text")).toArrow()
+    few = copy.filter("not held").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select(_slice(4000).alias("text")).toArrow()
     net = Attention(flat=model.weights)
     if few.num_rows:
         data, offs = utf8(few.column("text").combine_chunks().cast(pa.utf8()))
@@ -382,8 +398,7 @@ def train(copy: DataFrame, model: Model) -> None:
             n += len(pick)
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([own.flat().astype("<f4").tobytes()], pa.binary())], names=["n", "w"])
 
-    near = F.substring("text", 1 + F.pmod(F.xxhash64("doc_id", F.length("text")), F.greatest(F.length("text") - 600, F.lit(1))).cast("int"), F.lit(600))
-    rows = copy.filter("not held").select(near.alias("text")).mapInArrow(local, "n long, w binary").filter("n > 0").collect()  # a row of weights a partition
+    rows = copy.filter("not held").select(_slice(SPAN).alias("text")).mapInArrow(local, "n long, w binary").filter("n > 0").collect()  # a row of weights a partition
     if rows:
         model.weights = np.average([np.frombuffer(r["w"], "<f4") for r in rows], axis=0, weights=[r["n"] for r in rows]).astype(np.float32)
 
@@ -424,7 +439,7 @@ def score(docs: DataFrame, tokenizer: str, folds: int = 5, held: int = 1) -> Dat
                 data = LOWER[data]
                 starts, words, codes, hashes = _hashed(data, offs)
                 each = ready[1][np.searchsorted(ready[0], hashes)] if len(hashes) else np.zeros(0, np.int64)
-                c, uni = each[codes], np.log10((each + 0.5) / floor)[codes]
+                c, uni, share = each[codes], np.log10((each + 0.5) / floor)[codes], ((each + 0.5) / floor)[codes]
                 n = np.diff(words)
                 last = np.log10((learned + 0.5) / floor)
                 sums = np.concatenate([[0], np.cumsum(uni)])
@@ -439,7 +454,8 @@ def score(docs: DataFrame, tokenizer: str, folds: int = 5, held: int = 1) -> Dat
                 final = np.append(row[1:] != row[:-1], True)[: len(chunk)]
                 upto = np.where(final, (ends[1:] - 1)[row], np.append(before[chunk[1:]], 0)[: len(chunk)])
                 plain, at_first = uni * LN10, before[chunk]
-                mixed = np.logaddexp(np.logaddexp(plain + MIX[0], plain + by_class[at_first] - m.opening[classes[at_first]] + MIX[1]), by_id[upto] - by_id[at_first] + MIX[2])
+                within = MIXTURE[0] + MIXTURE[1] * np.exp(by_class[at_first] - m.opening[classes[at_first]])
+                mixed = np.log(share * within + MIXTURE[2] * np.exp(by_id[upto] - by_id[at_first]))
                 mixed = np.where(lead & (upto > at_first), mixed, plain)  # a word without ids of its own
                 own = np.diff(np.concatenate([[0], np.cumsum(mixed)])[words])
                 tail = by_id[ends[1:]] - by_id[ends[1:] - 1]
