@@ -128,6 +128,19 @@ def test_language_model(spark):
     assert language_model.score(frame(spark, []), WORDS).count() == 0
 
 
+def test_training_takes_every_id(spark):
+    texts = [words(random.Random(1), 3000), words(random.Random(2), 40), "", None, words(random.Random(3), 7)]
+    docs = [(i, t, i == 1) for i, t in enumerate(texts)]
+    model = language_model.Model(WORDS, np.zeros((len(language_model.subwords(WORDS).bytes), language_model.COLUMNS)))
+    before, data = model.weights, [(t or "").lower().encode() for i, t in enumerate(texts) if i != 1]
+    offs = np.cumsum([0, *map(len, data)])
+    ids = model.sequences(language_model.subwords(WORDS), np.frombuffer(b"".join(data), np.uint8), offs)[0]
+    assert len(ids) > 3000
+    assert language_model.train(spark.createDataFrame(docs, "doc_id long, text string, held boolean"), model) == len(ids)
+    assert not np.array_equal(before, model.weights)
+    assert language_model.train(spark.createDataFrame([], "doc_id long, text string, held boolean"), model) == 0
+
+
 def test_attention_gradients_and_windows():
     rng = np.random.default_rng(0)
     net = language_model.Attention()

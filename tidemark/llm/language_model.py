@@ -3,8 +3,8 @@
 All training texts are counted: words by 64-bit hash, and subword ids by the hash bucket of the id before them. Ids
 are clustered into classes by these contexts. A one-layer attention model predicts the next class from the classes
 before it; an id follows from its class and the bucket before, and a word has the product over its ids. A word's
-probability mixes this with its unigram share, plain and within the predicted class of its first id. Weights start from a bounded sample on the driver; then every partition
-trains on windows of all its training texts and the results are averaged, weighted by windows.
+probability mixes this with its unigram share, plain and within the predicted class of its first id. Weights start from a few whole texts in one task; then every partition
+trains on all blocks of all its training texts and the results are averaged, weighted by ids.
 
 Texts are scored in blocks of BLOCK ids: a block's queries attend to itself (causally) and to the block before, so
 context windows overlap by half and each id is scored once, many blocks at a time.
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import LOWER, batches, hash64, stored, texts, utf8, word_array, word_hashes, word_spans
@@ -33,7 +33,6 @@ ROWS = 11  # a block of documents is 2**ROWS rows at most
 SLICES = 256  # of the context counts
 COLUMNS = BUCKETS + 1  # of the context counts; the last: as the first id of a word
 SAMPLE = 1500  # documents the weights start from
-SPAN = 200  # characters of every training text that its window is taken from
 MIXTURE = (0.1, 0.65, 0.25)  # of a word: its unigram share; that share within the class of its first id, times the class' probability; its ids
 SMOOTH = 30.0
 LN10 = np.log(10)
@@ -366,41 +365,36 @@ class Model:
         return out + np.log(within), out
 
 
-def _slice(n: int) -> Column:
-    """n characters of a text, from a place drawn by hash."""
-    at = F.pmod(F.xxhash64("doc_id", F.length("text")), F.greatest(F.length("text") - n, F.lit(1)))
-    return F.substring("text", 1 + at.cast("int"), F.lit(n))
-
-
-def train(copy: DataFrame, model: Model) -> None:
-    """Starts the weights on a bounded sample, then trains on a window of every training text in all partitions."""
-    few = copy.filter("not held").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select(_slice(4000).alias("text")).toArrow()
-    net = Attention(flat=model.weights)
-    if few.num_rows:
-        data, offs = utf8(few.column("text").combine_chunks().cast(pa.utf8()))
-        _, ends, _, _, classes = model.sequences(subwords(model.path), LOWER[data], offs)
-        x, first, y, _ = windows(classes, ends)
-        order = np.random.default_rng(3).permutation(len(x))[: 64 * 800]
-        net.train(x[order], first[order], y[order], 0.01, 1)
-        model.weights = net.flat()
-    shared = copy.sparkSession.sparkContext.broadcast(model)
-
-    def local(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        own, n = Attention(flat=m.weights), 0
-        for b in batches(it):
-            data, offs = utf8(b.column("text"))
-            _, ends, _, _, classes = m.sequences(subwords(m.path), LOWER[data], offs)
-            x, first, y, _ = windows(classes, ends)
-            k = np.diff(np.concatenate([np.flatnonzero(first), [len(first)]]))
-            pick = np.flatnonzero(first) + np.arange(len(k)) * 7919 % k  # one block of each text
-            own.train(x[pick], first[pick], y[pick], 0.001, 1)
-            n += len(pick)
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([own.flat().astype("<f4").tobytes()], pa.binary())], names=["n", "w"])
-
-    rows = copy.filter("not held").select(_slice(SPAN).alias("text")).mapInArrow(local, "n long, w binary").filter("n > 0").collect()  # a row of weights a partition
-    if rows:
-        model.weights = np.average([np.frombuffer(r["w"], "<f4") for r in rows], axis=0, weights=[r["n"] for r in rows]).astype(np.float32)
+def train(copy: DataFrame, model: Model) -> int:
+    """Starts the weights on a few whole texts, then trains on every block of every training text in all partitions and
+    averages by ids. Returns the number of ids the averaged weights were trained on, end ids counted."""
+
+    def trained(texts: DataFrame, rate: float) -> int:
+        shared = texts.sparkSession.sparkContext.broadcast(model)
+
+        def local(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m = shared.value
+            own, n, rng = Attention(flat=m.weights), 0, np.random.default_rng(3)
+            for b in batches(it):
+                data, offs = utf8(b.column("text"))
+                _, ends, _, _, classes = m.sequences(subwords(m.path), LOWER[data], offs)
+                x, first, y, _ = windows(classes, ends)
+                order = rng.permutation(len(x))
+                own.train(x[order], first[order], y[order], rate, 1)
+                n += len(classes)
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([own.flat().astype("<f4").tobytes()], pa.binary())], names=["n", "w"])
+
+        rows = texts.select("text").mapInArrow(local, "n long, w binary").filter("n > 0").collect()  # a row of weights a partition
+        if rows:
+            model.weights = np.average([np.frombuffer(r["w"], "<f4") for r in rows], axis=0, weights=[r["n"] for r in rows]).astype(np.float32)
+        return sum(r["n"] for r in rows)
+
+    every = copy.filter("not held")
+    drawn = every.withColumn("h", F.xxhash64("doc_id", "text"))
+    last = drawn.select("h").orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]  # so that no more than the drawn texts are sorted
+    if last is not None:
+        trained(drawn.filter(F.col("h") <= last).orderBy("h").limit(SAMPLE), 0.01)
+    return trained(every, 0.001)
 
 
 def score(docs: DataFrame, tokenizer: str, folds: int = 5, held: int = 1) -> DataFrame:
