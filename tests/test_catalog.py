@@ -35,3 +35,16 @@ def test_query(spark, duck, name):
         names = [d[0] for d in r.description]
         assert sorted(names) == cols
         assert got == sorted(tuple(plain(row[names.index(c)]) for c in cols) for row in r.fetchall())
+
+
+def test_pair_dashboard_takes_all_pairs(spark):
+    sizes = catalog.vectors(spark, DATA).groupBy("head").count().collect()
+    want = {}
+    for head, n in sizes:
+        last = range(max(0, n - catalog.N), n)  # the anchors
+        want |= {(head, "qk"): sum(p + 1 for p in last), (head, "qq"): len(last) * (n - 1), (head, "kk"): len(last) * (n - 1)}
+    got, bins = {}, 0
+    for r in catalog.pair_dashboard(spark, DATA).filter("metric = 'cos'").collect():
+        got[r["head"], r["pair_type"]] = got.get((r["head"], r["pair_type"]), 0) + r["n"]
+        bins = max(bins, r["bin"])
+    assert got == {k: n for k, n in want.items() if n} and bins == 15

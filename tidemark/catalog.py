@@ -609,7 +609,7 @@ def rope_raw_comparison(spark, sf):
 @query()
 def pair_dashboard(spark, sf):
     v = vectors(spark, sf)
-    return rounded(report.pair_panels(A.last_queries(v, N).select("head", F.col("qpos").alias("pos")), v, DIM, 5, 10, 50), "centre", "mean", "sem")
+    return rounded(report.pair_panels(A.last_queries(v, N).select("head", F.col("qpos").alias("pos")), v, DIM, most=None), "centre", "mean", "sem")
 
 
 # ---- benchmark examples
