@@ -108,6 +108,18 @@ def test_secrets(spark):
     assert secret_scan.scan(frame(spark, []), model, WORDS).count() == 0
 
 
+def test_short_and_marked_secrets(spark):
+    model = secret_scan.train(secret_scan.word_list(WORDS))
+    cases = [
+        ("the password=Tr0ub4dor3 was set", "Tr0ub4dor3"), ("a token = \"kXqPzLmRtVwBnD\" b", "kXqPzLmRtVwBnD"), ("secret=correcthorsebatterystaple\n", "correcthorsebatterystaple"), ("é passwd='x7!Kq@9z$w#2' ok", "x7!Kq@9z$w#2"),
+        ("the key features of token management, and authentication", None), ("password = getenv(\"HOME\")", None), ("this is internationalization of understanding", None), ("ends with a key", None), ("=plainvalue is the start", None),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    rows = secret_scan.scan(docs, model, WORDS).filter("secret").collect()
+    assert {(r.doc_id, cases[r.doc_id][0].encode()[r.start_byte : r.end_byte].decode()) for r in rows} == {(i, v) for i, (_, v) in enumerate(cases) if v}
+    assert {r.doc_id: r.text for r in secret_scan.redact(docs, model, WORDS).collect()}[3] == "é passwd='[SECRET]' ok"
+
+
 def test_language_model(spark):
     docs = [*odd_docs(), *((500 + i, words(random.Random(i), 150), None, None, None) for i in range(60))]
     count, each = Counter(), []

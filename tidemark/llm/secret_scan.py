@@ -1,6 +1,7 @@
 """Secret scans: a random forest over candidates removes the false positives of a broad search.
 
-Candidates are runs of key characters that are long and hold digits or switch case often. Features: length,
+Candidates are long runs of key characters, shorter ones up to two words after a hint word, and whatever a hint word is
+set to (`password=`, `"token": "`), marks too: the forest decides. Features: length,
 transitions between character classes, how much of it a word list covers, the path around it and the neighbouring
 words. The forest is trained on labelled findings; `labelled_findings` makes a seeded set, and others can be passed.
 
@@ -28,10 +29,13 @@ from tidemark.llm.quality import Trees
 
 FINDINGS = "doc_id long, start_byte long, end_byte long, length int, preview string, score double, secret boolean"
 LEAST = 12  # characters of a candidate
+SHORT = 6  # of one after a hint word
+BETWEEN = 2  # words between a hint word and its candidate at most
 NEAR = 48  # bytes looked at on either side
 MASK = "[SECRET]"
 
 _KEY = np.isin(np.arange(256), [ord(c) for c in string.ascii_letters + string.digits + "_-+/."])
+_WORD = np.isin(np.arange(256), [ord(c) for c in string.ascii_letters + "_"])
 _CLASS = np.full(256, 4, np.uint8)  # 0 digit, 1 lower, 2 upper, 3 joiner, 4 other
 for _k, _cs in enumerate((string.digits, string.ascii_lowercase, string.ascii_uppercase, "_-+/.")):
     for _c in _cs:
@@ -39,6 +43,10 @@ for _k, _cs in enumerate((string.digits, string.ascii_lowercase, string.ascii_up
 
 # Words that tell of a secret, and words that tell of something else.
 HINTS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "key", "auth", "bearer", "credential", "private", "aws", "access")
+_HINT = re.compile(b"(?i)(?:" + "|".join(HINTS).encode() + b")[a-z_]*")
+_TIE = re.compile(rb"[\"'`\])]*[ \t]*(?::=|=>|==|=|:)[ \t\r\n]*([\"'`]?)|[ \t]*([\"'`])")
+_QUOTED = re.compile(rb"[!#-&(-_a-~]{%d,}" % SHORT)
+_MARKED = re.compile(rb"[A-Za-z0-9_+/.!@$#%%^*~?=-]{%d,}" % SHORT)
 OTHERS = ("sha", "commit", "md5", "checksum", "hash", "uuid", "id", "version", "isbn", "phone", "example", "sample", "digest", "build", "ref")
 
 
@@ -81,6 +89,11 @@ def features(value: str, before: str, after: str, words: frozenset[str]) -> list
     ]
 
 
+_COMMON = "correct horse battery staple summer winter dragon monkey coffee river mountain purple orange silver garden window rocket tiger planet ocean thunder shadow castle guitar pepper cookie sunshine wizard falcon marble copper forest cloud banana engine bridge candle pirate lemon violet anchor".split()
+_PROSE = "features management required information available different generally configuration authentication understanding administrator performance internationalization characteristics documentation questions development services yesterday something because through another between without question example resource signature exchange approach".split()
+_CODE = "None null true false undefined required optional string String default getenv os.environ process.env.TOKEN config.password self.password args.token request.headers values settings.SECRET_KEY options.auth get_password user.token password username changeme hidden redacted".split()
+
+
 def labelled_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str, int]]:
     """(candidate, text before, text after, 1 if a secret): a seeded set with both kinds."""
     r = random.Random(seed)
@@ -106,6 +119,32 @@ def labelled_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str,
             out.append((pick(b64 + "+/", r.randint(24, 60)), f"Authorization: Bearer{r.choice([' ', ': '])}", "\n" + plain(), 1))
         else:
             out.append(("eyJ" + pick(b64 + "_-", 30) + "." + pick(b64 + "_-", 40) + "." + pick(b64 + "_-", 43), plain() + r.choice([" ", "=", ": "]), " ", 1))
+        tied, after = r.choice([("=", " "), ("='", "' "), ('="', '" '), (': "', '" '), ('": "', '", '), (" = ", "\n"), (": ", "\n")])
+        kind = r.randrange(4)
+        leet = str.maketrans("aeios", "43105")
+        common = r.choice(_COMMON)
+        if kind == 0:
+            value = (common if r.random() < 0.5 else word(r.randint(2, 4))).translate(leet) + pick(string.digits, r.randint(1, 4))
+            value = value.capitalize() if r.random() < 0.6 else value
+        elif kind == 1:
+            value = pick(string.ascii_letters, r.randint(8, 24))
+        elif kind == 2:
+            value = r.choice(["", "", "-", "_"]).join(r.choice(_COMMON) if r.random() < 0.7 else word(3) for _ in range(r.randint(3, 6)))
+        else:
+            value = pick(b64, r.randint(3, 8)) + r.choice("!@$#%") + pick(b64 + "!@$#%^&*", r.randint(3, 9))
+        out.append((value, f"{plain()} {key}{tied}", after + plain(), 1))
+        kind = r.randrange(5)
+        if kind == 0:
+            out.append((r.choice(_PROSE) if r.random() < 0.6 else word(r.randint(3, 8))[: r.randint(6, 16)].ljust(6, "e"), f"{plain()} {key} " + r.choice(["", "", "is ", "for the "]), r.choice([" ", ", "]) + plain(), 0))
+        elif kind == 1:
+            out.append((r.choice([c for c in _CODE if len(c) >= SHORT]), f"{plain()} {key}{tied}", r.choice(["(", after, "["]) + plain(), 0))
+        elif kind == 2:
+            shape = r.choice([str.lower, str.upper, str.capitalize])
+            out.append((shape("".join(word(1) for _ in range(r.randint(6, 12))).ljust(LEAST, "n")), shape(plain()) + r.choice([" ", "!! ", " $$", ", "]), r.choice([" ", ",", "!! "]) + plain(), 0))
+        elif kind == 3:
+            out.append((r.choice(["www.", ""]) + "/".join(word(r.randint(2, 4)) for _ in range(r.randint(2, 4))), plain() + r.choice([" ", "://", "/"]), " " + plain(), 0))
+        else:
+            out.append(("".join(word(r.randint(1, 3)).capitalize() for _ in range(r.randint(3, 5))) if r.random() < 0.5 else r.choice("-_").join(word(2) for _ in range(4)), plain() + r.choice([" ", " new "]), r.choice(["(", " ", "."]) + plain(), 0))
         kind = r.randrange(12)
         end = " " + plain()
         if kind == 0:
@@ -173,6 +212,22 @@ def train(words: frozenset[str], findings: list[tuple[str, str, str, int]] | Non
     return forest(x, np.array([r[3] for r in rows], float))
 
 
+def hinted(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ends of the hint words, and starts and ends of the runs they are set to."""
+    raw, ends, runs = data.tobytes(), [], []
+    for lo, hi in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+        done = lo
+        for m in _HINT.finditer(raw, lo, hi):
+            ends.append(m.end())
+            if m.start() >= done and (tie := _TIE.match(raw, m.end(), hi)):
+                run = (_QUOTED if tie[1] or tie[2] else _MARKED).match(raw, tie.end(), hi)
+                if run and run.end() - (raw[run.end() - 1] == ord(".")) - run.start() >= SHORT:
+                    done = run.end()
+                    runs.append((run.start(), done - (raw[done - 1] == ord("."))))
+    at = np.array(runs, np.int64).reshape(-1, 2)
+    return np.array(ends, np.int64), at[:, 0], at[:, 1]
+
+
 def candidates(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs worth scoring."""
     if not len(data):
@@ -187,13 +242,25 @@ def candidates(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     s, e = np.flatnonzero(start), np.flatnonzero(end)
     dot = (data[e - 1] == ord(".")) if len(e) else np.zeros(0, bool)  # the sentence's, not the candidate's
     e = e - dot
-    long = e - s >= LEAST
-    s, e = s[long], e[long]
-    kinds = _CLASS[data]
-    digit = np.concatenate([[0], np.cumsum(kinds == 0)])
-    switch = np.concatenate([[0, 0], np.cumsum((kinds[1:] == 2) & (kinds[:-1] == 1))]) if len(data) > 1 else np.zeros(len(data) + 1, int)
-    keep = (digit[e] > digit[s]) | ((e - s >= 20) & (switch[e] - switch[np.minimum(s + 1, len(data))] >= 2))
-    return s[keep], e[keep]
+    some = e - s >= SHORT
+    s, e = s[some], e[some]
+    hints, first, last = hinted(data, offs)
+    near = np.zeros(len(s), bool)
+    if len(hints) and len(s):
+        h = hints[np.maximum(np.searchsorted(hints, s, side="right") - 1, 0)]
+        word = _WORD[data]
+        opens = word.copy()
+        opens[1:] &= ~word[:-1]
+        opened = np.concatenate([[0], np.cumsum(opens)])
+        row = lambda x: np.searchsorted(offs, x, side="right")
+        near = (h <= s) & (s - h <= NEAR) & (row(h - 1) == row(s)) & (opened[s] - opened[np.minimum(h, s)] <= BETWEEN)
+    keep = (e - s >= LEAST) | near
+    if len(first):  # a run with marks stands for those in it
+        own = np.searchsorted(first, e - 1, side="right") - 1
+        keep &= (own < 0) | (s >= last[np.maximum(own, 0)])
+    s, e = np.concatenate([s[keep], first]), np.concatenate([e[keep], last])
+    order = np.argsort(s, kind="stable")
+    return s[order], e[order]
 
 
 def found(col: pa.Array, model: Trees, words: frozenset[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
