@@ -9,10 +9,12 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,27 +22,54 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 2 << 20
 
 
+#: What Arrow batches hold while a table is stored: long rows go to Python in small batches, to bound its memory.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or ""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a temporary one, on one machine only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: it names the folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session's settings changed, and put back in the end."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with settings(spark, SMALL_BATCHES):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def input_bytes(df: DataFrame) -> int:
+    """The optimizer's size of a table, which for files is theirs: no rows are read. 0 where it is not known."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
 def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key as long and text, null texts empty. Long rows go to Python in small batches, to bound its memory."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    """Key as long and text, null texts empty."""
     return df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
@@ -60,6 +89,37 @@ def batches(it: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHU
     settle()
 
 
+def gathered(it: Iterator[pa.RecordBatch], limit: int, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `limit` bytes of `column`, put together or cut; one long text stays whole."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches(it, column, limit):
+        own = pc.sum(pc.binary_length(b.column(b.schema.get_field_index(column)))).as_py() or 0
+        if held and size + own > limit:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        held.append(b)
+        size += own
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def pressed(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length put together and compressed."""
+    return zstandard.ZstdCompressor(3).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+
+
+def unpressed(raw: bytes, *kinds: str) -> list[np.ndarray]:
+    """The arrays, of these kinds."""
+    raw = zstandard.ZstdDecompressor().decompress(raw)
+    widths = [np.dtype(k).itemsize for k in kinds]
+    n, at, out = len(raw) // sum(widths), 0, []
+    for k, w in zip(kinds, widths, strict=True):
+        out.append(np.frombuffer(raw, k, n, at))
+        at += n * w
+    return out
+
+
 def settle() -> None:
     """Hands freed memory back to the system at the end of a task: workers live on, for tasks of other kinds."""
     pa.default_memory_pool().release_unused()

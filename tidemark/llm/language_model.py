@@ -1,23 +1,39 @@
 """Language-model scoring: causal self-attention over classes of subword ids, trained in numpy.
 
-All training texts are counted: words by 64-bit hash, and subword ids by the hash bucket of the id before them. Ids
-are clustered into classes by these contexts. A one-layer attention model predicts the next class from the classes
-before it; an id follows from its class and the bucket before, and a word has the product over its ids. A word's
-probability mixes this with its unigram share, plain and within the predicted class of its first id. Weights start from a few whole texts in one task; then every partition
-trains on all blocks of all its training texts and the results are averaged, weighted by ids.
-
-Texts are scored in blocks of BLOCK ids: a block's queries attend to itself (causally) and to the block before, so
-context windows overlap by half and each id is scored once, many blocks at a time.
-
-Word counts never meet in one place: they are summed in hash buckets and sent back to blocks of documents.
-
-Defined results: null or empty texts hold the end token alone; without training texts every count is 0; rows with
-equal ids are scored each; a null id counts as training; an empty table gives no rows; extra columns are ignored.
+Texts are words; a word is the ids that it has by itself. A symbol is an id that says whether it ends its word, so
+the symbols of a word and of no other word spell it. All training texts are counted: words, and symbols by the hash
+bucket of the symbol before them. Symbols are clustered into classes by these contexts. A one-layer attention model
+predicts the class of the next symbol from the classes before it, and carries every probability:
+
+    P(word | past) = A(class of its first symbol) * (share * words(word | class) + (1 - share) * spelled)
+    spelled = in_class(first symbol | class, bucket) * product over its other symbols of A(class) * in_class(symbol)
+
+words() are counted shares among the training words that begin with that class, in_class() smoothed shares of a
+symbol within its class after a bucket. A, words() and in_class() each sum to 1, so the model's probabilities of all
+words and the end do so too (tests add them up). The share is the one of SHARES under which the training texts are
+likeliest, each word left out of the counts it is judged by.
+
+Weights are trained on every window of every training text, once: texts are dealt by their hash into slices of about
+SLICE symbols, trained in order of the hash. A quarter of the slices trains from the start values, and their weights
+are averaged; the other slices go on from there and are averaged again, in a tree and in order. So scores don't
+depend on how rows lie in partitions.
+
+Texts are scored in blocks of BLOCK symbols: a block's queries attend to itself (causally) and to the block before,
+so windows overlap by half and each symbol is scored once, many blocks at a time.
+
+The texts are read and encoded once, into units of some MB of word codes. Word counts are summed in hash buckets
+whose number follows the input's bytes, and go back to the units that hold the words; nothing but the context counts
+of the vocabulary (a fixed size) reaches the driver.
+
+Defined results: null or empty texts hold the end alone; without training texts every count is 0; rows with equal
+ids are scored each; a null id counts as training; an empty table gives no rows; extra columns are ignored; a very
+long text is one unit, whose windows are made some thousand blocks at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,37 +41,52 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, batches, hash64, stored, texts, utf8, word_array, word_hashes, word_spans
-from tidemark.llm.subwords import BLANK, subwords
+from tidemark.llm.common import LOWER, gathered, hash64, input_bytes, pressed, ranges, settle, stored, texts, unpressed, utf8
+from tidemark.llm.common import word_array, word_hashes, word_spans
+from tidemark.llm.subwords import subwords
 
 BLOCK, CLASSES, WIDTH, BUCKETS = 16, 32, 16, 64
-ROWS = 11  # a block of documents is 2**ROWS rows at most
+UNIT_BYTES = 6 << 20  # of text in a unit
+BUCKET_BYTES = 16 << 20  # of input for each bucket of word counts
 SLICES = 256  # of the context counts
-COLUMNS = BUCKETS + 1  # of the context counts; the last: as the first id of a word
-SAMPLE = 1500  # documents the weights start from
-MIXTURE = (0.1, 0.65, 0.25)  # of a word: its unigram share; that share within the class of its first id, times the class' probability; its ids
+COLUMNS = BUCKETS + 1  # of the context counts; the last: as the first symbol of a word
+SLICE = 2_000_000  # symbols that train together
+BATCH = 64  # blocks in a step of training
+RATES = (0.01, 0.002)  # of the first quarter of the slices, and of the others
+FAN = 64  # rows of weights averaged at a time
 SMOOTH = 30.0
+SHARES = (0.05, 0.2, 0.4, 0.6, 0.8, 0.95)  # tried for words(); the rest is spelled
 LN10 = np.log(10)
-MIX = np.log(MIXTURE)
 
-STATS = "kind int, key long, block long, a binary, b binary"
-COUNTS = "block long, hashes binary, counts binary, types long, tokens long"
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+ANALYSED = "kind int, unit long, key long, at long, docs binary, codes binary, spelled binary, a binary, b binary"
+COUNTS = "unit long, at long, counts binary, types long, tokens long"
+WEIGHTS = "slice long, n long, w binary"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, scores array<double>, fits array<double>"
 
 
 def _names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
 
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
+    fields = [c.split() for c in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[f[0] for f in fields])
+
+
 class Attention:
     """One causal self-attention layer over classes; class CLASSES is the start, and padding."""
 
-    SHAPES = {"E": (CLASSES + 1, WIDTH), "P": (2 * BLOCK, WIDTH), "Q": (WIDTH, WIDTH), "K": (WIDTH, WIDTH), "V": (WIDTH, WIDTH), "O": (WIDTH, WIDTH), "U": (WIDTH, CLASSES), "B": (CLASSES + 1, CLASSES)}
+    SHAPES = {
+        "E": (CLASSES + 1, WIDTH), "P": (2 * BLOCK, WIDTH), "Q": (WIDTH, WIDTH), "K": (WIDTH, WIDTH), "V": (WIDTH, WIDTH),
+        "O": (WIDTH, WIDTH), "U": (WIDTH, CLASSES), "B": (CLASSES + 1, CLASSES),
+    }
 
     def __init__(self, bigrams: np.ndarray | None = None, flat: np.ndarray | None = None):
         rng = np.random.default_rng(5)
         self.w = {k: (rng.standard_normal(s) * 0.1).astype(np.float32) for k, s in self.SHAPES.items()}
-        self.w["O"][:] = self.w["U"][:] = 0
+        self.w["O"][:] = 0
         self.w["U"][:] = (rng.standard_normal(self.w["U"].shape) * 0.02).astype(np.float32)
         if bigrams is not None:
             share = bigrams + 0.5
@@ -66,31 +97,40 @@ class Attention:
                 n = int(np.prod(s))
                 self.w[k] = flat[at : at + n].reshape(s).astype(np.float32)
                 at += n
+        self.m = {k: np.zeros_like(v) for k, v in self.w.items()}
+        self.s = {k: np.zeros_like(v) for k, v in self.w.items()}
+        self.steps = 0
         causal = np.tril(np.ones((BLOCK, BLOCK), bool))
         self.mask = np.where(np.hstack([np.ones((BLOCK, BLOCK), bool), causal]), 0, -np.inf).astype(np.float32)
-        self.no_past = np.where(np.hstack([np.zeros((BLOCK, BLOCK), bool), causal]), 0, -np.inf).astype(np.float32)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.w[k].ravel() for k in self.SHAPES])
 
     def forward(self, x: np.ndarray, first: np.ndarray) -> tuple:
-        """Class log-probabilities after each of the last BLOCK classes of x (windows, 2 * BLOCK); first: no block before."""
-        w = self.w
-        e = w["E"][x] + w["P"]
-        q = e[:, BLOCK:] @ w["Q"]
-        k, v = e @ w["K"], e @ w["V"]
+        """Class probabilities after each of the last BLOCK classes of x (windows, 2 * BLOCK), flat, and what led there;
+        first: there is no block before."""
+        w, n = self.w, len(x)
+        e = w["E"][x]
+        e += w["P"]
+        own = e[:, BLOCK:].reshape(-1, WIDTH)
+        every = e.reshape(-1, WIDTH)
+        q = (own @ w["Q"] * np.float32(WIDTH**-0.5)).reshape(n, BLOCK, WIDTH)
+        k, v = (every @ w["K"]).reshape(n, 2 * BLOCK, WIDTH), (every @ w["V"]).reshape(n, 2 * BLOCK, WIDTH)
         s = q @ k.transpose(0, 2, 1)
-        s *= WIDTH**-0.5
-        s += np.where(first[:, None, None], self.no_past, self.mask)
+        s += self.mask
+        s[first, :, :BLOCK] = -np.inf
         s -= s.max(2, keepdims=True)
         a = np.exp(s, out=s)
         a /= a.sum(2, keepdims=True)
-        o = a @ v
-        h = e[:, BLOCK:] + o @ w["O"]
-        z = h @ w["U"] + w["B"][x[:, BLOCK:]]
-        z -= z.max(2, keepdims=True)
-        z -= np.log(np.exp(z).sum(2, keepdims=True))
-        return z, (e, q, k, v, a, o, h)
+        o = (a @ v).reshape(-1, WIDTH)
+        h = o @ w["O"]
+        h += own
+        z = h @ w["U"]
+        z += w["B"][x[:, BLOCK:].ravel()]
+        z -= z.max(1, keepdims=True)
+        np.exp(z, out=z)
+        z /= z.sum(1, keepdims=True)
+        return z, (own, every, q, k, v, a, o, h)
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The layer as tables by (position, class): exponentials of masked scores of a query and a key, logits of a
@@ -101,7 +141,8 @@ class Attention:
         k = (e @ w["K"]).reshape(2 * BLOCK * n, WIDTH)
         s = np.exp(np.minimum(q @ k.T * np.float32(WIDTH**-0.5), 60))
         s = (s.reshape(BLOCK, n, 2 * BLOCK, n) * (self.mask == 0)[:, None, :, None]).reshape(BLOCK * n, 2 * BLOCK * n)
-        return s.astype(np.float32), (e[BLOCK:] @ w["U"] + w["B"]).reshape(BLOCK * n, CLASSES), (e @ w["V"] @ w["O"] @ w["U"]).reshape(2 * BLOCK * n, CLASSES)
+        own = (e[BLOCK:] @ w["U"] + w["B"]).reshape(BLOCK * n, CLASSES)
+        return s.astype(np.float32), own, (e @ w["V"] @ w["O"] @ w["U"]).reshape(2 * BLOCK * n, CLASSES)
 
     def log_classes(self, x: np.ndarray, first: np.ndarray, y: np.ndarray, tables: tuple) -> np.ndarray:
         """Log-probability of each target, as forward() has it, from the tables."""
@@ -118,70 +159,67 @@ class Attention:
         return got - np.log(np.exp(z, out=z) @ np.ones(CLASSES, np.float32))
 
     def gradient(self, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
-        """Loss and gradients; y: the next class, or -1 where there is none."""
-        w, live = self.w, y >= 0
-        z, (e, q, k, v, a, o, h) = self.forward(x, first)
-        n = max(1, int(live.sum()))
-        loss = -float(np.take_along_axis(z, np.maximum(y, 0)[..., None], 2)[..., 0][live].sum()) / n
-        dz = np.exp(z)
-        np.put_along_axis(dz, np.maximum(y, 0)[..., None], np.take_along_axis(dz, np.maximum(y, 0)[..., None], 2) - 1, 2)
-        dz *= live[..., None] / np.float32(n)
+        """Mean loss and its gradients; y: the next class, or -1 where there is none."""
+        w, nw, live = self.w, len(x), y.ravel() >= 0
+        z, (own, every, q, k, v, a, o, h) = self.forward(x, first)
+        rows, want, n = np.arange(len(live)), np.maximum(y, 0).ravel(), max(1, int(live.sum()))
+        loss = -float(np.log(np.maximum(z[rows, want][live], 1e-30)).sum()) / n
+        z[rows, want] -= 1
+        z[~live] = 0
+        z *= np.float32(1 / n)
         flat = lambda m: m.reshape(-1, m.shape[-1])
-        g = {"U": flat(h).T @ flat(dz), "B": np.zeros_like(w["B"])}
-        np.add.at(g["B"], x[:, BLOCK:].ravel(), flat(dz))
-        dh = dz @ w["U"].T
-        g["O"] = flat(o).T @ flat(dh)
-        do = dh @ w["O"].T
+        # rows are summed by class through a product with 0 and 1: much faster than adding them one by one
+        hot = np.zeros((nw * 2 * BLOCK, CLASSES + 1), np.float32)
+        hot[np.arange(len(hot)), x.ravel()] = 1
+        g = {"U": h.T @ z, "B": flat(hot.reshape(nw, 2 * BLOCK, -1)[:, BLOCK:]).T @ z}
+        dh = z @ w["U"].T
+        g["O"] = o.T @ dh
+        do = (dh @ w["O"].T).reshape(nw, BLOCK, WIDTH)
         da, dv = do @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ do
-        ds = a * (da - (da * a).sum(2, keepdims=True)) * np.float32(WIDTH**-0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        own = e[:, BLOCK:]
-        g["Q"], g["K"], g["V"] = flat(own).T @ flat(dq), flat(e).T @ flat(dk), flat(e).T @ flat(dv)
-        de = dk @ w["K"].T + dv @ w["V"].T
-        de[:, BLOCK:] += dh + dq @ w["Q"].T
+        da -= (da * a).sum(2, keepdims=True)
+        da *= a
+        dq, dk = flat(da @ k) * np.float32(WIDTH**-0.5), flat(da.transpose(0, 2, 1) @ q)
+        dv = flat(dv)
+        g["Q"], g["K"], g["V"] = own.T @ dq, every.T @ dk, every.T @ dv
+        de = (dk @ w["K"].T + dv @ w["V"].T).reshape(nw, 2 * BLOCK, WIDTH)
+        de[:, BLOCK:] += (dh + dq @ w["Q"].T).reshape(nw, BLOCK, WIDTH)
         g["P"] = de.sum(0)
-        g["E"] = np.zeros_like(w["E"])
-        np.add.at(g["E"], x.ravel(), flat(de))
+        g["E"] = hot.T @ flat(de)
         return loss, g
 
-    def train(self, x: np.ndarray, first: np.ndarray, y: np.ndarray, rate: float, epochs: int, size: int = 64) -> list[float]:
-        """Adam over the windows in their given order."""
-        m = {k: np.zeros_like(v) for k, v in self.w.items()}
-        s = {k: np.zeros_like(v) for k, v in self.w.items()}
-        t, losses = 0, []
-        for _ in range(epochs):
-            for lo in range(0, len(x), size):
-                loss, g = self.gradient(x[lo : lo + size], first[lo : lo + size], y[lo : lo + size])
-                losses.append(loss)
-                t += 1
-                for k, d in g.items():
-                    m[k] = 0.9 * m[k] + 0.1 * d
-                    s[k] = 0.99 * s[k] + 0.01 * d * d
-                    self.w[k] = (self.w[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
-        return losses
-
-
-def windows(classes: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Blocks of all rows: inputs (blocks, 2 * BLOCK), no block before, targets (-1: none), and each target's place."""
+    def step(self, x: np.ndarray, first: np.ndarray, y: np.ndarray, rate: float) -> float:
+        """One step of Adam."""
+        loss, g = self.gradient(x, first, y)
+        self.steps += 1
+        for k, d in g.items():
+            m, s = self.m[k], self.s[k]
+            m += 0.1 * (d - m)
+            s += 0.01 * (d * d - s)
+            self.w[k] -= np.float32(rate) * (m / (1 - 0.9**self.steps)) / (np.sqrt(s / (1 - 0.99**self.steps)) + np.float32(1e-6))
+        return loss
+
+
+def blocks(classes: np.ndarray, offs: np.ndarray, most: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All blocks of all rows, `most` at a time: inputs (blocks, 2 * BLOCK), no block before, targets (-1: none)."""
     n = np.diff(offs)
     k = -(-n // BLOCK)
     row = np.repeat(np.arange(len(n)), k)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(k) - k, k)
-    place = (offs[row] + nth * BLOCK)[:, None] + np.arange(BLOCK)
-    live = place < offs[row + 1][:, None]
-    pad = np.zeros(BLOCK, np.int32)
-    before = np.concatenate([[CLASSES], classes, pad]).astype(np.int32)
-    before[offs[:-1]] = CLASSES  # the class before each target; the start before a row's first
-    x = np.full((len(row), 2 * BLOCK), CLASSES, np.int32)
-    x[:, BLOCK:] = np.where(live, before[place], CLASSES)
-    later = np.flatnonzero(nth > 0)
-    x[later, :BLOCK] = x[later - 1, BLOCK:]
-    y = np.where(live, np.concatenate([classes, pad]).astype(np.int32)[place], -1)
-    return x, nth == 0, y, place
+    before = np.concatenate([[CLASSES], classes, np.zeros(BLOCK, classes.dtype)]).astype(np.int32)  # the class before each
+    before[offs[:-1]] = CLASSES  # the start before a row's first
+    after = np.concatenate([classes, np.zeros(BLOCK, classes.dtype)]).astype(np.int32)
+    for lo in range(0, len(row), most):
+        r, j = row[lo : lo + most], nth[lo : lo + most]
+        place = (offs[r] + j * BLOCK)[:, None] + np.arange(BLOCK)
+        live = place < offs[r + 1][:, None]
+        x = np.full((len(r), 2 * BLOCK), CLASSES, np.int32)
+        x[:, BLOCK:] = np.where(live, before[place], CLASSES)
+        x[j > 0, :BLOCK] = before[place[j > 0] - BLOCK]
+        yield x, j == 0, np.where(live, after[place], -1)
 
 
 def cluster(context: np.ndarray, classes: int = CLASSES, rounds: int = 12) -> np.ndarray:
-    """The class of each id: weighted k-means on the square roots of its context shares."""
+    """The class of each symbol: weighted k-means on the square roots of its context shares; rare ones share a class."""
     total = context.sum(1)
     some = np.flatnonzero(total >= 5)
     out = np.zeros(len(context), np.int64)
@@ -198,36 +236,81 @@ def cluster(context: np.ndarray, classes: int = CLASSES, rounds: int = 12) -> np
         n = np.bincount(own, weight, classes)
         centre = np.where(n[:, None] > 0, sums / np.maximum(n, 1e-9)[:, None], centre)
     out[some] = own
-    rare = np.flatnonzero(total < 5)
-    out[rare] = np.argmin(np.bincount(own, minlength=classes))
+    out[total < 5] = np.argmin(np.bincount(own, minlength=classes))
     return out
 
 
-def bucket(ids: np.ndarray) -> np.ndarray:
-    return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58)).astype(np.int64)
-
-
-def _ids(tok, data: np.ndarray, offs: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids with the end id after each row, their offsets, chunk starts, and ids before each chunk (end ids counted)."""
-    ids, starts, total = tok.encoded(data, offs)
-    at = total[np.searchsorted(starts, offs)]
-    row = np.searchsorted(offs, starts, side="right") - 1
-    return np.insert(ids, at[1:], end), at + np.arange(len(at)), starts, total[:-1] + row
+def bucket(symbols: np.ndarray) -> np.ndarray:
+    return ((symbols.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58)).astype(np.int64)
 
 
-def _before(ids: np.ndarray, offs: np.ndarray, end: int) -> np.ndarray:
-    """The bucket of the id before each id; the end's at the start of a row."""
-    b = np.empty(len(ids), np.int64)
-    if len(ids):
-        b[1:] = bucket(ids[:-1])
+def before(symbols: np.ndarray, offs: np.ndarray, end: int) -> np.ndarray:
+    """The bucket of the symbol before each one; the end's at the start of a row."""
+    b = np.empty(len(symbols), np.int64)
+    if len(symbols):
+        b[1:] = bucket(symbols[:-1])
         b[offs[:-1]] = bucket(np.array([end]))[0]
     return b
 
 
-def _hashed(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    starts, ends = word_spans(data, offs, "space")
-    codes, distinct = word_hashes(word_array(data, starts, ends))
-    return starts, np.searchsorted(starts, offs), codes, hash64(distinct)
+@dataclass
+class Unit:
+    """Some documents as codes of words, and the spelling of each distinct word."""
+
+    valid: np.ndarray
+    ids: np.ndarray
+    held: np.ndarray
+    hashes: np.ndarray
+    n_words: np.ndarray
+    codes: np.ndarray
+    size: np.ndarray  # symbols of each distinct word
+    flat: np.ndarray  # the symbols, put together
+
+    def pressed(self) -> tuple[bytes, bytes, bytes]:
+        planes = np.ascontiguousarray(self.codes.astype("<u4")).view(np.uint8).reshape(-1, 4).T
+        docs = pressed(self.valid.astype("u1"), self.held.astype("u1"), self.ids.astype("<i8"), self.hashes.astype("<i8"), self.n_words.astype("<i8"))
+        at = pressed(self.size.astype("<u4"))
+        return docs, pressed(planes), len(at).to_bytes(8, "little") + at + pressed(self.flat.astype("<u4"))
+
+    @staticmethod
+    def of(docs: bytes, codes: bytes, spelled: bytes) -> Unit:
+        valid, held, ids, hashes, n = unpressed(docs, "u1", "u1", "<i8", "<i8", "<i8")
+        raw = unpressed(codes, "u1")[0].reshape(4, -1)
+        k = 8 + int.from_bytes(spelled[:8], "little")
+        flat = unpressed(spelled[k:], "<u4")[0].astype(np.int64)
+        return Unit(valid.astype(bool), ids, held.astype(bool), hashes, n, np.ascontiguousarray(raw.T).view("<u4").ravel(), unpressed(spelled[8:k], "<u4")[0].astype(np.int64), flat)
+
+    def symbols(self, end: int, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols with the end after each document, the documents' offsets, and where each word starts; rows: which documents."""
+        n, codes = self.n_words, self.codes
+        if rows is not None:
+            codes, n = codes[ranges((np.cumsum(n) - n)[rows], n[rows])], n[rows]
+        size = self.size[codes]
+        first = np.cumsum(self.size) - self.size
+        words = np.concatenate([[0], np.cumsum(size)])
+        doc = np.concatenate([[0], np.cumsum(n)])
+        flat = self.flat[ranges(first[codes], size)]
+        at = words[doc]
+        return np.insert(flat, at[1:], end), at + np.arange(len(at)), words[:-1] + np.repeat(np.arange(len(n)), n)
+
+
+def spelling(path: str, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of distinct words put together, and how many each has. A word without ids is one symbol of its own."""
+    tok = subwords(path)
+    m = len(tok.bytes)
+    ids, size = tok.words(distinct.cast(pa.utf8()).to_pylist())
+    blank = size == 0
+    ids = np.insert(ids.astype(np.int64), np.cumsum(size)[blank], m)
+    size = np.maximum(size, 1)
+    last = np.zeros(len(ids), bool)
+    last[np.cumsum(size) - 1] = True
+    return np.where(last, ids, ids + m + 2), size
+
+
+def vocabulary(path: str) -> tuple[int, int]:
+    """How many symbols there are, and the end's: ids, the wordless one and the end, each last in its word or not."""
+    m = len(subwords(path).bytes)
+    return 2 * (m + 2), m + 1
 
 
 def task_id() -> int:
@@ -235,62 +318,60 @@ def task_id() -> int:
     return context.partitionId() if context else 0
 
 
-def statistics(copy: DataFrame, path: str, buckets: int) -> DataFrame:
-    """Stored blobs: kind 0, word hashes of a block and their training counts, by bucket; kind 1, slices of context counts."""
-
-    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = subwords(path)
-        size = len(tok.bytes)
-        context = np.zeros((size, COLUMNS), np.uint32)
-        at, have = None, []
-
-        def rows(block, have):
-            h = np.concatenate([x[0] for x in have])
-            h, back = np.unique(h, return_inverse=True)
-            n = np.bincount(back, np.concatenate([x[1] for x in have]), len(h)).astype("<u4")
-            part = (h % np.uint64(buckets)).astype(np.int64)
+def analysed(docs: DataFrame, path: str, buckets: int, folds: int, held: int) -> DataFrame:
+    """Stored, in one pass over the texts. kind 0: units; kind 1: a unit's distinct words of a bucket, as hashes and
+    training counts; kind 2: slices of a task's context counts."""
+
+    def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, end = vocabulary(path)
+        context = np.zeros(size * COLUMNS, np.uint32)
+        task, k = task_id(), 0
+        for b in gathered(it, UNIT_BYTES):
+            data, offs = utf8(b.column("text"))
+            starts, ends = word_spans(data, offs, "space")
+            data = LOWER[data]
+            codes, distinct = word_hashes(word_array(data, starts, ends))
+            hashes, n = hash64(distinct), np.bincount(codes, minlength=len(distinct))
+            flat, sizes = spelling(path, distinct)
+            doc = np.searchsorted(starts, offs)
+            out = b.column("held").to_numpy(zero_copy_only=False).astype(bool)
+            learned = np.bincount(codes[np.repeat(~out, np.diff(doc))], minlength=len(distinct))
+            rank = np.argsort(-n, kind="stable")  # frequent words have small codes, which compress
+            code = np.empty(len(rank), np.int64)
+            code[rank] = np.arange(len(rank))
+            ids = b.column("doc_id")
+            unit = Unit(
+                ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False), out,
+                b.column("h").to_numpy(zero_copy_only=False), np.diff(doc), code[codes], sizes[rank], flat[ranges((np.cumsum(sizes) - sizes)[rank], sizes[rank])],
+            )
+            name = task << 32 | k
+            k += 1
+            part = (hashes[rank] % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             cut = np.searchsorted(part[order], np.arange(buckets + 1))
-            out = [(0, p, block, h[i].astype("<u8").tobytes(), n[i].tobytes()) for p in range(buckets) if len(i := order[cut[p] : cut[p + 1]])]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 5, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=_names(STATS))
-
-        for b in batches(it):
-            block = b.column("block").to_numpy(zero_copy_only=False)
-            for lo, hi in _runs(block):
-                if block[lo] != at:
-                    if have:
-                        yield rows(at, have)
-                    at, have = block[lo], []
-                one = b.slice(lo, hi - lo)
-                data, offs = utf8(one.column("text"))
-                data = LOWER[data]
-                learn = ~one.column("held").to_numpy(zero_copy_only=False).astype(bool)
-                starts, words, codes, hashes = _hashed(data, offs)
-                keep = np.repeat(learn, np.diff(words))
-                have.append((hashes, np.bincount(codes[keep], minlength=len(hashes)) if len(codes) else np.zeros(len(hashes))))
-                if learn.any():
-                    take = utf8(one.column("text").filter(pa.array(learn)))
-                    own = LOWER[take[0]]
-                    ids, ends, chunks, before = _ids(tok, own, take[1], size - 1)
-                    opens = before[(BLANK[own[chunks]] | np.isin(chunks, take[1])) & (np.diff(np.append(before, len(ids))) > 0)]
-                    flat = context.reshape(-1)
-                    np.add.at(flat, ids.astype(np.int64) * COLUMNS + _before(ids, ends, size - 1), np.uint32(1))
-                    np.add.at(flat, ids[opens].astype(np.int64) * COLUMNS + BUCKETS, np.uint32(1))
-        if have:
-            yield rows(at, have)
-            cut = np.linspace(0, size, SLICES + 1).astype(int)
-            yield pa.RecordBatch.from_arrays([pa.array([1] * SLICES, pa.int32()), pa.array(range(SLICES), pa.int64()), pa.array([task_id()] * SLICES, pa.int64()), pa.array([context[x:y].astype("<i8").tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.array([b""] * SLICES, pa.binary())], names=_names(STATS))
-
-    return stored(copy.select("text", "held", "block").mapInArrow(count, STATS), "lm-statistics")
-
-
-def _runs(block: np.ndarray) -> list[tuple[int, int]]:
-    cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])) if len(block) else np.zeros(1, int)
-    return list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
-
-
-def word_counts(stats: DataFrame) -> DataFrame:
-    """Stored training counts, sent back to the blocks that hold the words; types and tokens once a bucket (block null)."""
+            parts, codes_, spelled = unit.pressed()
+            rows = [(0, name, None, None, parts, codes_, spelled, pressed(order.astype("<u4")), None)]
+            for p in np.unique(part).tolist():
+                i = rank[order[cut[p] : cut[p + 1]]]
+                rows.append((1, name, p, int(cut[p]), None, None, None, hashes[i].astype("<u8").tobytes(), learned[i].astype("<u4").tobytes()))
+            yield _batch(ANALYSED, rows)
+            if not out.all():
+                symbols, edge, words = unit.symbols(end, np.flatnonzero(~out))
+                np.add.at(context, symbols * COLUMNS + before(symbols, edge, end), np.uint32(1))
+                opens = symbols[np.concatenate([words, edge[1:] - 1])]
+                np.add.at(context, opens * COLUMNS + BUCKETS, np.uint32(1))
+        if k:
+            cut = np.linspace(0, size, SLICES + 1).astype(int) * COLUMNS
+            yield _batch(ANALYSED, [(2, task, i, None, None, None, None, pressed(context[x:y].astype("<u4")), None) for i, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True))])
+        settle()
+
+    fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds))
+    rows = texts(docs).withColumn("held", fold == held).withColumn("h", F.xxhash64("doc_id", "text"))
+    return stored(rows.mapInArrow(read, ANALYSED), "lm-analysed")
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """Stored training counts, sent back to the units that hold the words; types and tokens once a bucket (unit null)."""
 
     def total(t: pa.Table) -> pa.Table:
         hashes = [np.frombuffer(x.as_buffer(), "<u8") for x in t.column("a")]
@@ -298,29 +379,32 @@ def word_counts(stats: DataFrame) -> DataFrame:
         h, back = np.unique(np.concatenate(hashes), return_inverse=True)
         c = np.bincount(back, np.concatenate(n), len(h)).astype("<i8")
         cut = np.concatenate([[0], np.cumsum([len(x) for x in n])])
-        blocks = [*t.column("block").to_pylist(), None]
         own = [c[back[x:y]].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
-        k = len(blocks)
-        return pa.table({"block": pa.array(blocks, pa.int64()), "hashes": pa.array([*t.column("a").to_pylist(), b""], pa.binary()), "counts": pa.array([*own, b""], pa.binary()), "types": pa.array([0] * (k - 1) + [int((c > 0).sum())], pa.int64()), "tokens": pa.array([0] * (k - 1) + [int(c.sum())], pa.int64())})
+        out = [(u, a, o, 0, 0) for u, a, o in zip(t.column("unit").to_pylist(), t.column("at").to_pylist(), own, strict=True)]
+        return pa.Table.from_batches([_batch(COUNTS, [*out, (None, None, None, int((c > 0).sum()), int(c.sum()))])])
 
-    return stored(stats.filter("kind = 0").groupBy("key").applyInArrow(total, COUNTS), "lm-counts")
+    return stored(rows.filter("kind = 1").select("unit", "key", "at", "a", "b").groupBy("key").applyInArrow(total, COUNTS), "lm-counts")
 
 
-def contexts(stats: DataFrame, size: int) -> np.ndarray:
-    """Context counts of all ids, summed in two steps of about the root of the tasks each: `size` x COLUMNS numbers reach the driver."""
+def contexts(rows: DataFrame, size: int) -> np.ndarray:
+    """Context counts of all symbols, summed in a tree of FAN tasks: `size` x COLUMNS numbers reach the driver."""
 
     def total(t: pa.Table) -> pa.Table:
         out = None
         for x in t.column("a"):
-            v = np.frombuffer(x.as_buffer(), "<i8")
+            v = unpressed(x.as_py(), "<u8" if wide else "<u4")[0].astype("<u8")
             out = v if out is None else out + v
-        return pa.table({"key": t.column("key").slice(0, 1), "lot": t.column("lot").slice(0, 1), "a": pa.array([out.tobytes()], pa.binary())})
-
-    rows = stats.filter("kind = 1")
-    lots = int(np.ceil(np.sqrt(rows.filter("key = 0").count()))) or 1
-    rows = rows.select("key", F.pmod("block", F.lit(lots)).alias("lot"), "a").groupBy("key", "lot").applyInArrow(total, "key long, lot long, a binary")
-    rows = rows.groupBy("key").applyInArrow(total, "key long, lot long, a binary").collect()
-    flat = [np.frombuffer(r["a"], "<i8") for r in sorted(rows, key=lambda r: r["key"])]
+        return pa.table({"key": t.column("key").slice(0, 1), "unit": t.column("lot").slice(0, 1), "a": pa.array([pressed(out)], pa.binary())})
+
+    wide, now = False, rows.filter("kind = 2").select("key", "unit", "a")
+    while True:
+        most = now.agg(F.max("unit")).first()[0] or 0
+        lots = now.withColumn("lot", F.floor(F.col("unit") / FAN)).groupBy("key", "lot").applyInArrow(total, "key long, unit long, a binary")
+        if most < FAN:
+            found = lots.collect()
+            break
+        now, wide = stored(lots, "lm-contexts"), True
+    flat = [unpressed(r["a"], "<u8")[0] for r in sorted(found, key=lambda r: r["key"])]
     return (np.concatenate(flat) if flat else np.zeros(size * COLUMNS, np.int64)).reshape(size, COLUMNS).astype(np.float64)
 
 
@@ -329,135 +413,211 @@ class Model:
 
     def __init__(self, path: str, counts: np.ndarray):
         context, opens = counts[:, :BUCKETS], counts[:, BUCKETS]
-        self.path, self.of = path, cluster(context)
-        opens = np.bincount(self.of, opens + 1e-3, CLASSES)
-        self.opening = np.log((opens + 1e-9) / (opens.sum() + 1e-9))  # of the class of a word's first id
-        self.end = len(context) - 1
+        self.path, self.end = path, vocabulary(path)[1]
+        self.of = cluster(context)
+        self.begins = np.bincount(self.of, opens, CLASSES)  # training words by the class of their first symbol
         total = context.sum(1)
         in_class = np.bincount(self.of, total + 0.5, CLASSES)
-        self.plain = ((total + 0.5) / in_class[self.of]).astype(np.float32)  # id within its class
+        self.plain = ((total + 0.5) / in_class[self.of]).astype(np.float32)  # a symbol within its class
         self.context = context.astype(np.float32)
         self.sums = np.zeros((CLASSES, BUCKETS))
         np.add.at(self.sums, self.of, context)
+        self.n_symbols, self.learned = int(total.sum()), int(total[self.end])
         self.weights = Attention(self.bigrams()).flat()
 
     def bigrams(self) -> np.ndarray:
-        """Class after class, from the buckets of the classes' ids."""
+        """Class after class, from the buckets of the classes' symbols."""
         total = self.context.sum(1)
         share = np.zeros((CLASSES + 1, BUCKETS))
         np.add.at(share, (self.of, bucket(np.arange(len(self.of)))), total)
         share[CLASSES, bucket(np.array([self.end]))] += 1
         return share / np.maximum(share.sum(0), 1) @ self.sums.T
 
-    def sequences(self, tok, data: np.ndarray, offs: np.ndarray) -> tuple:
-        ids, ends, starts, before = _ids(tok, data, offs, self.end)
-        return ids, ends, starts, before, self.of[ids]
-
-    def log_ids(self, net: Attention, ids: np.ndarray, ends: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Natural log-probability of each id, and of its class."""
-        x, first, y, place = windows(classes, ends)
-        held, got = net.tables(), np.empty(y.shape, np.float32)
-        for lo in range(0, len(x), 256):
-            got[lo : lo + 256] = net.log_classes(x[lo : lo + 256], first[lo : lo + 256], y[lo : lo + 256], held)
-        out = got[y >= 0].astype(float)  # blocks, and targets in them, are in order
-        b = _before(ids, ends, self.end)
-        within = (self.context[ids, b] + SMOOTH * self.plain[ids]) / (self.sums[classes, b] + SMOOTH)
-        return out + np.log(within), out
-
-
-def train(copy: DataFrame, model: Model) -> int:
-    """Starts the weights on a few whole texts, then trains on every block of every training text in all partitions and
-    averages by ids. Returns the number of ids the averaged weights were trained on, end ids counted."""
-
-    def trained(texts: DataFrame, rate: float) -> int:
-        shared = texts.sparkSession.sparkContext.broadcast(model)
-
-        def local(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m = shared.value
-            own, n, rng = Attention(flat=m.weights), 0, np.random.default_rng(3)
-            for b in batches(it):
-                data, offs = utf8(b.column("text"))
-                _, ends, _, _, classes = m.sequences(subwords(m.path), LOWER[data], offs)
-                x, first, y, _ = windows(classes, ends)
-                order = rng.permutation(len(x))
-                own.train(x[order], first[order], y[order], rate, 1)
-                n += len(classes)
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([own.flat().astype("<f4").tobytes()], pa.binary())], names=["n", "w"])
-
-        rows = texts.select("text").mapInArrow(local, "n long, w binary").filter("n > 0").collect()  # a row of weights a partition
-        if rows:
-            model.weights = np.average([np.frombuffer(r["w"], "<f4") for r in rows], axis=0, weights=[r["n"] for r in rows]).astype(np.float32)
-        return sum(r["n"] for r in rows)
-
-    every = copy.filter("not held")
-    drawn = every.withColumn("h", F.xxhash64("doc_id", "text"))
-    last = drawn.select("h").orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]  # so that no more than the drawn texts are sorted
-    if last is not None:
-        trained(drawn.filter(F.col("h") <= last).orderBy("h").limit(SAMPLE), 0.01)
-    return trained(every, 0.001)
+    def within(self, symbols: np.ndarray, b: np.ndarray, less: int = 0) -> np.ndarray:
+        """The share of symbols in their classes after buckets; less: taken off the counts."""
+        own = np.maximum(self.context[symbols, b] - less, 0) + SMOOTH * self.plain[symbols]
+        return own / (np.maximum(self.sums[self.of[symbols], b] - less, 0) + SMOOTH)
+
+    def log_symbols(self, net: Attention, symbols: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Natural log-probability of each symbol's class, the share of the symbol within it, and the buckets before."""
+        held, out, at = net.tables(), np.empty(len(symbols)), 0
+        for x, first, y in blocks(self.of[symbols], offs, 256):
+            got = net.log_classes(x, first, y, held)[y >= 0]  # blocks, and targets in them, are in order
+            out[at : at + len(got)] = got
+            at += len(got)
+        b = before(symbols, offs, self.end)
+        return out, self.within(symbols, b), b
+
+
+def averaged(rows: DataFrame) -> np.ndarray | None:
+    """Weights of slices, averaged by symbols in a tree, in order of the slices; rows as in WEIGHTS, of doubles."""
+
+    def mean(t: pa.Table) -> pa.Table:
+        order = np.argsort(t.column("slice").to_numpy(), kind="stable")
+        n = t.column("n").to_numpy()[order]
+        w = np.array([np.frombuffer(t.column("w")[int(i)].as_buffer(), "<f8") for i in order])
+        out = (w * n[:, None]).sum(0) / n.sum()
+        return pa.Table.from_batches([_batch(WEIGHTS, [(t.column("lot")[0].as_py(), int(n.sum()), out.astype("<f8").tobytes())])])
+
+    while True:
+        rows = stored(rows, "lm-weights")
+        most = rows.agg(F.max("slice")).first()[0]
+        if most is None:
+            return None
+        rows = rows.withColumn("lot", F.floor(F.col("slice") / FAN)).groupBy("lot").applyInArrow(mean, WEIGHTS)
+        if most < FAN:
+            return np.frombuffer(rows.first()["w"], "<f8").astype(np.float32)
+
+
+def train(units: DataFrame, model: Model, part: int = 4) -> None:
+    """Sets the model's weights. Every window of every training text is trained on once, in its slice."""
+    spark = units.sparkSession
+    slices = max(1, -(-model.n_symbols // SLICE))
+
+    def trained(odd: bool, rate: float) -> np.ndarray | None:
+        shared = spark.sparkContext.broadcast((model.of.astype(np.uint8), model.end, model.weights))
+
+        def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of, end, _ = shared.value
+            for b in it:
+                for i in range(b.num_rows):
+                    u = Unit.of(*(b.column(c)[i].as_py() for c in ("docs", "codes", "spelled")))
+                    to = u.hashes % slices
+                    take = np.flatnonzero(~u.held & ((to % part != 0) == odd))
+                    symbols, offs, _ = u.symbols(end, take)
+                    own = of[symbols]
+                    yield pa.RecordBatch.from_arrays([pa.array(to[take]), pa.array(u.hashes[take]), pa.array([own[x:y].tobytes() for x, y in zip(offs[:-1], offs[1:], strict=True)], pa.binary())], names=["slice", "h", "classes"])
+
+        def learn(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            start = shared.value[2]
+            at, net, n, left = None, None, 0, None
+
+            def steps(more, final=False):
+                """Steps on whole batches of blocks; what is left waits for the next documents of the slice."""
+                nonlocal left
+                have = more if left is None else [np.concatenate(p) for p in zip(left, more, strict=True)]
+                k = len(have[0]) if final else len(have[0]) // BATCH * BATCH
+                for lo in range(0, k, BATCH):
+                    net.step(*(h[lo : min(k, lo + BATCH)] for h in have), rate)
+                left = [h[k:] for h in have]
+
+            def ended():
+                if left is not None and len(left[0]):
+                    steps([h[:0] for h in left], True)
+                return _batch(WEIGHTS, [(at, n, net.flat().astype("<f8").tobytes())])
+
+            for b in gathered(it, 4 << 20, "classes"):
+                s = b.column("slice").to_numpy()
+                cut = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1], [True]]))
+                for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                    if s[lo] != at:
+                        if net:
+                            yield ended()
+                        at, net, n, left = int(s[lo]), Attention(flat=start), 0, None
+                    rows = b.column("classes").slice(lo, hi - lo)
+                    sizes = np.array([len(x.as_buffer()) for x in rows])
+                    classes = np.frombuffer(b"".join(x.as_buffer() for x in rows), np.uint8)
+                    for more in blocks(classes, np.concatenate([[0], np.cumsum(sizes)])):
+                        steps(list(more))
+                    n += len(classes)
+            if net:
+                yield ended()
+            settle()
+
+        rows = units.select("docs", "codes", "spelled").mapInArrow(deal, "slice long, h long, classes binary")
+        out = averaged(rows.repartition("slice").sortWithinPartitions("slice", "h", "classes").mapInArrow(learn, WEIGHTS))
+        shared.unpersist()
+        return out
+
+    for odd, rate in zip((False, True), RATES, strict=True):
+        if odd and slices == 1:
+            break
+        got = trained(odd, rate)
+        if got is not None:
+            model.weights = got
+
+
+@dataclass
+class Prepared:
+    """Units, counts sent back to them, the totals of base scores, and the model."""
+
+    units: DataFrame
+    counts: DataFrame
+    learned: int
+    types: int
+    tokens: int
+    model: Model
+
+
+def prepare(docs: DataFrame, tokenizer: str, folds: int = 5, held: int = 1) -> Prepared:
+    """Reads, counts and trains."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = analysed(docs, tokenizer, -(-input_bytes(docs) // BUCKET_BYTES) or parts, folds, held)
+    counts = word_counts(rows)
+    sums = counts.filter("unit is null").agg(F.sum("types"), F.sum("tokens")).first()
+    model = Model(tokenizer, contexts(rows, vocabulary(tokenizer)[0]))
+    learned = model.learned
+    units = rows.filter("kind = 0").select("unit", "docs", "codes", "spelled", "a")
+    train(units, model)
+    return Prepared(units, counts.filter("unit is not null"), learned, (sums[0] or 0) + (learned > 0), (sums[1] or 0) + learned, model)
 
 
 def score(docs: DataFrame, tokenizer: str, folds: int = 5, held: int = 1) -> DataFrame:
-    """Every document with its unigram base score and the model's score (log10)."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds))
-    copy = stored(texts(docs).withColumn("held", fold == held).withColumn("block", F.shiftright(F.monotonically_increasing_id(), ROWS)), "lm-documents")
-    stats = statistics(copy, tokenizer, parts)
-    counts = word_counts(stats)
-    learned = copy.filter("not held").count()
-    sums = counts.filter("block is null").agg(F.sum("types"), F.sum("tokens")).first()
-    types, tokens = (sums[0] or 0) + (learned > 0), (sums[1] or 0) + learned
-    model = Model(tokenizer, contexts(stats, len(subwords(tokenizer).bytes)))
-    train(copy, model)
-    shared = spark.sparkContext.broadcast(model)
-    floor = tokens + 0.5 * (types + 1)
+    """Every document with its unigram base score and the model's score (log10), stored."""
+    p = prepare(docs, tokenizer, folds, held)
+    shared = docs.sparkSession.sparkContext.broadcast(p.model)
+    learned, tokens = p.learned, p.tokens
+    floor = tokens + 0.5 * (p.types + 1)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        net, tok = Attention(flat=m.weights), subwords(m.path)
-        at, known, ready = None, [], None
-        for b in batches(it):
-            block, kind = (b.column(c).to_numpy(zero_copy_only=False) for c in ("block", "kind"))
-            for lo, hi in _runs(block * 2 + kind):
-                if block[lo] != at:
-                    at, known, ready = block[lo], [], None
-                one = b.slice(lo, hi - lo)
-                if kind[lo] == 0:
-                    known += [(np.frombuffer(h.as_buffer(), "<u8"), np.frombuffer(c.as_buffer(), "<i8")) for h, c in zip(one.column("hashes"), one.column("counts"), strict=True)]
-                    continue
-                if ready is None:
-                    ready = np.unique(np.concatenate([k[0] for k in known] or [np.zeros(0, np.uint64)]), return_index=True)
-                    ready = ready[0], np.concatenate([k[1] for k in known] or [np.zeros(0, np.int64)])[ready[1]]
-                data, offs = utf8(one.column("text"))
-                data = LOWER[data]
-                starts, words, codes, hashes = _hashed(data, offs)
-                each = ready[1][np.searchsorted(ready[0], hashes)] if len(hashes) else np.zeros(0, np.int64)
-                c, uni, share = each[codes], np.log10((each + 0.5) / floor)[codes], ((each + 0.5) / floor)[codes]
-                n = np.diff(words)
-                last = np.log10((learned + 0.5) / floor)
-                sums = np.concatenate([[0], np.cumsum(uni)])
-                base = np.diff(sums[words]) + last
-                seen = np.concatenate([[0], np.cumsum(c > 0)])
-                ids, ends, chunks, before, classes = m.sequences(tok, data, offs)
-                by_id, by_class = m.log_ids(net, ids, ends, classes)
-                by_id = np.concatenate([[0], np.cumsum(by_id)])
-                chunk = np.searchsorted(chunks, starts, side="right") - 1
-                row = np.repeat(np.arange(len(n)), n)
-                lead = np.append(True, (chunk[1:] != chunk[:-1]) | (row[1:] != row[:-1]))[: len(chunk)]
-                final = np.append(row[1:] != row[:-1], True)[: len(chunk)]
-                upto = np.where(final, (ends[1:] - 1)[row], np.append(before[chunk[1:]], 0)[: len(chunk)])
-                plain, at_first = uni * LN10, before[chunk]
-                within = MIXTURE[0] + MIXTURE[1] * np.exp(by_class[at_first] - m.opening[classes[at_first]])
-                mixed = np.log(share * within + MIXTURE[2] * np.exp(by_id[upto] - by_id[at_first]))
-                mixed = np.where(lead & (upto > at_first), mixed, plain)  # a word without ids of its own
-                own = np.diff(np.concatenate([[0], np.cumsum(mixed)])[words])
-                tail = by_id[ends[1:]] - by_id[ends[1:] - 1]
-                own = (own + np.logaddexp(last * LN10 + np.logaddexp(MIX[0], MIX[1]), tail + MIX[2])) / LN10
-                k = hi - lo
-                yield pa.RecordBatch.from_arrays([one.column("doc_id"), one.column("held"), pa.array(n + 1, pa.int64()), pa.array(np.diff(seen[words]) + (learned > 0), pa.int64()), pa.array([tokens] * k, pa.int64()), pa.array(base), pa.array(own)], names=_names(SCORES))
-
-    null = lambda t: F.lit(None).cast(t)
-    rows = counts.filter("block is not null").select("block", F.lit(0).alias("kind"), null("long").alias("doc_id"), null("boolean").alias("held"), null("string").alias("text"), "hashes", "counts")
-    rows = rows.unionByName(copy.select("block", F.lit(1).alias("kind"), "doc_id", "held", "text", null("binary").alias("hashes"), null("binary").alias("counts")))
-    return rows.repartition(parts, "block").sortWithinPartitions("block", "kind").mapInArrow(run, SCORES)
+        net = Attention(flat=m.weights)
+        for b in it:
+            for i in range(b.num_rows):
+                u = Unit.of(*(b.column(c)[i].as_py() for c in ("docs", "codes", "spelled")))
+                known = sorted((r["at"], r["counts"]) for r in b.column("known")[i].as_py() or ())
+                each = np.zeros(len(u.size), np.int64)
+                order = unpressed(b.column("a")[i].as_py(), "<u4")[0]
+                each[order] = np.frombuffer(b"".join(k[1] for k in known), "<i8")
+                doc = np.concatenate([[0], np.cumsum(u.n_words)])
+                sums = np.concatenate([[0], np.cumsum(np.log10((each + 0.5) / floor)[u.codes])])
+                base = np.diff(sums[doc]) + np.log10((learned + 0.5) / floor)
+                seen = np.diff(np.concatenate([[0], np.cumsum((each > 0)[u.codes])])[doc]) + (learned > 0)
+                edge = doc + np.arange(len(doc))
+                own = np.array([np.diff(np.concatenate([[0], np.cumsum(x)])[edge]) for x in log_words(m, net, u, each, learned)]) / LN10
+                k, half = len(u.ids), len(SHARES)
+                lists = pa.array(np.arange(0, k * half + 1, half), pa.int32())
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(u.ids, mask=~u.valid), pa.array(u.held), pa.array(u.n_words + 1), pa.array(seen.astype(np.int64)),
+                    pa.array([tokens] * k, pa.int64()), pa.array(base),
+                    *(pa.ListArray.from_arrays(lists, pa.array(np.ascontiguousarray(x.T).ravel())) for x in (own[:half], own[half:])),
+                ], names=_names(SCORED))
+        settle()
+
+    known = p.counts.groupBy("unit").agg(F.collect_list(F.struct("at", "counts")).alias("known"))
+    rows = stored(p.units.join(known, "unit", "left").select("docs", "codes", "spelled", "a", "known").mapInArrow(run, SCORED), "lm-scores")
+    shared.unpersist()
+    fits = rows.filter("not held_out").agg(*[F.sum(F.get("fits", F.lit(i))).alias(str(i)) for i in range(len(SHARES))]).first()
+    best = max(range(len(SHARES)), key=lambda i: -np.inf if fits[i] is None else fits[i])
+    return rows.withColumn("score", F.get("scores", F.lit(best))).drop("scores", "fits")
+
+
+def log_words(m: Model, net: Attention, u: Unit, each: np.ndarray, learned: int, shares: tuple = SHARES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Natural log-probabilities of all words of the documents, the end after each document, for each share; and those
+    with every word left out of the counts it is judged by. each: counts of distinct words."""
+    symbols, offs, words = u.symbols(m.end)
+    by_class, within, b = m.log_symbols(net, symbols, offs)
+    at = np.sort(np.concatenate([words, offs[1:] - 1]))  # first symbols of words, and ends
+    is_end = symbols[at] == m.end
+    count = np.empty(len(at))
+    count[~is_end], count[is_end] = each[u.codes], learned
+    begins = m.begins[m.of[symbols[at]]]
+    for less in (0, 1):
+        if less:
+            within = m.within(symbols, b, 1)
+        run = np.concatenate([[0], np.cumsum(by_class + np.log(within))])
+        rest = run[np.append(at[1:], len(symbols))] - run[at + 1]  # of the symbols after the first
+        counted = np.maximum(count - less, 0) / np.maximum(begins - less, 1)
+        some, spelled = begins > less, within[at] * np.exp(rest)
+        for share in shares:
+            yield by_class[at] + np.log(np.where(some, share * counted + (1 - share) * spelled, spelled))

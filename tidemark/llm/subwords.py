@@ -123,7 +123,13 @@ class Subwords:
         starts = self.chunk_starts(data, offs)
         edge = np.append(starts, len(data)).astype(np.int64)
         d = pa.Array.from_buffers(pa.large_utf8(), len(starts), [None, pa.py_buffer(edge), pa.py_buffer(data)]).dictionary_encode()
-        codes, distinct = d.indices.to_numpy(zero_copy_only=False), d.dictionary.to_pylist()
+        codes = d.indices.to_numpy(zero_copy_only=False)
+        start, size = self.looked_up(d.dictionary.to_pylist())
+        n = size[codes]
+        return self.ids[ranges(start[codes], n)], starts, np.concatenate([[0], np.cumsum(n)])
+
+    def looked_up(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of distinct chunks lie in `self.ids`, and how many they are; valid until the next call."""
         where = np.fromiter(map(self.at.get, distinct, repeat(-1)), np.int64, len(distinct))
         missing = np.flatnonzero(where < 0)
         new = [distinct[i] for i in missing]
@@ -136,14 +142,17 @@ class Subwords:
         if (more := self.used + len(flat)) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(more, np.int32)])
         self.ids[self.used : more] = flat
-        n = size[codes]
-        ids = self.ids[ranges(start[codes], n)]
         if (k := min(len(missing), CACHE - len(self.at))) > 0:  # what is past these is written over next time
             have = len(self.at)
             self.start[have : have + k], self.size[have : have + k] = first[:k], sizes[:k]
             self.at.update(zip((distinct[i] for i in missing[:k]), range(have, have + k), strict=True))
             self.used += int(sizes[:k].sum())
-        return ids, starts, np.concatenate([[0], np.cumsum(n)])
+        return start, size
+
+    def words(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words, each encoded by itself after a blank, put together; and how many each has."""
+        start, size = self.looked_up([" " + w for w in distinct])
+        return self.ids[ranges(start, size)], size
 
 
 _open: dict[str, Subwords] = {}
