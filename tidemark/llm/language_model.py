@@ -37,6 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,126 +77,134 @@ def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
 
 
 class Attention:
-    """One causal self-attention layer over classes; class CLASSES is the start, and padding."""
+    """One causal self-attention layer over classes, with a bias for each pair of places; class CLASSES is the start, and
+    padding. Consecutive blocks are given together, so each class is a key for its own block and for the next."""
 
     SHAPES = {
-        "E": (CLASSES + 1, WIDTH), "P": (2 * BLOCK, WIDTH), "Q": (WIDTH, WIDTH), "K": (WIDTH, WIDTH), "V": (WIDTH, WIDTH),
-        "O": (WIDTH, WIDTH), "U": (WIDTH, CLASSES), "B": (CLASSES + 1, CLASSES),
+        "E": (CLASSES + 1, WIDTH), "Q": (WIDTH, WIDTH), "K": (WIDTH, WIDTH), "V": (WIDTH, WIDTH), "U": (WIDTH, CLASSES),
+        "B": (CLASSES + 1, CLASSES), "R": (BLOCK, 2 * BLOCK),
     }
 
     def __init__(self, bigrams: np.ndarray | None = None, flat: np.ndarray | None = None):
+        sizes = [int(np.prod(s)) for s in self.SHAPES.values()]
         rng = np.random.default_rng(5)
-        self.w = {k: (rng.standard_normal(s) * 0.1).astype(np.float32) for k, s in self.SHAPES.items()}
-        self.w["O"][:] = 0
-        self.w["U"][:] = (rng.standard_normal(self.w["U"].shape) * 0.02).astype(np.float32)
+        self.flat = (rng.standard_normal(sum(sizes)) * 0.2).astype(np.float32) if flat is None else flat.astype(np.float32)
+        self.w = self._parts(self.flat)
+        if flat is None:
+            self.w["U"][:] *= 0.1
+            self.w["R"][:] = 0
         if bigrams is not None:
             share = bigrams + 0.5
-            self.w["B"] = np.log(share / share.sum(1, keepdims=True)).astype(np.float32)
-        if flat is not None:
-            at = 0
-            for k, s in self.SHAPES.items():
-                n = int(np.prod(s))
-                self.w[k] = flat[at : at + n].reshape(s).astype(np.float32)
-                at += n
-        self.m = {k: np.zeros_like(v) for k, v in self.w.items()}
-        self.s = {k: np.zeros_like(v) for k, v in self.w.items()}
-        self.steps = 0
-        causal = np.tril(np.ones((BLOCK, BLOCK), bool))
-        self.mask = np.where(np.hstack([np.ones((BLOCK, BLOCK), bool), causal]), 0, -np.inf).astype(np.float32)
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([self.w[k].ravel() for k in self.SHAPES])
+            self.w["B"][:] = np.log(share / share.sum(1, keepdims=True))
+        self.mean, self.square, self.steps = np.zeros_like(self.flat), np.zeros_like(self.flat), 0
+        self.open = np.hstack([np.ones((BLOCK, BLOCK)), np.tril(np.ones((BLOCK, BLOCK)))]).astype(np.float32)
+
+    def _parts(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        """Views of the parameters in a flat array."""
+        out, at = {}, 0
+        for k, s in self.SHAPES.items():
+            n = int(np.prod(s))
+            out[k] = flat[at : at + n].reshape(s)
+            at += n
+        return out
+
+    @staticmethod
+    def _pairs(rows: np.ndarray) -> np.ndarray:
+        """(blocks + 1, BLOCK, d) as (blocks, 2 * BLOCK, d): each block behind the one before."""
+        a, b, c = rows.strides
+        return np.lib.stride_tricks.as_strided(rows, (len(rows) - 1, 2 * BLOCK, rows.shape[2]), (a, b, c))
 
     def forward(self, x: np.ndarray, first: np.ndarray) -> tuple:
-        """Class probabilities after each of the last BLOCK classes of x (windows, 2 * BLOCK), flat, and what led there;
-        first: there is no block before."""
-        w, n = self.w, len(x)
-        e = w["E"][x]
-        e += w["P"]
-        own = e[:, BLOCK:].reshape(-1, WIDTH)
-        every = e.reshape(-1, WIDTH)
-        q = (own @ w["Q"] * np.float32(WIDTH**-0.5)).reshape(n, BLOCK, WIDTH)
-        k, v = (every @ w["K"]).reshape(n, 2 * BLOCK, WIDTH), (every @ w["V"]).reshape(n, 2 * BLOCK, WIDTH)
-        s = q @ k.transpose(0, 2, 1)
-        s += self.mask
-        s[first, :, :BLOCK] = -np.inf
-        s -= s.max(2, keepdims=True)
-        a = np.exp(s, out=s)
-        a /= a.sum(2, keepdims=True)
+        """Class probabilities after each of the last BLOCK classes of x (consecutive blocks, each 2 * BLOCK), flat, and
+        what led there; first: there is no block before."""
+        w = self.w
+        rows = np.concatenate([x[:1, :BLOCK], x[:, BLOCK:]])
+        q = (w["E"] @ w["Q"] * np.float32(WIDTH**-0.5)).take(rows[1:], axis=0)
+        k, v = (self._pairs((w["E"] @ w[n]).take(rows, axis=0)) for n in "KV")
+        # logits are clipped, not shifted: sums by products with ones are far cheaper than maxima along rows
+        a = q @ k.transpose(0, 2, 1)
+        a += w["R"]
+        np.clip(a, -60, 60, out=a)
+        np.exp(a, out=a)
+        a *= self.open
+        a[first, :, :BLOCK] = 0
+        a /= a @ np.ones((2 * BLOCK, 1), np.float32)
         o = (a @ v).reshape(-1, WIDTH)
-        h = o @ w["O"]
-        h += own
-        z = h @ w["U"]
-        z += w["B"][x[:, BLOCK:].ravel()]
-        z -= z.max(1, keepdims=True)
+        z = o @ w["U"]
+        z += w["B"].take(rows[1:].ravel(), axis=0)
+        np.clip(z, -60, 60, out=z)
         np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
-        return z, (own, every, q, k, v, a, o, h)
+        z /= z @ np.ones((CLASSES, 1), np.float32)
+        return z, (rows, q, k, v, a, o)
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The layer as tables by (position, class): exponentials of masked scores of a query and a key, logits of a
-        query, and what a key adds to the logits. There are few classes, so nothing has to be multiplied out again."""
+        """The layer as tables: exponentials of masked scores by (place, class) of a query and a key, logits of a query's
+        class, and what a key's class adds to them. There are few classes, so nothing has to be multiplied out again."""
         w, n = self.w, CLASSES + 1
-        e = w["E"][None] + w["P"][:, None]  # position, class
-        q = (e[BLOCK:] @ w["Q"]).reshape(BLOCK * n, WIDTH)
-        k = (e @ w["K"]).reshape(2 * BLOCK * n, WIDTH)
-        s = np.exp(np.minimum(q @ k.T * np.float32(WIDTH**-0.5), 60))
-        s = (s.reshape(BLOCK, n, 2 * BLOCK, n) * (self.mask == 0)[:, None, :, None]).reshape(BLOCK * n, 2 * BLOCK * n)
-        own = (e[BLOCK:] @ w["U"] + w["B"]).reshape(BLOCK * n, CLASSES)
-        return s.astype(np.float32), own, (e @ w["V"] @ w["O"] @ w["U"]).reshape(2 * BLOCK * n, CLASSES)
+        s = (w["E"] @ w["Q"]) @ (w["E"] @ w["K"]).T * np.float32(WIDTH**-0.5)
+        s = np.exp(np.clip(s[None, :, None, :] + w["R"][:, None, :, None], -60, 60)) * self.open[:, None, :, None]
+        return s.reshape(BLOCK * n, 2 * BLOCK * n), w["B"], w["E"] @ w["V"] @ w["U"]
 
     def log_classes(self, x: np.ndarray, first: np.ndarray, y: np.ndarray, tables: tuple) -> np.ndarray:
         """Log-probability of each target, as forward() has it, from the tables."""
         pair, own, add = tables
-        at = x.astype(np.int64) + np.arange(2 * BLOCK) * (CLASSES + 1)
-        q = at[:, BLOCK:] - BLOCK * (CLASSES + 1)
-        a = pair.ravel().take((q * pair.shape[1])[:, :, None] + at[:, None, :], mode="clip")
+        at = x + np.arange(2 * BLOCK, dtype=np.int32) * (CLASSES + 1)
+        q = (at[:, BLOCK:] - BLOCK * (CLASSES + 1)) * pair.shape[1]
+        a = pair.ravel().take(q[:, :, None] + at[:, None, :], mode="clip")
         a[first, :, :BLOCK] = 0
         a /= a @ np.ones((2 * BLOCK, 1), np.float32)
-        z = a @ add.take(at, axis=0)
-        z += own.take(q, axis=0)
+        z = a @ add.take(x, axis=0)
+        z += own.take(x[:, BLOCK:], axis=0)
         np.clip(z, -60, 60, out=z)
         got = np.take_along_axis(z, np.maximum(y, 0)[..., None], 2)[..., 0]
-        return got - np.log(np.exp(z, out=z) @ np.ones(CLASSES, np.float32))
-
-    def gradient(self, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
-        """Mean loss and its gradients; y: the next class, or -1 where there is none."""
-        w, nw, live = self.w, len(x), y.ravel() >= 0
-        z, (own, every, q, k, v, a, o, h) = self.forward(x, first)
-        rows, want, n = np.arange(len(live)), np.maximum(y, 0).ravel(), max(1, int(live.sum()))
-        loss = -float(np.log(np.maximum(z[rows, want][live], 1e-30)).sum()) / n
-        z[rows, want] -= 1
-        z[~live] = 0
+        return got - np.log((np.exp(z, out=z) @ np.ones((CLASSES, 1), np.float32))[..., 0])
+
+    def gradient(self, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+        """Mean loss of consecutive blocks and its flat gradient; y: the next class, or -1 where there is none."""
+        w, nb, live = self.w, len(x), y.ravel() >= 0
+        z, (rows, q, k, v, a, o) = self.forward(x, first)
+        at, want, n = np.arange(len(live)), np.maximum(y, 0).ravel(), max(1, int(live.sum()))
+        loss = -float(np.log(np.maximum(z[at, want][live], 1e-30)).sum()) / n
+        z[at, want] -= 1
+        if n < len(live):
+            z[~live] = 0
         z *= np.float32(1 / n)
-        flat = lambda m: m.reshape(-1, m.shape[-1])
-        # rows are summed by class through a product with 0 and 1: much faster than adding them one by one
-        hot = np.zeros((nw * 2 * BLOCK, CLASSES + 1), np.float32)
-        hot[np.arange(len(hot)), x.ravel()] = 1
-        g = {"U": h.T @ z, "B": flat(hot.reshape(nw, 2 * BLOCK, -1)[:, BLOCK:]).T @ z}
-        dh = z @ w["U"].T
-        g["O"] = o.T @ dh
-        do = (dh @ w["O"].T).reshape(nw, BLOCK, WIDTH)
+        out = np.zeros_like(self.flat)
+        g = self._parts(out)
+        g["U"][:] = o.T @ z
+        do = (z @ w["U"].T).reshape(nb, BLOCK, WIDTH)
         da, dv = do @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ do
-        da -= (da * a).sum(2, keepdims=True)
+        da -= np.einsum("ijk,ijk->ij", da, a)[..., None]
         da *= a
-        dq, dk = flat(da @ k) * np.float32(WIDTH**-0.5), flat(da.transpose(0, 2, 1) @ q)
-        dv = flat(dv)
-        g["Q"], g["K"], g["V"] = own.T @ dq, every.T @ dk, every.T @ dv
-        de = (dk @ w["K"].T + dv @ w["V"].T).reshape(nw, 2 * BLOCK, WIDTH)
-        de[:, BLOCK:] += (dh + dq @ w["Q"].T).reshape(nw, BLOCK, WIDTH)
-        g["P"] = de.sum(0)
-        g["E"] = hot.T @ flat(de)
-        return loss, g
+        g["R"][:] = da.sum(0)
+        dk = da.transpose(0, 2, 1) @ q
+        # by place: for the query, the key, the value and the bigram; then summed by class through a product with 0 and 1,
+        # much faster than adding rows one by one
+        each = np.zeros((nb + 1, BLOCK, 3 * WIDTH + CLASSES), np.float32)
+        each[1:, :, :WIDTH] = da @ k
+        for lo, d in ((WIDTH, dk), (2 * WIDTH, dv)):
+            each[:-1, :, lo : lo + WIDTH] = d[:, :BLOCK]
+            each[1:, :, lo : lo + WIDTH] += d[:, BLOCK:]
+        each[1:, :, 3 * WIDTH :] = z.reshape(nb, BLOCK, CLASSES)
+        hot = np.zeros((rows.size, CLASSES + 1), np.float32)
+        hot[np.arange(rows.size), rows.ravel()] = 1
+        sums = hot.T @ each.reshape(rows.size, -1)
+        g["B"][:] = sums[:, 3 * WIDTH :]
+        for i, (name, scale) in enumerate((("Q", np.float32(WIDTH**-0.5)), ("K", np.float32(1)), ("V", np.float32(1)))):
+            d = sums[:, i * WIDTH : (i + 1) * WIDTH] * scale
+            g[name][:] = w["E"].T @ d
+            g["E"][:] += d @ w[name].T
+        return loss, out
 
     def step(self, x: np.ndarray, first: np.ndarray, y: np.ndarray, rate: float) -> float:
         """One step of Adam."""
         loss, g = self.gradient(x, first, y)
         self.steps += 1
-        for k, d in g.items():
-            m, s = self.m[k], self.s[k]
-            m += 0.1 * (d - m)
-            s += 0.01 * (d * d - s)
-            self.w[k] -= np.float32(rate) * (m / (1 - 0.9**self.steps)) / (np.sqrt(s / (1 - 0.99**self.steps)) + np.float32(1e-6))
+        self.mean += np.float32(0.1) * (g - self.mean)
+        self.square += np.float32(0.01) * (g * g - self.square)
+        root = np.sqrt(self.square * np.float32(1 / (1 - 0.99**self.steps)))
+        root += np.float32(1e-6)
+        self.flat -= np.float32(rate / (1 - 0.9**self.steps)) * self.mean / root
         return loss
 
 
@@ -298,9 +307,9 @@ def spelling(path: str, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of distinct words put together, and how many each has. A word without ids is one symbol of its own."""
     tok = subwords(path)
     m = len(tok.bytes)
-    ids, size = tok.words(distinct.cast(pa.utf8()).to_pylist())
-    blank = size == 0
-    ids = np.insert(ids.astype(np.int64), np.cumsum(size)[blank], m)
+    ids, offs = tok.column(pc.binary_join_element_wise(b" ", distinct, b"").cast(pa.utf8()))
+    size = np.diff(offs)
+    ids = np.insert(ids.astype(np.int64), offs[1:][size == 0], m)
     size = np.maximum(size, 1)
     last = np.zeros(len(ids), bool)
     last[np.cumsum(size) - 1] = True
@@ -423,7 +432,7 @@ class Model:
         self.sums = np.zeros((CLASSES, BUCKETS))
         np.add.at(self.sums, self.of, context)
         self.n_symbols, self.learned = int(total.sum()), int(total[self.end])
-        self.weights = Attention(self.bigrams()).flat()
+        self.weights = Attention(self.bigrams()).flat
 
     def bigrams(self) -> np.ndarray:
         """Class after class, from the buckets of the classes' symbols."""
@@ -504,7 +513,7 @@ def train(units: DataFrame, model: Model, part: int = 4) -> None:
             def ended():
                 if left is not None and len(left[0]):
                     steps([h[:0] for h in left], True)
-                return _batch(WEIGHTS, [(at, n, net.flat().astype("<f8").tobytes())])
+                return _batch(WEIGHTS, [(at, n, net.flat.astype("<f8").tobytes())])
 
             for b in gathered(it, 4 << 20, "classes"):
                 s = b.column("slice").to_numpy()

@@ -149,11 +149,6 @@ class Subwords:
             self.used += int(sizes[:k].sum())
         return start, size
 
-    def words(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of distinct words, each encoded by itself after a blank, put together; and how many each has."""
-        start, size = self.looked_up([" " + w for w in distinct])
-        return self.ids[ranges(start, size)], size
-
 
 _open: dict[str, Subwords] = {}
 
