@@ -1,6 +1,7 @@
 """Packing, token files, decontamination and quality rules against plain versions."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -106,12 +107,39 @@ def test_decontaminate(spark, most_bytes):
     assert hits > 5
 
 
-def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "one two X three", None, None, None), (2, "one two three", None, None, None), (3, "three one two", None, None, None)], SCHEMA)
-    q = spark.createDataFrame([(7, "one two three")], "item_id long, text string")
-    near = {r.doc_id: r["items"] for r in contamination.matches(docs, q, 3, 1).collect()}
-    exact = {r.doc_id: r["items"] for r in contamination.matches(docs, q, 3, 0).collect()}
-    assert near == {1: ["7"], 2: ["7"], 3: []} and exact == {1: [], 2: ["7"], 3: []}
+def plain_proximity(w, terms, rare, slop):
+    """First and last word of each match: `rare` is the term that leads, each other is taken at its first fitting place."""
+    out = set()
+    for p, x in enumerate(w):
+        if x != terms[rare]:
+            continue
+        places = [p]
+        for j, t in enumerate(terms):
+            if j != rare:
+                near = [i for i in range(max(0, p - rare + j - slop), min(len(w), p - rare + j + slop + 1)) if w[i] == t]
+                places += near[:1] or [None]
+        if None not in places:
+            out.add((min(places), max(places) + 1))
+    return out
+
+
+@pytest.mark.parametrize("slop", [0, 1, 3])
+def test_proximity(spark, slop):
+    rng = random.Random(slop)
+    texts = ["one two x", "three four", "one two X three", "one two three", "three one two", "", None, "two", "three"]
+    texts += [" ".join(rng.choice(["one", "two", "three", "x", "y"]) for _ in range(rng.randint(1, 30))) for _ in range(60)]
+    terms = ["one", "two", "three"]
+    counts = Counter(w for t in texts for w in plain_words(t))
+    rare = min(range(3), key=lambda j: counts[terms[j]])  # of the whole segment, as all texts lie in one
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA).coalesce(1)
+    rows = contamination.matches(docs, spark.createDataFrame([(7, "one two three")], "item_id long, text string"), 3, slop).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = plain_proximity(plain_words(texts[r.doc_id]), terms, rare, slop)
+        spans = np.frombuffer(r.spans or b"", "<i8").reshape(-1, 2).tolist()
+        assert {tuple(s) for s in spans} == want, texts[r.doc_id]
+        assert r["items"] == (["7"] if want else [])
+    assert not rows[0]["items"] and not rows[1]["items"]
 
 
 def plain_counts(x):
@@ -148,3 +176,41 @@ def test_trees_learn_and_are_monotonic():
         probe = np.repeat(x[:20], 50, 0)
         probe[:, f] = np.tile(grid, 20)
         assert (sign * np.diff(t.score(probe).reshape(20, 50), axis=1) >= -1e-12).all()
+
+
+def test_node_arrays_are_the_trees():
+    rng = np.random.default_rng(1)
+    x = rng.random((500, 3))
+    t = quality.fit(x, (x[:, 0] + 0.3 * rng.random(500) < 0.6).astype(float), [-1, 0, 1], rounds=12)
+
+    def walk(row):
+        total = t.bias
+        for root in t.roots:
+            at = root
+            while t.left[at] != at:
+                at = t.left[at] if row[t.feature[at]] <= t.limit[at] else t.right[at]
+            total += t.value[at]
+        return total
+
+    assert len(t.roots) == 12 and np.allclose(t.margin(x), [walk(r) for r in x])
+
+
+def test_quality_verdict_is_the_walk(spark):
+    """kept, by a plain walk of the trees over plain counts; rows that share a labelled id train once."""
+    docs = [*odd_docs(), *((400 + i, " ".join(f"w{(i * j) % 17}" for j in range(60)), None, None, None) for i in range(80))]
+    labels = spark.createDataFrame([(d[0], int(d[0] % 3 > 0), 0) for d in docs], "doc_id long, quality int, toxic int")
+    df = frame(spark, docs)
+    model = quality.train(df, labels)
+    twice = quality.train(df.unionByName(df), labels)
+    assert all(np.array_equal(getattr(model, k), getattr(twice, k)) for k in ("feature", "limit", "left", "right", "value"))
+    _, x = quality.statistics(pa.array([d[1] for d in docs], pa.utf8()))
+    rows = {r.doc_id: r for r in quality.judge(df, model).collect()}
+    for d, features in zip(docs, x, strict=True):
+        margin = model.bias
+        for at in model.roots:
+            while model.left[at] != at:
+                at = model.left[at] if features[model.feature[at]] <= model.limit[at] else model.right[at]
+            margin += model.value[at]
+        r = rows[d[0]]
+        assert abs(r.score - 1 / (1 + np.exp(-margin))) < 1e-12
+        assert r.kept == (not r.base_failed and r.score >= model.threshold)

@@ -12,7 +12,6 @@ items are judged each, equal item ids listed once; an empty table gives no rows;
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, batches, stored, texts, utf8, word_array, word_hashes, word_spans
+from tidemark.llm.common import LOWER, batches, ranges, stored, texts, utf8, word_array, word_hashes, word_spans
 
 INDEX = "part int, segment long, doc_ids array<long>, word_offs array<long>, terms array<binary>, term_offs binary, deltas binary"
 FOUND = "part int, segment long, row int, doc_id long, n_words long, spans binary, items array<string>"
@@ -59,23 +58,29 @@ def build(docs: DataFrame) -> DataFrame:
 
 
 class Windows:
-    """The distinct windows of some items, by length, and which items hold each."""
+    """All windows of some items, as places in their words put together; terms: the distinct words."""
 
     def __init__(self, ids: list[str], items: pa.Array, size: int):
-        codes, self.terms, offs = _words(items)
-        holders: dict[tuple, list[str]] = defaultdict(list)
-        for i, item in enumerate(ids):
-            w = codes[offs[i] : offs[i + 1]].tolist()
-            for at in range(max(1, len(w) - size + 1)) if w else ():
-                holders[tuple(w[at : at + size])].append(item)
-        self.by_size: dict[int, tuple[np.ndarray, list[list[str]]]] = {}
-        for n in sorted({len(k) for k in holders}):
-            keys = [k for k in holders if len(k) == n]
-            self.by_size[n] = np.array(keys, np.int64), [sorted(set(holders[k])) for k in keys]
+        self.ids = ids
+        self.codes, self.terms, offs = _words(items)
+        n = np.diff(offs)
+        many = np.where(n >= size, n - size + 1, np.minimum(n, 1))
+        self.item = np.repeat(np.arange(len(n)), many)
+        self.start = ranges(offs[:-1], many)
+        self.size = np.minimum(n, size)[self.item]
+
+    def present(self, local: np.ndarray) -> np.ndarray:
+        """The windows all of whose terms a segment has; local: the segment's number of each term, or -1."""
+        have = np.concatenate([[0], np.cumsum(local[self.codes] >= 0)]) if len(self.codes) else np.zeros(1, np.int64)
+        return np.flatnonzero(have[self.start + self.size] - have[self.start] == self.size)
 
 
 def search_segment(seg: dict, windows: Windows, slop: int = 0) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
-    """Starts and ends (in words of the segment) of the matches, and the items found in each document."""
+    """First word and end (in words of the segment) of each match, and the items found in each document.
+
+    A match: a place of the window's rarest term, with every other term in the same document and no more than `slop`
+    words from where the window puts it. Each term is taken at its first such place.
+    """
     offs, deltas = np.frombuffer(seg["term_offs"], "<u4").astype(np.int64), np.frombuffer(seg["deltas"], "<u4")
     word_offs = np.asarray(seg["word_offs"])
     items: list[set[str]] = [set() for _ in range(len(word_offs) - 1)]
@@ -87,31 +92,29 @@ def search_segment(seg: dict, windows: Windows, slop: int = 0) -> tuple[np.ndarr
             lists[t] = np.cumsum(deltas[offs[t] : offs[t + 1]], dtype=np.int64)
         return lists[t]
 
-    starts, ends = [], []
-    for n, (keys, holders) in windows.by_size.items():
-        here = local[keys] if len(local) else np.full(keys.shape, -1)
-        alive = np.flatnonzero((here >= 0).all(axis=1))
-        counts = np.diff(offs)
-        for i in alive:
-            terms = here[i]
-            order = np.argsort(counts[terms], kind="stable")
-            at = positions(int(terms[order[0]])) - order[0]
-            for j in order[1:]:
-                if not len(at):
-                    break
-                p = positions(int(terms[j]))
-                k = np.searchsorted(p, at + j - slop)
-                at = at[(k < len(p)) & (p[np.minimum(k, len(p) - 1)] <= at + j + slop)]
-            at = at[at >= 0]
-            doc = np.searchsorted(word_offs, at, side="right") - 1
-            fits = at + n <= word_offs[doc + 1]
-            at, doc = at[fits], doc[fits]
-            if len(at):
-                starts.append(at)
-                ends.append(at + n)
-                for d in np.unique(doc):
-                    items[d].update(holders[i])
-    return np.concatenate(starts) if starts else np.zeros(0, np.int64), np.concatenate(ends) if ends else np.zeros(0, np.int64), items
+    counts, starts, ends = np.diff(offs), [], []
+    for i in windows.present(local).tolist():
+        at = windows.start[i]
+        terms = local[windows.codes[at : at + windows.size[i]]]
+        order = np.argsort(counts[terms], kind="stable")
+        low = high = positions(int(terms[order[0]]))
+        begin, doc = low - order[0], np.searchsorted(word_offs, low, side="right") - 1
+        for j in order[1:]:
+            if not len(begin):
+                break
+            p = positions(int(terms[j]))
+            k = np.searchsorted(p, np.maximum(begin + j - slop, word_offs[doc]))
+            place = p[np.minimum(k, len(p) - 1)]
+            fits = (k < len(p)) & (place <= np.minimum(begin + j + slop, word_offs[doc + 1] - 1))
+            begin, doc, place = begin[fits], doc[fits], place[fits]
+            low, high = np.minimum(low[fits], place), np.maximum(high[fits], place)
+        if len(begin):
+            starts.append(low)
+            ends.append(high + 1)
+            for d in np.unique(doc).tolist():
+                items[d].add(windows.ids[windows.item[i]])
+    none = np.zeros(0, np.int64)
+    return np.concatenate(starts) if starts else none, np.concatenate(ends) if ends else none, items
 
 
 def blocks(benchmark: DataFrame, most_bytes: int) -> Iterator[tuple[list[str], pa.Array]]:

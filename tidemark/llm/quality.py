@@ -5,7 +5,8 @@ labelled documents (those whose id hashes lowest), with histogram splits, second
 constraints, then flattened into node arrays; tasks score all documents at once by stepping down these arrays.
 
 Defined results: a null or empty text has no words and fails the base rules; without labels of both kinds the
-trees reject nothing; repeated rows are judged each; an empty table gives no rows; extra columns are ignored.
+trees reject nothing; repeated rows are judged each, and of rows that share a labelled id the one whose statistics come
+first trains; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -187,8 +188,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, spare: float
             _, x = statistics(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
 
-    rows = texts(docs).join(F.broadcast(few), "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality")).mapInArrow(measure, "doc_id long, quality int, x array<double>").toPandas()
-    rows = rows.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
+    rows = texts(docs).join(F.broadcast(few), "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
+    rows = rows.mapInArrow(measure, "doc_id long, quality int, x array<double>")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("least")).select("doc_id", "least.*")  # `sample` rows
+    rows = rows.toPandas().sort_values("doc_id", kind="stable")
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), len(FEATURES))
     y = (rows["quality"].to_numpy() > 0).astype(float)
     signs = list(FEATURES.values())
@@ -215,7 +218,6 @@ def judge(docs: DataFrame, model: Trees, least_words: int = 50, most_repeated: i
 
 def keep(docs: DataFrame, model: Trees, least_words: int = 50, most_repeated: int = 50) -> DataFrame:
     """The documents that pass, with all their columns."""
-    texts(docs)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
