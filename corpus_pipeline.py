@@ -1,7 +1,7 @@
 """The corpus pipeline: quality rules, near-dedup, decontamination, secret scans, packing.
 
-Every stage takes (spark, docs, sf_dir) and works on all rows that the one before kept. Rows without an id are named
-by their text's hash where a stage has to find them again.
+Every stage takes (spark, docs, sf_dir) and works on all rows that the one before kept. Where a stage has to find rows
+again, each gets a number of its own in a stored copy, under a name that no column has: ids may be null or repeat.
 """
 
 from __future__ import annotations
@@ -16,8 +16,12 @@ from tidemark.llm.common import stored
 from tidemark.llm.subwords import tokenizer_path
 
 
-def _named(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("row_name", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """A stored copy with a number for each row, and the number's name."""
+    name, taken = "row", {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "pipeline-rows"), name
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,19 +30,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id."""
-    named = _named(docs)
-    found = near_dup.near_duplicates(named.select(F.col("row_name").alias("doc_id"), "text"))
-    kept = found.filter("kept").select(F.col("doc_id").alias("row_name")).distinct()
-    return named.join(kept, "row_name", "left_semi").select(*docs.columns)
+    """One document of each group of near-duplicates stays: the one with the smallest id, null the largest."""
+    rows, row = _numbered(docs)
+    found = near_dup.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(row))
+    first = rows.select(row, "doc_id").join(found, row).groupBy("component_id").agg(F.min_by(row, order).alias(row))
+    return rows.join(first.select(row), row, "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
-    named = _named(docs)
-    found = contamination.decontaminate(named.select(F.col("row_name").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = found.filter("contaminated").select(F.col("doc_id").alias("row_name"))
-    return named.join(gone, "row_name", "left_anti").select(*docs.columns)
+    rows, row = _numbered(docs)
+    found = contamination.decontaminate(rows.select(F.col(row).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return rows.join(found.filter("contaminated").select(F.col("doc_id").alias(row)), row, "left_anti").select(*docs.columns)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
