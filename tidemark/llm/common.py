@@ -6,10 +6,12 @@ Text conventions: a null text is an empty text; ids and texts may repeat; extra
 from __future__ import annotations
 
 import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -53,10 +55,51 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes in the end what is stored within, but for what is stored to be kept: that belongs to the scratch around."""
+    own: list[str] = []
+    outer = _scratch.get()
+    token = _scratch.set(own)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        for path in own:
+            if path.startswith("keep:"):
+                if outer is not None:
+                    outer.append(path.removeprefix("keep:"))
+                continue
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def tidy(operator):
+    """An operator whose intermediate tables are deleted when it returns; its result is stored to be kept."""
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **kwargs):
+        with scratch(docs.sparkSession):
+            return operator(docs, *args, **kwargs)
+
+    return run
+
+
+def place(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path in the shared folder; what is written there is deleted with the scratch around, if there is one."""
+    path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    if (own := _scratch.get()) is not None:
+        own.append(f"keep:{path}" if keep else path)
+    return path
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """df, written to the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    path = place(spark, name, keep)
     with settings(spark, SMALL_BATCHES):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

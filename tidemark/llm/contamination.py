@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, batches, ranges, stored, texts, utf8, word_array, word_hashes, word_spans
+from tidemark.llm.common import LOWER, batches, ranges, stored, texts, tidy, utf8, word_array, word_hashes, word_spans
 
 INDEX = "part int, segment long, doc_ids array<long>, word_offs array<long>, terms array<binary>, term_offs binary, deltas binary"
 FOUND = "part int, segment long, row int, doc_id long, n_words long, spans binary, items array<string>"
@@ -161,6 +161,7 @@ def covered(spans: np.ndarray, n: int) -> int:
     return int((np.cumsum(step)[:n] > 0).sum())
 
 
+@tidy
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_in: int = 20, most_bytes: int = 8 << 20) -> DataFrame:
     """Every document with its words hit, the items found, and whether a 1/one_in share of its words is hit."""
     index = build(docs)
@@ -181,9 +182,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_i
             sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(hit), pa.array([len(x) for x in items], pa.int64()), pa.array(sha), pa.array((hit > 0) & (one_in * hit >= n))], names=[c.split()[0] for c in RESULT.split(", ")])
 
-    return rows.select("doc_id", "n_words", "spans", "items").mapInArrow(finish, RESULT)
+    return stored(rows.select("doc_id", "n_words", "spans", "items").mapInArrow(finish, RESULT), "contaminated", keep=True)
 
 
+@tidy
 def matches(docs: DataFrame, queries: DataFrame, window: int, slop: int) -> DataFrame:
     """Phrase (slop 0) or proximity matches of a bounded query set: every document with its spans and items."""
     index = build(docs)
@@ -191,4 +193,4 @@ def matches(docs: DataFrame, queries: DataFrame, window: int, slop: int) -> Data
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out.select("doc_id", "n_words", "spans", "items")
+    return stored(out.select("doc_id", "n_words", "spans", "items"), "matches", keep=True)

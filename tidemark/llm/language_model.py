@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, gathered, hash64, input_bytes, pressed, ranges, settle, stored, texts, unpressed, utf8
+from tidemark.llm.common import LOWER, gathered, hash64, input_bytes, pressed, ranges, settle, stored, texts, tidy, unpressed, utf8
 from tidemark.llm.common import word_array, word_hashes, word_spans
 from tidemark.llm.subwords import subwords
 
@@ -571,6 +571,7 @@ def prepare(docs: DataFrame, tokenizer: str, folds: int = 5, held: int = 1) -> P
     return Prepared(units, counts.filter("unit is not null"), learned, (sums[0] or 0) + (learned > 0), (sums[1] or 0) + learned, model)
 
 
+@tidy
 def score(docs: DataFrame, tokenizer: str, folds: int = 5, held: int = 1) -> DataFrame:
     """Every document with its unigram base score and the model's score (log10), stored."""
     p = prepare(docs, tokenizer, folds, held)
@@ -604,7 +605,7 @@ def score(docs: DataFrame, tokenizer: str, folds: int = 5, held: int = 1) -> Dat
         settle()
 
     known = p.counts.groupBy("unit").agg(F.collect_list(F.struct("at", "counts")).alias("known"))
-    rows = stored(p.units.join(known, "unit", "left").select("docs", "codes", "spelled", "a", "known").mapInArrow(run, SCORED), "lm-scores")
+    rows = stored(p.units.join(known, "unit", "left").select("docs", "codes", "spelled", "a", "known").mapInArrow(run, SCORED), "lm-scores", keep=True)
     shared.unpersist()
     fits = rows.filter("not held_out").agg(*[F.sum(F.get("fits", F.lit(i))).alias(str(i)) for i in range(len(SHARES))]).first()
     best = max(range(len(SHARES)), key=lambda i: -np.inf if fits[i] is None else fits[i])

@@ -3,7 +3,11 @@
 Templates are cut into words; hashes of `GRAM` words are winnowed over `WINDOW` neighbours and kept in a sorted
 inverted index (fingerprint -> template, position). Its size is bounded by the templates, so it travels with the
 task. A text's own winnowed fingerprints are looked up at once; hits on one diagonal form a candidate region, which
-is aligned to the template inside a band. Of overlapping matches the longest stays.
+is aligned to the template inside a band. Of overlapping matches the longest stays. Whole license texts (those of more
+than LONG words) share many everyday grams with other prose, so a region of theirs needs a SEEDS share of their
+fingerprints before it is aligned.
+
+The templates are notices, short licenses, and the whole texts in `wordings`, which the driver reads and tasks get.
 
 Defined results: null or empty texts match nothing; a text may hold a license several times, each is reported;
 repeated rows are scanned each; an empty table gives no rows; extra columns are ignored.
@@ -12,15 +16,17 @@ repeated rows are scanned each; an empty table gives no rows; extra columns are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import LOWER, batches, hash64, mix, texts, utf8, word_array, word_hashes, word_spans
+from tidemark.llm.common import LOWER, batches, hash64, mix, stored, texts, tidy, utf8, word_array, word_hashes, word_spans
 
 GRAM, WINDOW = 3, 2
 COVERAGE = 0.7
+LONG, SEEDS = 200, 0.02
 MATCHES = "doc_id long, license string, coverage double, n_matched long, start_byte long, end_byte long, start_word long, n_words long"
 
 # Wordings of public licenses and of the notices that refer to them.
@@ -38,6 +44,23 @@ TEMPLATES = {
     "LGPL-3.0": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages "
+        "arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial "
+        "applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not "
+        "be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in "
+        "the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must "
+        "not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."
+    ),
+    "BSL-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying "
+        "documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and "
+        "to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the "
+        "following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the "
+        "following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, "
+        "unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor."
+    ),
     "CC-BY-4.0": "Licensed under CC BY 4.0",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
@@ -45,6 +68,12 @@ TEMPLATES = {
 }
 
 
+def whole_texts() -> dict[str, str]:
+    """The license texts of `wordings`, by name."""
+    folder = resources.files("tidemark.llm") / "wordings"
+    return {f"{f.name.removesuffix('.txt')}-text": f.read_text() for f in sorted(folder.iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
+
+
 def _hashes(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end byte of each word, and the offsets of the rows in words."""
     data, offs = utf8(col)
@@ -94,6 +123,7 @@ class Index:
         order = np.argsort(key, kind="stable")
         self.key, self.template = key[order], (np.searchsorted(offs, at, side="right") - 1)[order]
         self.at = at[order] - offs[self.template]
+        self.count = np.bincount(self.template, minlength=len(templates))
 
     def hits(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(which of key, which of the postings) that agree."""
@@ -147,9 +177,10 @@ def align(template: np.ndarray, text: np.ndarray, shift: int, band: int) -> tupl
     return matched, first, last + 1
 
 
+@tidy
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """One row per license found: the share of its words matched, and where."""
-    templates = TEMPLATES if templates is None else templates
+    templates = TEMPLATES | whole_texts() if templates is None else templates
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(templates)
@@ -164,16 +195,18 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
                 doc = np.searchsorted(offs, pos, side="right") - 1
                 shift = pos - index.at[post]
                 order = np.lexsort((pos, shift, tmpl, doc))
-                regions: dict[tuple[int, int], list[int]] = {}
-                for i in order.tolist():
-                    t = int(tmpl[i])
-                    own = regions.setdefault((int(doc[i]), t), [])
-                    if not own or shift[i] - own[-1] > max(3, len(index.words[t]) // 8):
-                        own.append(int(shift[i]))
+                regions: dict[tuple[int, int], list[list[int]]] = {}  # first shift, and how many hits
+                for d, t, s in zip(doc[order].tolist(), tmpl[order].tolist(), shift[order].tolist(), strict=True):
+                    own = regions.setdefault((d, t), [])
+                    if not own or s - own[-1][0] > max(3, len(index.words[t]) // 8):
+                        own.append([s, 0])
+                    own[-1][1] += 1
                 found: dict[int, list[tuple]] = {}
                 for (d, t), shifts in regions.items():
                     lo, hi, w = int(offs[d]), int(offs[d + 1]), index.words[t]
-                    for s in shifts:
+                    for s, hits in shifts:
+                        if hi - lo < coverage * len(w) or len(w) > LONG and hits < SEEDS * index.count[t]:
+                            continue
                         band = max(4, len(w) // 4)
                         a, z = max(lo, s - band), min(hi, s + len(w) + 2 * band)
                         matched, first, last = align(w, words[a:z], s - a + band // 2, band)
@@ -191,4 +224,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
             kinds = (pa.utf8(), pa.float64(), *[pa.int64()] * 5)
             yield pa.RecordBatch.from_arrays([doc_ids, *(pa.array(c, k) for c, k in zip(cols[1:], kinds, strict=True))], names=names)
 
-    return texts(docs).mapInArrow(run, MATCHES)
+    return stored(texts(docs).mapInArrow(run, MATCHES), "licenses", keep=True)

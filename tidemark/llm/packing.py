@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batches, shared_dir, stored, texts
+from tidemark.llm.common import batches, stored, texts, tidy
 from tidemark.llm.subwords import subwords
 
 TOKENS = "doc_id long, part int, local_start long, n long, ids binary"
@@ -58,9 +58,9 @@ def unpacked(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4")
 
 
+@tidy
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048) -> DataFrame:
     """One row per piece: the document's ids from `start` on, `length` of them, lie in `sequence_id` from `offset` on."""
-    shared_dir(docs.sparkSession)
     tokens = encoded(docs, tokenizer, end_id)
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,4 +84,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048) -
             yield pa.RecordBatch.from_arrays([doc, *map(pa.array, (start, hi - lo, crc, n[row], seq, lo - seq * window))], names=[c.split()[0] for c in PIECES.split(", ")])
 
     placed = tokens.join(F.broadcast(bases(tokens)), "part").select("doc_id", "n", "ids", (F.col("base") + F.col("local_start")).alias("global_start"))
-    return placed.mapInArrow(cut, PIECES)
+    return stored(placed.mapInArrow(cut, PIECES), "packed", keep=True)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, batches, texts, utf8, word_array, word_hashes, word_spans
+from tidemark.llm.common import WORD, SMALL_BATCHES, batches, settings, stored, texts, tidy, utf8, word_array, word_hashes, word_spans
 
 SYMBOLS = np.isin(np.arange(256), [ord(c) for c in "#*$%&|<>"])
 DIGITS = np.isin(np.arange(256), [ord(c) for c in "0123456789"])
@@ -191,7 +191,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, spare: float
     rows = texts(docs).join(F.broadcast(few), "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
     rows = rows.mapInArrow(measure, "doc_id long, quality int, x array<double>")
     rows = rows.groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("least")).select("doc_id", "least.*")  # `sample` rows
-    rows = rows.toPandas().sort_values("doc_id", kind="stable")
+    with settings(docs.sparkSession, SMALL_BATCHES):
+        rows = rows.toPandas().sort_values("doc_id", kind="stable")
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), len(FEATURES))
     y = (rows["quality"].to_numpy() > 0).astype(float)
     signs = list(FEATURES.values())
@@ -203,6 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, spare: float
     return out
 
 
+@tidy
 def judge(docs: DataFrame, model: Trees, least_words: int = 50, most_repeated: int = 50) -> DataFrame:
     """Every document with its counts, base_failed, the trees' score and kept."""
 
@@ -213,9 +215,10 @@ def judge(docs: DataFrame, model: Trees, least_words: int = 50, most_repeated: i
             score = model.score(x)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(counts[c].astype(np.int64)) for c in COUNTS), pa.array(failed), pa.array(score), pa.array(~failed & (score >= model.threshold))], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return texts(docs).mapInArrow(run, SCHEMA)
+    return stored(texts(docs).mapInArrow(run, SCHEMA), "quality", keep=True)
 
 
+@tidy
 def keep(docs: DataFrame, model: Trees, least_words: int = 50, most_repeated: int = 50) -> DataFrame:
     """The documents that pass, with all their columns."""
 
@@ -225,4 +228,4 @@ def keep(docs: DataFrame, model: Trees, least_words: int = 50, most_repeated: in
             failed = (counts["n_words"] < least_words) | (100 * counts["n_repeat_words"] > most_repeated * counts["n_words"])
             yield b.filter(pa.array(~failed & (model.score(x) >= model.threshold)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return stored(docs.mapInArrow(run, docs.schema), "quality-kept", keep=True)

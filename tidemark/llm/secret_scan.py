@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import batches, texts, utf8
+from tidemark.llm.common import batches, stored, texts, tidy, utf8
 from tidemark.llm.quality import Trees
 
 FINDINGS = "doc_id long, start_byte long, end_byte long, length int, preview string, score double, secret boolean"
@@ -156,7 +156,8 @@ def labelled_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str,
         elif kind == 3:
             out.append((pick(string.digits, r.randint(12, 16)), plain() + " ", end, 0))
         elif kind == 4:
-            out.append((f"mail{r.randint(1, 9)}.example.com", f"{plain()} {word(3)}@", end, 0))
+            host = word(r.randint(2, 4)) + r.choice(["", str(r.randint(1, 99))])
+            out.append((f"{host}.{word(r.randint(2, 4))}.{r.choice(['com', 'org', 'net', 'de', 'fr', 'io', 'co.uk'])}", f"{plain()} {word(3)}@", end, 0))
         elif kind == 5:
             out.append(("/".join([word(2), word(3), str(r.randint(1, 99999))]), "https://" + word(2) + ".com/", end, 0))
         elif kind == 6:
@@ -170,7 +171,8 @@ def labelled_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str,
         elif kind == 10:
             out.append((word(3).capitalize() + word(3).capitalize() + word(3).capitalize() + "Factory" + str(r.randint(1, 9)), plain() + " ", end, 0))
         else:
-            out.append((f"555-{r.randint(1000, 9999)}-{r.randint(1000, 9999)}", plain() + " ", end, 0))
+            parts = [str(r.randint(10 ** (k - 1), 10**k - 1)) for k in r.choice([(3, 3, 4), (3, 4, 4), (2, 2, 7), (4, 6, 2), (2, 3, 3, 4)])]
+            out.append((r.choice(["", "+", "0"]) + r.choice(["-", "-", "."]).join(parts), plain() + r.choice([" ", " tel ", " call "]), end, 0))
     return out
 
 
@@ -277,6 +279,7 @@ def found(col: pa.Array, model: Trees, words: frozenset[str]) -> tuple[np.ndarra
     return row, s - offs[row], e - offs[row], score
 
 
+@tidy
 def scan(docs: DataFrame, model: Trees, words_path: str) -> DataFrame:
     """One row per candidate: where it is, its first characters, the forest's score and the verdict."""
 
@@ -288,12 +291,12 @@ def scan(docs: DataFrame, model: Trees, words_path: str) -> DataFrame:
             preview = [data[offs[r] + x : offs[r] + x + 4].tobytes().decode("ascii", "ignore") for r, x in zip(row, s, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row, pa.int64())), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array(e - s, pa.int32()), pa.array(preview, pa.utf8()), pa.array(score, pa.float64()), pa.array(score >= model.threshold)], names=[c.split()[0] for c in FINDINGS.split(", ")])
 
-    return texts(docs).mapInArrow(run, FINDINGS)
+    return stored(texts(docs).mapInArrow(run, FINDINGS), "secrets", keep=True)
 
 
+@tidy
 def redact(docs: DataFrame, model: Trees, words_path: str) -> DataFrame:
     """The documents, all columns kept, with every secret in `text` masked; n_chars, where there is one, is counted anew."""
-    texts(docs)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_list(words_path)
@@ -313,5 +316,5 @@ def redact(docs: DataFrame, model: Trees, words_path: str) -> DataFrame:
             yield b
 
     out = docs.withColumn("text", F.col("text").cast(T.StringType()))
-    out = out.mapInArrow(run, out.schema)
+    out = stored(out.mapInArrow(run, out.schema), "redacted", keep=True)
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -5,13 +5,12 @@ block: the documents' ids and lengths, two control bits per token (bytes used le
 byte), and the data bytes (little-endian rank). Decoding looks the control bytes up in a 256-row table with numpy.
 Files are Parquet rows written by Spark's own commit protocol, in ascending document order.
 
-Defined results: a null or empty text is its end id alone; repeated ids are kept, in order of text; a null
-document id comes first; an empty table gives no rows; extra columns are ignored.
+Defined results: a null or empty text is its end id alone; repeated ids are kept, in order of their texts' hashes
+(equal ones: of the texts); a null document id comes first; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batches, shared_dir, stored, texts
+from tidemark.llm.common import SMALL_BATCHES, batches, place, settings, stored, texts, tidy
 from tidemark.llm.subwords import subwords
 
 BLOCK = "part int, block long, first long, n_docs int, doc_ids binary, lengths binary, control binary, data binary"
@@ -104,7 +103,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> np.nda
             got = [encode_ranks(rank[np.frombuffer(x.as_buffer(), kind)]) for x in b.column("data")]
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.binary())], names=names)
 
-    raw.mapInArrow(code, BLOCK).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    with settings(spark, SMALL_BATCHES):
+        raw.mapInArrow(code, BLOCK).write.option("compression", "zstd").parquet(f"{path}/blocks")
     spark.createDataFrame(pd.DataFrame({"rank": np.arange(size), "id": by_rank}), "rank int, id int").coalesce(1).write.parquet(f"{path}/ranks")
     return by_rank
 
@@ -124,7 +124,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 doc = pa.array(np.frombuffer(r["doc_ids"], "<i8"), mask=null)
                 yield pa.RecordBatch.from_arrays([doc, pa.array(np.full(len(n), r["part"], np.int32)), pa.array(r["first"] + end - n), pa.array(n), pa.array(crc, pa.int64())], names=[c.split()[0] for c in DOCS.split(", ")])
 
-    return spark.read.schema(BLOCK).parquet(f"{path}/blocks").mapInArrow(decode, DOCS)
+    return stored(spark.read.schema(BLOCK).parquet(f"{path}/blocks").mapInArrow(decode, DOCS), "token-documents", keep=True)
 
 
 def tokens_of(spark: SparkSession, path: str) -> DataFrame:
@@ -140,13 +140,14 @@ def tokens_of(spark: SparkSession, path: str) -> DataFrame:
                 offs = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["doc_ids"], "<i8"), mask=null), pa.ListArray.from_arrays(offs, pa.array(ids))], names=["doc_id", "ids"])
 
-    return spark.read.schema(BLOCK).parquet(f"{path}/blocks").mapInArrow(decode, "doc_id long, ids array<int>")
+    return stored(spark.read.schema(BLOCK).parquet(f"{path}/blocks").mapInArrow(decode, "doc_id long, ids array<int>"), "token-lists", keep=True)
 
 
+@tidy
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """Writes the documents' files into the shared folder and lists what they hold, with global starts."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/tidemark/tokens-{uuid.uuid4().hex}"
+    path = place(spark, "tokens")
     write(docs, path, tokenizer, end_id)
     found = read(spark, path)
     sizes = spark.read.schema(BLOCK).parquet(f"{path}/blocks").select("part", "first", "lengths")
@@ -157,7 +158,7 @@ def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
                 ends = [f + int(np.abs(np.frombuffer(x, "<i8")).sum()) for f, x in zip(b.column("first").to_pylist(), b.column("lengths").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("part"), pa.array(ends, pa.int64())], names=["part", "n"])
 
-    rows = sizes.mapInArrow(total, "part int, n long").groupBy("part").agg(F.max("n").alias("n")).orderBy("part").collect()
+    rows = stored(sizes.mapInArrow(total, "part int, n long"), "token-parts").groupBy("part").agg(F.max("n").alias("n")).orderBy("part").collect()
     sums = np.concatenate([[0], np.cumsum([r["n"] for r in rows])]).astype(int).tolist()
     base = spark.createDataFrame([(r["part"], b) for r, b in zip(rows, sums, strict=False)], "part int, base long")
     return found.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
