@@ -186,7 +186,8 @@ def test_sinks(spark, tmp_path):
     assert not sinks.write_results(spark.createDataFrame([], cols), str(tmp_path / "r"))
     assert sinks.write_results(spark.createDataFrame([tuple("abcdefghijk")], cols), str(tmp_path / "r"))
     assert spark.read.csv(str(tmp_path / "r"), header=True).columns == list(sinks.RESULT)
-    sinks.run_spec(str(tmp_path / "spec.json"), {"a": 1}, ["m"], ["t"], [16], 42)
+    config = {"algorithms": [], "tasks": ["t"], "head_mode": "custom", "n_examples": 1, "n_queries": 10, "budgets": [16], "seed": 42}
+    sinks.run_spec(str(tmp_path / "spec.json"), config, ["m"], 1, {"t": {"rows": 3}})
     assert json.loads((tmp_path / "spec.json").read_text())["budgets"] == [16]
 
 
@@ -221,6 +222,88 @@ def test_sampled_cosines(context, data):
         assert math.isclose(r.cos, q[r.pos_q] @ k[r.pos_k] / np.linalg.norm(q[r.pos_q]) / np.linalg.norm(k[r.pos_k]), abs_tol=1e-9)
 
 
+def test_draws(spark):
+    import duckdb
+
+    u = spark.range(5000).select(V.draw(F.col("id"), F.lit(3), seed=42).alias("u")).orderBy("id").collect()
+    x = np.array([r.u for r in u])
+    assert 0 < x.min() and x.max() < 1 and abs(x.mean() - 0.5) < 0.02 and abs(np.corrcoef(x[:-1], x[1:])[0, 1]) < 0.05 and len(set(x)) > 4990
+    sql = [r[0] for r in duckdb.sql(f"SELECT {V.draw_sql('i', '3', seed=42)} FROM range(5000) t(i)").fetchall()]
+    assert np.allclose(x, sql, atol=1e-15)
+
+
+def test_separation_is_the_plain_one(context, data):
+    q, k, _ = data
+    for block in (7, 512):
+        r = explore.separation(context.vectors, block=block).first()
+        d = lambda a, b: np.linalg.norm(a[:, None] - b[None], axis=2)
+        off = ~np.eye(LEN, dtype=bool)
+        assert math.isclose(r.intra_q, d(q, q)[off].mean(), rel_tol=1e-9) and math.isclose(r.intra_k, d(k, k)[off].mean(), rel_tol=1e-9) and math.isclose(r.inter, d(q, k).mean(), rel_tol=1e-9)
+
+
+def test_projection_is_the_plain_one(context, data):
+    q, k, _ = data
+    rows = explore.projected(explore.fit_sample(context.vectors, 1000)).collect()
+    assert len(rows) == 2 * LEN
+    m = np.concatenate([q, k])
+    value = np.linalg.svd(m - m.mean(axis=0))[1] ** 2
+    assert math.isclose(rows[0].share_x, value[0] / value.sum(), rel_tol=1e-9) and math.isclose(rows[0].share_y, value[1] / value.sum(), rel_tol=1e-9)
+    xy = np.array([[r.x, r.y] for r in rows])
+    assert np.allclose((xy**2).sum(axis=0), value[:2])
+
+
+def test_approximation_is_the_plain_one(context, data):
+    from tidemark.operators import approximation
+
+    q, k, v = data
+    rows = approximation.comparison(context.logits, (5, 200)).collect()
+    assert {r.requested_budget for r in rows} == {5} and len(rows) == 3 * len(approximation.COMPARED)
+    for r in rows:
+        if r.method == "topk":
+            n = r.qpos + 1
+            logit = q[r.qpos] @ k[:n].T / math.sqrt(D)
+            at = np.argsort(-logit)[:5]
+            true = exact(data, r.qpos)
+            assert math.isclose(r.rel_l2_error, np.linalg.norm(soft(logit[at]) @ v[at] - true) / np.linalg.norm(true), rel_tol=1e-9)
+    heads = approximation.curves(context.vectors.sparkSession.createDataFrame(rows), context.vectors, (5, 200)).collect()
+    assert {(r.n_queries > 0, r.requested_budget) for r in heads} == {(True, 5), (False, 200)} and all(r["mean"] == 0 for r in heads if r.requested_budget == 200)
+
+
+def test_tensor_file_is_plain(tmp_path):
+    import zipfile
+
+    from tidemark.sources import tensor_files
+
+    x = np.array([[1.0, -2.5, 3.14159], [0.0, 1e-3, 65504.0]], "f4")
+    raw = tensor_files.dump({"Q_rope_head0": x, "V_kvhead1": x[:1]})
+    (tmp_path / "a.pt").write_bytes(raw)
+    assert set(zipfile.ZipFile(tmp_path / "a.pt").namelist()) == {"archive/data.pkl", "archive/data/0", "archive/data/1", "archive/byteorder", "archive/version"}
+    got = tensor_files.load(raw)
+    assert list(got) == ["Q_rope_head0", "V_kvhead1"] and np.allclose(got["Q_rope_head0"], x, rtol=2**-8)
+    import pickle
+
+    bad = tmp_path / "b.pt"
+    with zipfile.ZipFile(bad, "w") as z:
+        z.writestr("archive/data.pkl", pickle.dumps(print, 2))
+    with pytest.raises(ValueError):
+        tensor_files.load(bad.read_bytes())
+
+
+def test_layouts_and_layers(spark, tmp_path):
+    (tmp_path / "all_heads/old").mkdir(parents=True)
+    (tmp_path / "new").mkdir()
+    root = str(tmp_path)
+    assert tables.phase_of(spark, root, "old") == "all_heads" and tables.phase_of(spark, root, "new") is None and tables.phase_of(spark, root, "none") is None
+    assert tables.task_dir(spark, root, "old") == f"{root}/all_heads/old" and tables.task_dir(spark, root, "new") == f"{root}/new"
+    assert tables.task_metadata(spark, f"{root}/none.json") == {} and tables.layers("all", 3) == [0, 1, 2] and tables.layers([5], 9) == [5]
+
+
+def test_ordinals(spark):
+    rows = tables.ordinals(spark.range(0, 100, 1, 7), "n").collect()
+    assert [(r.id, r.n) for r in sorted(rows, key=lambda r: r.id)] == [(i, i) for i in range(100)]
+    assert tables.ordinals(spark.range(0), "n").count() == 0
+
+
 def test_entry_stands_without_the_text_operators(tmp_path):
     import os
     import shutil

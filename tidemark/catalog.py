@@ -34,7 +34,7 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def logits(v: DataFrame, window: int = WINDOW) -> DataFrame:
-    return A.causal_logits(A.last_queries(v, N), v, DIM, 1, window, small=True)
+    return A.causal_logits(A.last_queries(v, N), v, DIM, 1, window)
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -61,7 +61,7 @@ ERR = "CASE WHEN sqrt(list_inner_product(t.o, t.o)) < 1e-10 THEN 0 ELSE sqrt(lis
 RANKED = TRUTH + ", rk AS (SELECT *, row_number() OVER (PARTITION BY head, qpos ORDER BY logit DESC, pos) - 1 AS p, count(*) OVER (PARTITION BY head, qpos) AS n FROM wt WHERE NOT special), bud AS (SELECT unnest([4, 8, 16]) AS b)"
 
 
-def items_error(items: str, base: str = RANKED, by: str = "head, qpos, b") -> str:
+def items_error(items: str, base: str = RANKED, by: str = "head, qpos, b", extra: str = "") -> str:
     """Errors of a method from its rows (head, qpos, b, item, logit, v)."""
     return f"""WITH {base}, it AS ({items}),
 one AS (SELECT {by}, item, avg(logit) + ln(count(*)) AS sc FROM it GROUP BY {by}, item),
@@ -69,7 +69,7 @@ val AS ({vmean('it', by + ', item', '1.0')}),
 ev AS (SELECT one.*, val.o AS v FROM one JOIN val USING ({by}, item)),
 ex AS (SELECT *, exp(sc - max(sc) OVER (PARTITION BY {by})) AS e FROM ev),
 outp AS ({vmean('ex', by, 'e')}), cnt AS (SELECT {by}, count(*) AS budget FROM one GROUP BY {by})
-SELECT x.head, x.qpos, CAST(x.b AS BIGINT) AS requested_budget, CAST(budget AS BIGINT) AS budget, round({ERR}, 6) AS rel_l2_error FROM outp x JOIN truth t USING (head, qpos) JOIN cnt USING ({by})"""
+SELECT x.head, x.qpos, {extra}CAST(x.b AS BIGINT) AS requested_budget, CAST(budget AS BIGINT) AS budget, round({ERR}, 6) AS rel_l2_error FROM outp x JOIN truth t USING (head, qpos) JOIN cnt USING ({by})"""
 
 
 def context(spark: SparkSession, sf: str, budgets=BUDGETS, window: int = WINDOW, **options) -> methods.Context:
@@ -128,8 +128,8 @@ def select_heads(spark, sf):
 _LONG = "lng AS (" + " UNION ALL ".join(f"SELECT CAST(head % 3 AS INTEGER) AS layer, head, '{c}' AS metric, {c} AS value FROM hs" for c in _NAMES) + ")"
 
 
-def _long(spark, sf) -> DataFrame:
-    rows = stats.head_statistics(logits(vectors(spark, sf)))
+def _long(spark, sf, window: int = WINDOW) -> DataFrame:
+    rows = stats.head_statistics(logits(vectors(spark, sf), window))
     return rows.select(F.lit("t").alias("task"), (F.col("head") % 3).cast("int").alias("layer"), "head", F.explode(F.create_map(*[x for c in _NAMES for x in (F.lit(c), F.col(c))])).alias("metric", "value"))
 
 
@@ -206,13 +206,11 @@ def ideal_topk_error(spark, sf):
     return method_errors(c, methods.ideal_topk(c))
 
 
-@query(items_error("SELECT head, qpos, b, pos AS item, logit, v FROM wt, bud WHERE special UNION ALL SELECT head, qpos, b, pos, logit, v FROM (SELECT *, row_number() OVER (PARTITION BY head, qpos ORDER BY -ln(((pos * 7919 + qpos * 104729 + 42) % 1000003 + 1) / 1000004.0) / exp(logit - mxl), pos) - 1 AS dr FROM (SELECT *, max(logit) OVER (PARTITION BY head, qpos) AS mxl FROM rk) a) z, bud WHERE dr < b"))
-def ideal_sampling_arith(spark, sf):
-    c = context(spark, sf, arithmetic=True)
-    return method_errors(c, methods.ideal_sampling(c))
+_DRAWN = f"""SELECT *, row_number() OVER (PARTITION BY head, qpos ORDER BY -ln({V.draw_sql('head', 'qpos', 'pos', seed=42)}) / exp(logit - mxl), pos) - 1 AS dr
+FROM (SELECT *, max(logit) OVER (PARTITION BY head, qpos) AS mxl FROM rk) a"""
 
 
-@query()
+@query(items_error(f"SELECT head, qpos, b, pos AS item, logit, v FROM wt, bud WHERE special UNION ALL SELECT head, qpos, b, pos, logit, v FROM ({_DRAWN}) z, bud WHERE dr < b"))
 def ideal_sampling(spark, sf):
     c = context(spark, sf)
     return method_errors(c, methods.ideal_sampling(c))
@@ -240,7 +238,18 @@ def ideal_equal_weight_splits_no_refill(spark, sf):
     return method_errors(c, methods.ideal_equal_weight_splits(c))
 
 
-@query()
+_SIZES = "list_transform(range(1, len(ed)), lambda i: ed[i + 1] - ed[i])"
+# the first longest group is halved, again and again
+_REFILLED = _CUTS + f""", hn AS (SELECT DISTINCT head, qpos, n FROM rk),
+e0 AS (SELECT head, qpos, b, n, least(b, n) AS g, CASE WHEN b >= n THEN range(0, n + 1) ELSE list_concat(list_concat([0], coalesce(cuts, [])), [n]) END AS ed
+ FROM (SELECT hn.*, CAST(bud.b AS BIGINT) AS b FROM hn, bud) h LEFT JOIN (SELECT head, qpos, b, list(cut ORDER BY cut) AS cuts FROM bo GROUP BY head, qpos, b) c USING (head, qpos, b)),
+er AS (SELECT * FROM e0 UNION ALL SELECT head, qpos, b, n, g, list_concat(list_concat(list_slice(ed, 1, big), [(ed[big] + ed[big + 1]) // 2]), list_slice(ed, big + 1, len(ed)))
+ FROM (SELECT *, list_position(sz, list_max(sz)) AS big FROM (SELECT *, {_SIZES} AS sz FROM er) s) s2 WHERE len(ed) - 1 < g AND sz[big] >= 2),
+ef AS (SELECT head, qpos, b, arg_max(ed, len(ed)) AS ed FROM er GROUP BY head, qpos, b),
+gf AS (SELECT head, qpos, b, p, logit, v, len(list_filter(ed, lambda e: e > 0 AND e <= p)) AS gid FROM cu JOIN ef USING (head, qpos))"""
+
+
+@query(items_error("SELECT head, qpos, b, 's' || pos AS item, logit, v FROM wt, bud WHERE special UNION ALL SELECT head, qpos, b, 'g' || gid AS item, logit, v FROM gf", RANKED + _REFILLED).replace("WITH ", "WITH RECURSIVE ", 1))
 def ideal_equal_weight_splits(spark, sf):
     c = context(spark, sf)
     return method_errors(c, methods.ideal_equal_weight_splits(c))
@@ -331,12 +340,19 @@ def _vertex_sql(z: str) -> str:
     return f"(2 * {i} + CASE WHEN {z}[{i} + 1] < 0 THEN 1 ELSE 0 END)"
 
 
-_LSH = f""", mk AS ({vmean('vecs', 'head', '1.0', 'k')}), mq AS ({vmean('vecs', 'head', '1.0', 'q')}),
-ck AS (SELECT head, pos, k, v, list_transform(list_zip(k, mk.o), lambda p: p[1] - p[2]) AS c, exp(list_inner_product(mq.o, k) / 8.0) AS corr FROM vecs JOIN mk USING (head) JOIN mq USING (head)),
-bk AS (SELECT head, pos, k, v, corr, CASE WHEN pos < 1 THEN 16384 ELSE {_vertex_sql('c')} * 129 END AS bucket FROM ck),
+def _lsh(r1: list | None, r2: list | None) -> str:
+    """Buckets and their statistics under two rotations; None is the identity."""
+    turn = lambda r: "c" if r is None else f"list_transform({r}, lambda r: list_inner_product(r, c))"
+    return f""", mk AS ({vmean('vecs', 'head', '1.0', 'k')}), mq AS ({vmean('vecs', 'head', '1.0', 'q')}),
+c0 AS (SELECT head, pos, k, v, list_transform(list_zip(k, mk.o), lambda p: p[1] - p[2]) AS c, exp(list_inner_product(mq.o, k) / 8.0) AS corr FROM vecs JOIN mk USING (head) JOIN mq USING (head)),
+ck AS (SELECT head, pos, k, v, corr, {turn(r1)} AS z1, {turn(r2)} AS z2 FROM c0),
+bk AS (SELECT head, pos, k, v, corr, CASE WHEN pos < 1 THEN 16384 ELSE {_vertex_sql('z1')} * 128 + {_vertex_sql('z2')} END AS bucket FROM ck),
 bm AS (SELECT head, bucket, sum(corr) AS mass, count(*) AS size FROM bk GROUP BY head, bucket), bkm AS ({vmean('bk', 'head, bucket', '1.0', 'k')}), bvm AS ({vmean('bk', 'head, bucket', 'corr')})"""
 
 
+_LSH = _lsh(None, None)
+
+
 def _buckets(v: DataFrame) -> DataFrame:
     return grouping.hash_buckets(v, None, None, DIM)
 
@@ -353,20 +369,27 @@ def lsh_bucket_stats(spark, sf):
     return rounded(rows.select("head", "bucket", "size", "mass", F.get("mean_k", F.lit(0)).alias("k1"), F.get("mean_v", F.lit(0)).alias("v1")), "mass", "k1", "v1")
 
 
-@query(f"""WITH {TRUTH}{_LSH}, qz AS (SELECT head, qpos, list_transform(list_zip(q, mq.o), lambda p: p[1] - p[2]) AS qc, mk.o AS mko FROM qs JOIN mq USING (head) JOIN mk USING (head)),
-qv AS (SELECT head, qpos, qc, flatten(list_transform(list_zip(qc, mko), lambda p: [p[1] - p[2], p[2] - p[1]])) AS sc FROM qz),
-qe AS (SELECT head, qpos, qc, list_transform(sc, lambda x: exp(x - list_aggregate(sc, 'max'))) AS es FROM qv), qp AS (SELECT head, qpos, qc, list_transform(es, lambda x: x / list_aggregate(es, 'sum')) AS pi FROM qe),
-pr AS (SELECT head, qpos, bucket, bkm.o AS mk, bvm.o AS v, mass, qc, CASE WHEN bucket = 16384 THEN 1 ELSE pi[bucket // 128 + 1] * pi[bucket % 128 + 1] END AS pi FROM qp JOIN bm USING (head) JOIN bkm USING (head, bucket) JOIN bvm USING (head, bucket)),
+def _lsh_errors(r1: list | None, r2: list | None, budgets: list[int]) -> str:
+    turn = lambda r: "c" if r is None else f"list_transform({r}, lambda r: list_inner_product(r, c))"
+    share = lambda z: f"list_transform(flatten(list_transform({z}, lambda x: [x, -x])), lambda s: exp(s - list_aggregate(list_transform({z}, lambda y: abs(y)), 'max')))"
+    return f"""WITH {TRUTH}{_lsh(r1, r2)}, qc AS (SELECT head, qpos, list_transform(list_zip(q, mq.o), lambda p: p[1] - p[2]) AS qc, mk.o AS mko FROM qs JOIN mq USING (head) JOIN mk USING (head)),
+qd AS (SELECT head, qpos, qc, list_transform(list_zip(qc, mko), lambda p: p[1] - p[2]) AS c FROM qc),
+qz AS (SELECT head, qpos, qc, {turn(r1)} AS z1, {turn(r2)} AS z2 FROM qd), qe AS (SELECT head, qpos, qc, {share('z1')} AS e1, {share('z2')} AS e2 FROM qz),
+qp AS (SELECT head, qpos, qc, list_transform(e1, lambda x: x / list_aggregate(e1, 'sum')) AS p1, list_transform(e2, lambda x: x / list_aggregate(e2, 'sum')) AS p2 FROM qe),
+pr AS (SELECT head, qpos, bucket, bkm.o AS mk, bvm.o AS v, mass, qc, CASE WHEN bucket = 16384 THEN 1 ELSE p1[bucket // 128 + 1] * p2[bucket % 128 + 1] END AS pi FROM qp JOIN bm USING (head) JOIN bkm USING (head, bucket) JOIN bvm USING (head, bucket)),
 od AS (SELECT *, row_number() OVER (PARTITION BY head, qpos ORDER BY bucket = 16384 DESC, pi DESC, bucket) - 1 AS p, max(CASE WHEN bucket = 16384 THEN 1 ELSE 0 END) OVER (PARTITION BY head, qpos) AS has FROM pr),
-sl AS (SELECT head, qpos, b, v, list_inner_product(qc, mk) / 8.0 + ln(greatest(mass, 1e-30)) - ln(greatest(pi, 1e-30)) AS lo FROM od, (SELECT unnest([4, 8, 16]) AS b) bud WHERE p < greatest(b, has)),
+sl AS (SELECT head, qpos, b, v, list_inner_product(qc, mk) / 8.0 + ln(greatest(mass, 1e-30)) - ln(greatest(pi, 1e-30)) AS lo FROM od, (SELECT unnest({budgets}) AS b) bud WHERE p < greatest(b, has)),
 ex AS (SELECT *, exp(lo - max(lo) OVER (PARTITION BY head, qpos, b)) AS e FROM sl), outp AS ({vmean('ex', 'head, qpos, b', 'e')}), cnt AS (SELECT head, qpos, b, count(*) AS budget FROM sl GROUP BY head, qpos, b)
-SELECT x.head, x.qpos, CAST(x.b AS BIGINT) AS requested_budget, budget, round({ERR}, 6) AS rel_l2_error FROM outp x JOIN truth t USING (head, qpos) JOIN cnt USING (head, qpos, b)""")
+SELECT x.head, x.qpos, CAST(x.b AS BIGINT) AS requested_budget, budget, round({ERR}, 6) AS rel_l2_error FROM outp x JOIN truth t USING (head, qpos) JOIN cnt USING (head, qpos, b)"""
+
+
+@query(_lsh_errors(None, None, [4, 8, 16]))
 def lsh_attention(spark, sf):
     c = context(spark, sf, rotations=(None, None))
     return method_errors(c, methods.lsh_attention(c))
 
 
-@query()
+@query(_lsh_errors(grouping.random_rotation(DIM, 42), grouping.random_rotation(DIM, 43), [16]))
 def lsh_attention_rotated(spark, sf):
     c = context(spark, sf, (16,))
     return method_errors(c, methods.lsh_attention(c))
@@ -405,13 +428,13 @@ def aggregate_query_stats(spark, sf):
     return rounded(rows, *rows.columns)
 
 
-_ACROSS = "round(avg({v}), 6) AS mean, round(quantile_cont({v}, 0.5), 6) AS median, round(quantile_cont({v}, 0.25), 6) AS p25, round(quantile_cont({v}, 0.75), 6) AS p75, round(quantile_cont({v}, 0.9), 6) AS p90, round(stddev_pop({v}), 6) AS std, count(*) AS n_heads"
+_ACROSS = "round(avg({v}), 6) AS mean, round(quantile_cont({v}, 0.5), 6) AS median, round(quantile_cont({v}, 0.25), 6) AS p25, round(quantile_cont({v}, 0.75), 6) AS p75, round(quantile_cont({v}, 0.9), 6) AS p90, round(stddev_pop({v}), 6) AS std, count(*) AS n_heads, round(quantile_cont({v}, 0.75) - quantile_cont({v}, 0.25), 6) AS spread"
 
 
 @query(f"WITH {_STATS}, o AS (SELECT *, row_number() OVER (PARTITION BY head ORDER BY qpos) - 1 AS nth FROM st) SELECT nth, {_ACROSS.format(v='full_entropy')} FROM o GROUP BY nth")
 def aggregate_across_heads(spark, sf):
     rows = stats.query_stats(logits(vectors(spark, sf))).withColumn("nth", (F.row_number().over(Window.partitionBy("head").orderBy("qpos")) - 1).cast("long"))
-    return rounded(aggregate.across_heads(rows, ["nth"], "full_entropy"), "mean", "median", "p25", "p75", "p90", "std")
+    return rounded(aggregate.across_heads(rows, ["nth"], "full_entropy"), "mean", "median", "p25", "p75", "p90", "std", "spread")
 
 
 @query(f"SELECT method, count(*) AS count, round(avg(rel_l2_error), 6) AS mean, round(stddev_samp(rel_l2_error), 6) AS std, round(min(rel_l2_error), 6) AS min, round(quantile_cont(rel_l2_error, 0.25), 6) AS p25, round(quantile_cont(rel_l2_error, 0.5), 6) AS p50, round(quantile_cont(rel_l2_error, 0.75), 6) AS p75, round(max(rel_l2_error), 6) AS max FROM ({_RES}) r GROUP BY method")
@@ -476,13 +499,24 @@ for _kind in ("qk", "qq", "kk"):
     _pair_query(_kind)
 
 
-@query()
+_FEW = f"SELECT *, row_number() OVER (PARTITION BY head, pos_a ORDER BY pos_b = 0 DESC, {V.draw_sql('pos_b', seed=42)}, pos_b) AS r FROM pr"
+
+
+@query(f"WITH {_pair_sql('kk')} SELECT head, pos_a, pos_b, dist, is_sink, round(cos, 6) AS cos, round(dot, 6) AS dot FROM ({_FEW}) z WHERE r <= 20")
 def pair_kk_sampled(spark, sf):
     return rounded(_pairs(spark, sf, "kk", most=20), "cos", "dot")
 
 
 _BINS = 5
-_EDGE = ", ed AS (SELECT head, list_sort(list_distinct(list(q))) AS edges FROM (SELECT head, unnest(quantile_cont(dist, [" + ", ".join(str(i / _BINS) for i in range(_BINS + 1)) + "])) AS q FROM pr GROUP BY head) z GROUP BY head), bn AS (SELECT pr.*, edges, greatest(1, least(len(list_filter(edges, lambda e: e <= dist)), len(edges) - 1)) AS bin FROM pr JOIN ed USING (head))"
+
+
+def _edges(bins: int) -> str:
+    at = ", ".join(str(i / bins) for i in range(bins + 1))
+    return f""", ed AS (SELECT head, list_sort(list_distinct(list(round(q, 9)))) AS edges FROM (SELECT head, unnest(quantile_cont(dist, [{at}])) AS q FROM pr GROUP BY head) z GROUP BY head),
+bn AS (SELECT pr.*, edges, greatest(1, least(len(list_filter(edges, lambda e: e <= dist)), len(edges) - 1)) AS bin FROM pr JOIN ed USING (head))"""
+
+
+_EDGE = _edges(_BINS)
 
 
 @query(f"WITH {_pair_sql('qk')}{_EDGE} SELECT head, CAST(bin AS BIGINT) AS bin, round(sqrt(greatest(any_value(edges[bin]), 1) * greatest(any_value(edges[bin + 1]), 1)), 6) AS centre, round(avg(cos), 6) AS mean, round(stddev_pop(cos) / sqrt(count(*)), 6) AS sem, count(*) AS n FROM bn GROUP BY head, bin")
@@ -513,10 +547,9 @@ def pair_histogram(spark, sf):
     return rounded(explore.histogram(explore.pair_weights(_pairs(spark, sf, "qk")).withColumn("cos", F.round("cos", 9)), "cos", -1.0, 1.0, 20, weight="w"), "density")
 
 
-@query(f"WITH RECURSIVE {_pair_sql('qk')}, od AS (SELECT head, dist, pos_a, pos_b, cos, row_number() OVER (PARTITION BY head ORDER BY dist, pos_a, pos_b) AS r FROM pr WHERE pos_a % 5 = 0), em AS (SELECT head, dist, pos_a, pos_b, r, cos AS ema FROM od WHERE r = 1 UNION ALL SELECT od.head, od.dist, od.pos_a, od.pos_b, od.r, 2.0 / 21 * od.cos + (1 - 2.0 / 21) * em.ema FROM em JOIN od ON od.head = em.head AND od.r = em.r + 1) SELECT head, dist, pos_a, pos_b, round(ema, 6) AS ema FROM em")
+@query(f"WITH RECURSIVE {_pair_sql('qk')}, od AS (SELECT head, dist, pos_a, pos_b, cos, row_number() OVER (PARTITION BY head ORDER BY dist, pos_a, pos_b) AS r FROM pr), em AS (SELECT head, dist, pos_a, pos_b, r, cos AS ema FROM od WHERE r = 1 UNION ALL SELECT od.head, od.dist, od.pos_a, od.pos_b, od.r, 2.0 / 21 * od.cos + (1 - 2.0 / 21) * em.ema FROM em JOIN od ON od.head = em.head AND od.r = em.r + 1) SELECT head, dist, pos_a, pos_b, round(ema, 6) AS ema FROM em")
 def ema_smooth(spark, sf):
-    rows = _pairs(spark, sf, "qk").filter(F.col("pos_a") % 5 == 0)
-    return rounded(explore.smoothed(rows, ["dist", "pos_a", "pos_b"], "cos", 20).drop("cos"), "ema")
+    return rounded(explore.smoothed(_pairs(spark, sf, "qk"), ["dist", "pos_a", "pos_b"], "cos", 20).drop("cos"), "ema")
 
 
 @query(f"WITH {BASE}, mq AS ({vmean('qs', 'head', '1.0', 'q')}), d AS (SELECT head, qpos, sqrt(list_inner_product(q, q)) AS qn, sqrt(list_aggregate(list_transform(list_zip(q, o), lambda p: (p[1] - p[2]) * (p[1] - p[2])), 'sum')) AS dv FROM qs JOIN mq USING (head)) SELECT head, qpos, round(qn, 6) AS q_norm, round(dv, 6) AS deviation, round(dv / greatest(qn, 1e-10), 6) AS relative_deviation FROM d")
@@ -533,17 +566,35 @@ def meanquery_correlation(spark, sf):
 _DIST = "sqrt(list_aggregate(list_transform(list_zip({a}, {b}), lambda p: (p[1] - p[2]) * (p[1] - p[2])), 'sum'))"
 
 
-@query(f"WITH {BASE}, cq AS ({vmean('vecs', 'head', '1.0', 'q')}), ck AS ({vmean('vecs', 'head', '1.0', 'k')}), ii AS (SELECT a.head, avg({_DIST.format(a='a.q', b='b.q')}) AS iq, avg({_DIST.format(a='a.k', b='b.k')}) AS ik, avg({_DIST.format(a='a.q', b='b.k')}) AS ix FROM vecs a JOIN vecs b ON a.head = b.head AND a.pos <> b.pos GROUP BY a.head) SELECT head, round(iq, 6) AS intra_q, round(ik, 6) AS intra_k, round(ix, 6) AS inter, round({_DIST.format(a='cq.o', b='ck.o')}, 6) AS centroid_distance, round(ix / greatest((iq + ik) / 2, 1e-10), 6) AS ratio FROM ii JOIN cq USING (head) JOIN ck USING (head)")
+def _separation_sql(pairs: str) -> str:
+    """Separation from pairs: rows (head, i, j, qi, ki, qj, kj)."""
+    return f"""WITH {BASE}, cq AS ({vmean('vecs', 'head', '1.0', 'q')}), ck AS ({vmean('vecs', 'head', '1.0', 'k')}),
+ii AS (SELECT head, avg(CASE WHEN i <> j THEN {_DIST.format(a='qi', b='qj')} END) AS iq, avg(CASE WHEN i <> j THEN {_DIST.format(a='ki', b='kj')} END) AS ik, avg({_DIST.format(a='qi', b='kj')}) AS ix FROM ({pairs}) z GROUP BY head)
+SELECT head, round(iq, 6) AS intra_q, round(ik, 6) AS intra_k, round(ix, 6) AS inter, round({_DIST.format(a='cq.o', b='ck.o')}, 6) AS centroid_distance, round(ix / greatest((iq + ik) / 2, 1e-10), 6) AS ratio
+FROM ii JOIN cq USING (head) JOIN ck USING (head)"""
+
+
+_TWO = "a.head, a.pos AS i, b.pos AS j, a.q AS qi, a.k AS ki, b.q AS qj, b.k AS kj"
+
+
+@query(_separation_sql(f"SELECT {_TWO} FROM vecs a JOIN vecs b ON a.head = b.head"))
 def cluster_separation(spark, sf):
     return rounded(explore.separation(vectors(spark, sf)), "intra_q", "intra_k", "inter", "centroid_distance", "ratio")
 
 
-@query()
+_SIZED = "(SELECT *, count(*) OVER (PARTITION BY head) AS n FROM vecs)"
+
+
+@query(_separation_sql(f"SELECT {_TWO} FROM (SELECT s.*, o FROM {_SIZED} s, (SELECT unnest(generate_series(1, 20)) AS o) t) a JOIN vecs b ON a.head = b.head AND b.pos = floor({V.draw_sql('a.pos', 'a.o', seed=42)} * a.n)"))
 def cluster_separation_sampled(spark, sf):
     return rounded(explore.separation(vectors(spark, sf), sample=20), "intra_q", "intra_k", "inter", "centroid_distance", "ratio")
 
 
-@query()
+_PICKED = f"""pk AS (SELECT head, i, CAST(floor({V.draw_sql('head', 'i', seed=42)} * n) AS BIGINT) AS pos_q, CAST(floor({V.draw_sql('head', 'i', seed=43)} * n) AS BIGINT) AS pos_k
+FROM (SELECT head, count(*) AS n FROM vecs GROUP BY head) h, (SELECT unnest(generate_series(1, 500)) AS i) s WHERE i <= n * n)"""
+
+
+@query(f"WITH {BASE}, {_PICKED} SELECT pk.head, i, pos_q, pos_k, round(list_inner_product(a.q, b.k) / greatest(sqrt(list_inner_product(a.q, a.q)) * sqrt(list_inner_product(b.k, b.k)), 1e-10), 6) AS cos FROM pk JOIN vecs a ON a.head = pk.head AND a.pos = pos_q JOIN vecs b ON b.head = pk.head AND b.pos = pos_k")
 def sampled_cosines(spark, sf):
     return rounded(explore.sampled_cosines(vectors(spark, sf), 500), "cos")
 
@@ -581,10 +632,24 @@ def box_plots(spark, sf):
     return rounded(report.box(_long(spark, sf), ["metric"]), "q1", "median", "q3", "low", "high")
 
 
-@query(f"WITH {_HEADS}, {_LONG}, tk AS (SELECT unnest(['a', 'b']) AS task), al AS (SELECT task, layer, head, metric, value FROM lng, tk WHERE task = 'a' OR head < 4), ch AS (SELECT DISTINCT layer, head FROM lng WHERE head % 3 = 0) SELECT task, layer, head, round(value, 6) AS value FROM tk CROSS JOIN ch LEFT JOIN (SELECT * FROM al WHERE metric = 'full_entropy') x USING (task, layer, head)")
+_WIDE = 10  # the window of the second task
+_SECOND = f"SELECT * FROM (WITH {_HEADS}, {_LONG} SELECT * FROM lng)".replace(f"qpos + 1 - {WINDOW}", f"qpos + 1 - {_WIDE}")
+_CHOSEN = """rr AS (SELECT head, row_number() OVER (ORDER BY round(effective_entropy, 9), head) - 1 AS r, count(*) OVER () AS n FROM hs),
+ch AS (SELECT CAST(head % 3 AS INTEGER) AS layer, head, 'P' || min(pct) AS label FROM rr, (SELECT unnest([0, 25, 50, 75, 100]) AS pct) pc WHERE r = round_even(pct / 100.0 * (n - 1), 0) GROUP BY head)"""
+_TASKS = f"al AS (SELECT 'a' AS task, * FROM lng UNION ALL SELECT 'b' AS task, * FROM ({_SECOND}) s)"
+
+
+def _two_tasks(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Statistics of two tasks, whose windows differ, and the heads chosen by the first's."""
+    rows = _long(spark, sf).withColumn("task", F.lit("a")).unionByName(_long(spark, sf, _WIDE).withColumn("task", F.lit("b")))
+    entropy = rows.filter("task = 'a' and metric = 'effective_entropy'").select("layer", "head", F.round("value", 9).alias("effective_entropy"))
+    picked = stats.select_heads(entropy, keys=("layer", "head"), ties=("head",))
+    return rows, picked.select("layer", "head", F.concat(F.lit("P"), F.col("percentile").cast("string")).alias("label"))
+
+
+@query(f"WITH {_HEADS}, {_LONG}, {_CHOSEN}, {_TASKS}, tk AS (SELECT unnest(['a', 'b']) AS task) SELECT task, layer, head, round(value, 6) AS value FROM tk CROSS JOIN ch LEFT JOIN (SELECT * FROM al WHERE metric = 'full_entropy') x USING (task, layer, head)")
 def heads_across_tasks(spark, sf):
-    rows = _long(spark, sf).drop("task").withColumn("task", F.explode(F.array(F.lit("a"), F.lit("b")))).filter("task = 'a' or head < 4")
-    chosen = rows.filter("head % 3 = 0").select("layer", "head").distinct()
+    rows, chosen = _two_tasks(spark, sf)
     return rounded(report.across_tasks(chosen, rows, "full_entropy"), "value")
 
 
@@ -606,7 +671,13 @@ def rope_raw_comparison(spark, sf):
     return rounded(report.variants(each(turned), each(raw)), "full_entropy")
 
 
-@query()
+def _dashboard_sql(bins: int = 15) -> str:
+    part = """SELECT '{kind}' AS pair_type, '{metric}' AS metric, head, CAST(bin AS BIGINT) AS bin, sqrt(greatest(any_value(edges[bin]), 1) * greatest(any_value(edges[bin + 1]), 1)) AS centre,
+avg({metric}) AS mean, stddev_pop({metric}) / sqrt(count(*)) AS sem, count(*) AS n FROM bn GROUP BY head, bin"""
+    return " UNION ALL ".join(f"SELECT * FROM (WITH {_pair_sql(kind)}{_edges(bins)} {part.format(kind=kind, metric=metric)}) {kind}_{metric}" for kind in ("qk", "qq", "kk") for metric in ("cos", "dot"))
+
+
+@query(f"SELECT head, pair_type, metric, bin, round(centre, 6) AS centre, round(mean, 6) AS mean, round(sem, 6) AS sem, n FROM ({_dashboard_sql()}) z")
 def pair_dashboard(spark, sf):
     v = vectors(spark, sf)
     return rounded(report.pair_panels(A.last_queries(v, N).select("head", F.col("qpos").alias("pos")), v, DIM, most=None), "centre", "mean", "sem")
@@ -615,25 +686,28 @@ def pair_dashboard(spark, sf):
 # ---- benchmark examples
 
 
-@query("SELECT doc_id, md5('Context: ' || text || chr(10) || chr(10) || 'Question: What is ' || doc_id || '?' || chr(10) || chr(10) || 'Answer:') AS digest FROM documents WHERE text IS NOT NULL")
+_ASKED = "chr(10) || chr(10) || 'Question: What is ' || doc_id || '?' || chr(10) || chr(10) || 'Answer:'"
+
+
+@query(f"SELECT doc_id, md5('Context: ' || coalesce(text, '') || {_ASKED}) AS digest FROM documents")
 def prompt_format(spark, sf):
-    rows = tables.benchmark_examples(spark.read.parquet(f"{sf}/documents.parquet")).filter("context is not null")
+    rows = tables.benchmark_examples(spark.read.parquet(f"{sf}/documents.parquet"))
     return rows.select("doc_id", F.md5(tables.prompt(F.col("context"), F.col("question")).cast("binary")).alias("digest"))
 
 
-_TOK = "string_split(text, ' ')"
+_TOK = "string_split(coalesce(text, ''), ' ')"
 
 
-@query(f"SELECT doc_id, CAST(least(len({_TOK}), 50) AS INTEGER) AS n_tok, array_to_string({_TOK}[greatest(len({_TOK}) - 49, 1):], ' ') AS kept FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, CAST(least(len({_TOK}), 50) AS INTEGER) AS n_tok, array_to_string({_TOK}[greatest(len({_TOK}) - 49, 1):], ' ') AS kept FROM documents")
 def tail_truncate(spark, sf):
-    kept = tables.tail(F.split("text", " "), 50)
-    return spark.read.parquet(f"{sf}/documents.parquet").filter("text is not null").select("doc_id", F.size(kept).alias("n_tok"), F.array_join(kept, " ").alias("kept"))
+    kept = tables.tail(F.split(F.coalesce("text", F.lit("")), " "), 50)
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.size(kept).alias("n_tok"), F.array_join(kept, " ").alias("kept"))
 
 
-@query(f"SELECT lang, doc_id, CAST(n AS INTEGER) AS n_tok FROM (SELECT lang, doc_id, len({_TOK}) AS n, row_number() OVER (PARTITION BY lang ORDER BY len({_TOK}) DESC, doc_id) AS r FROM documents WHERE text IS NOT NULL) z WHERE r <= 3")
+@query(f"SELECT lang, doc_id, CAST(n AS INTEGER) AS n_tok FROM (SELECT lang, doc_id, len({_TOK}) AS n, row_number() OVER (PARTITION BY lang ORDER BY len({_TOK}) DESC, doc_id) AS r FROM documents) z WHERE r <= 3")
 def longest_examples(spark, sf):
-    rows = spark.read.parquet(f"{sf}/documents.parquet").filter("text is not null").select("lang", "doc_id", F.size(F.split("text", " ")).alias("n_tok"))
-    return rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_tok"), "doc_id"))).filter("r <= 3").drop("r")
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("lang", "doc_id", F.size(F.split(F.coalesce("text", F.lit("")), " ")).alias("n_tok"))
+    return tables.longest(rows, "n_tok", ["lang"], 3, ["doc_id"])
 
 
 @query("SELECT lower(lang) || '_' || (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) AS id, lower(lang) AS task, lang AS domain, source, doc_id, 'What is ' || doc_id || '?' AS question, length(text) AS context_chars, substring(text, 1, 200) AS context_preview FROM documents")
@@ -646,6 +720,9 @@ def domain_filter_loader(spark, sf):
     return tables.benchmark_examples(spark.read.parquet(f"{sf}/documents.parquet"), "de").select("id", "doc_id", "source")
 
 
+from tidemark import catalog_panels  # noqa: E402, F401  (adds its queries)
+
+
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: errors of the best keys under every budget, next to exact attention."""
     return ideal_topk_budget_sweep(spark, sf)

@@ -2,10 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+#: Draws are whole numbers below this prime, so every product fits 64 bits.
+PRIME = 2**31 - 1
+
+
+def draw(*parts: Column, seed: int = 0) -> Column:
+    """A number in (0, 1) that looks random, from whole numbers, by arithmetic that any engine can follow."""
+    x = F.lit(seed % PRIME).cast("long")
+    for p in parts:
+        x = (x * 1664525 + F.pmod(p.cast("long"), F.lit(PRIME)) * 1013904223 + 12345) % PRIME
+        x = (x * (x + 48271)) % PRIME
+    return (x + 0.5) / float(PRIME)
+
+
+def draw_sql(*parts: str, seed: int = 0) -> str:
+    """The same in SQL, for whole numbers from 0 on."""
+    x = f"CAST({seed % PRIME} AS BIGINT)"
+    for p in parts:
+        x = f"(({x} * 1664525 + CAST({p} AS BIGINT) % {PRIME} * 1013904223 + 12345) % {PRIME})"
+        x = f"(({x} * ({x} + 48271)) % {PRIME})"
+    return f"(({x} + 0.5) / {float(PRIME)})"
+
+
+def numbers(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """The columns as whole numbers to draw by; text by its checksum."""
+    text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    return [F.crc32(F.col(c).cast("binary")) if c in text else F.col(c) for c in columns]
 
 
 def col(c: Column | str) -> Column:

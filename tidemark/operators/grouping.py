@@ -13,30 +13,32 @@ from tidemark.functions.vectors import dot, minus, vector_mean, vertex
 from tidemark.plans.attention import KEYS, by_query
 
 
+def distances(data: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of rows and centres."""
+    return np.maximum((data**2).sum(1)[:, None] + (centres**2).sum(1) - 2 * data @ centres.T, 0)
+
+
 def kmeans(data: np.ndarray, clusters: int, seed: int = 42, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
     """k-means with seeds drawn by squared distance; ends when no label changes; an empty cluster keeps its centre.
 
     Labels start at 0, so a single cluster ends before its first update and keeps the drawn point.
     """
     rng = np.random.default_rng(seed)
-    n, clusters = len(data), min(clusters, len(data))
-    gap = np.full(n, np.inf)
-    picked = [int(rng.integers(n))]
-    square = (data * data).sum(axis=1)
-    while len(picked) < clusters:
-        at = data[picked[-1]]
-        gap = np.clip(np.minimum(gap, square + float(at @ at) - 2 * (data @ at)), 0, None)
-        picked.append(int(rng.choice(n, p=gap / gap.sum() if gap.sum() > 0 else None)))
-    centres, labels = data[picked].astype(float), np.zeros(n, np.int64)
+    centres = data[rng.choice(len(data), 1)].astype(float)
+    near = distances(data, centres)[:, 0]
+    for _ in range(1, min(clusters, len(data))):
+        share = near / near.sum() if near.any() else None
+        centres = np.vstack([centres, data[rng.choice(len(data), 1, p=share)]])
+        near = np.minimum(near, distances(data, centres[-1:])[:, 0])
+    labels = np.zeros(len(data), np.int64)
     for _ in range(rounds):
-        now = ((centres**2).sum(axis=1) - 2 * (data @ centres.T)).argmin(axis=1)
-        if (now == labels).all():
+        now = distances(data, centres).argmin(axis=1)
+        if np.array_equal(now, labels):
             break
         labels = now
-        size = np.bincount(labels, minlength=clusters)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, labels, data)
-        centres = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], centres)
+        member = np.eye(len(centres))[labels]
+        size = member.sum(axis=0)[:, None]
+        centres = np.where(size > 0, member.T @ data / np.maximum(size, 1), centres)
     return centres, labels
 
 
@@ -66,21 +68,28 @@ def nearest(points: DataFrame, centres: DataFrame, x: str, c: str, keys: Sequenc
     return pairs.withColumn("r", F.row_number().over(w)).filter("r = 1").select(*rest, "cid")
 
 
-def equal_weight_boundaries(ranked: DataFrame, groups: int, keys: Sequence[str] = KEYS) -> DataFrame:
-    """(keys, qpos, n, cuts): the first ranks whose running weight reaches j/groups of the whole, distinct and in order.
+def equal_weight_boundaries(ranked: DataFrame, budgets: Sequence[int], keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, qpos, b, n, total, cuts): for each budget b, the first ranks whose running weight reaches j/b of the whole,
+    distinct and in order. One pass for all budgets: how many targets a rank has passed follows from its running weight.
 
     ranked: keys, qpos, p, n, w with p the 0-based rank by descending weight.
     """
     w = by_query(keys)
-    run = ranked.select(*keys, "qpos", "p", "n", F.round(F.sum("w").over(w.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)), 12).alias("run"), F.sum("w").over(w).alias("total"))
-    g = F.least(F.lit(groups).cast("long"), F.col("n"))
-    before = F.coalesce(F.lag("run").over(w.orderBy("p")), F.lit(-1.0))
-    # rank p is the first to reach target j for every j in (before, run] of the targets
-    reached = run.select(*keys, "qpos", "p", "n", "run", F.col("total").alias("whole"), g.alias("g"), before.alias("before"))
-    target = lambda j: F.round(F.col("whole") * j / F.col("g"), 12)
-    hits = F.exists(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("g") - 1, F.lit(1).cast("long"))), lambda j: (j < F.col("g")) & (target(j) > F.col("before")) & (target(j) <= F.col("run")))
-    cut = F.least(F.greatest(F.col("p"), F.lit(1)), F.col("n") - 1)
-    return reached.groupBy(*keys, "qpos").agg(F.max("n").alias("n"), F.max("whole").alias("total"), F.array_sort(F.collect_set(F.when(hits, cut))).alias("cuts"))
+    run = F.round(F.sum("w").over(w.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)), 12)
+    rows = ranked.select(*keys, "qpos", "p", "n", run.alias("run"), F.sum("w").over(w).alias("total"))
+    rows = rows.withColumn("b", F.explode(_budgets(budgets))).withColumn("g", F.least("b", "n"))
+    near = F.floor(F.coalesce(F.try_divide(F.col("run") * F.col("g"), F.col("total")), F.lit(0.0)))  # right, or one off by rounding
+    reached = lambda j: F.round(F.col("total") * j / F.col("g"), 12) <= F.col("run")
+    passed = F.when(reached(near + 1), near + 1).when(reached(near), near).otherwise(near - 1)
+    rows = rows.withColumn("passed", F.least(F.greatest(passed, F.lit(0)), F.col("g") - 1))
+    before = F.coalesce(F.lag("passed").over(by_query(keys, "b").orderBy("p")), F.lit(0))
+    cut = F.when(F.col("passed") > F.col("before"), F.least(F.greatest(F.col("p"), F.lit(1)), F.col("n") - 1).cast("long"))
+    rows = rows.withColumn("before", before)
+    return rows.groupBy(*keys, "qpos", "b").agg(F.max("n").alias("n"), F.max("total").alias("total"), F.array_sort(F.collect_set(cut)).alias("cuts"))
+
+
+def _budgets(budgets: Sequence[int]):
+    return F.array(*[F.lit(int(b)).cast("long") for b in budgets])
 
 
 def refilled(cuts: list[int], n: int, groups: int) -> list[int]:
@@ -97,21 +106,26 @@ def refilled(cuts: list[int], n: int, groups: int) -> list[int]:
     return [int(e) for e in edges[1:-1]]
 
 
-def equal_weight_groups(ranked: DataFrame, groups: int, refill: bool = True, keys: Sequence[str] = KEYS) -> DataFrame:
-    """ranked with gid: groups of about equal weight, filled up to exactly `groups` (or n) if asked.
+def equal_weight_groups(ranked: DataFrame, budgets: Sequence[int], refill: bool = True, keys: Sequence[str] = KEYS) -> DataFrame:
+    """ranked for each budget b with gid: groups of about equal weight, filled up to exactly b (or n) if asked.
 
-    Only the cuts, at most `groups` a query, go through Arrow.
+    Only the cuts, at most b a query, go through Arrow; a rank's group is the number of cuts up to it.
     """
-    cuts = equal_weight_boundaries(ranked, groups, keys)
+    cuts = equal_weight_boundaries(ranked, budgets, keys)
     if refill:
 
         @F.pandas_udf("array<long>")
-        def fill(cut: pd.Series, n: pd.Series, total: pd.Series) -> pd.Series:
-            even = lambda n, g: [i * max(1, n // g) for i in range(1, g)]
-            return pd.Series([refilled(list(c), int(m), min(groups, int(m))) if t >= 1e-12 or groups >= m else even(int(m), min(groups, int(m))) for c, m, t in zip(cut, n, total, strict=True)])
+        def fill(cut: pd.Series, n: pd.Series, total: pd.Series, b: pd.Series) -> pd.Series:
+            out = []
+            for c, m, t, g in zip(cut, n.astype(int), total, np.minimum(b, n).astype(int), strict=True):
+                out.append(refilled(list(c), m, g) if t >= 1e-12 or g >= m else [i * max(1, m // g) for i in range(1, g)])
+            return pd.Series(out)
 
-        cuts = cuts.withColumn("cuts", fill("cuts", "n", "total"))
-    return ranked.join(cuts.select(*keys, "qpos", "cuts"), [*keys, "qpos"]).withColumn("gid", F.size(F.filter("cuts", lambda c: c <= F.col("p"))).cast("long")).drop("cuts")
+        cuts = cuts.withColumn("cuts", fill("cuts", "n", "total", "b"))
+    marks = cuts.select(*keys, "qpos", "b", F.explode("cuts").alias("p"), F.lit(1).cast("long").alias("mark"))
+    rows = ranked.withColumn("p", F.col("p").cast("long")).withColumn("b", F.explode(_budgets(budgets)))
+    upto = by_query(keys, "b").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(marks, [*keys, "qpos", "b", "p"], "left").withColumn("gid", F.coalesce(F.sum("mark").over(upto), F.lit(0)).cast("long")).drop("mark")
 
 
 def hash_buckets(vectors: DataFrame, r1: list[list[float]] | None, r2: list[list[float]] | None, dim: int, keys: Sequence[str] = KEYS, sink: int = 1) -> DataFrame:
@@ -120,7 +134,7 @@ def hash_buckets(vectors: DataFrame, r1: list[list[float]] | None, r2: list[list
     A rotation of None is the identity. The first `sink` keys have a bucket of their own, (2 dim)^2.
     """
     mean = vectors.groupBy(*keys).agg(vector_mean("k").alias("mean_k"))
-    rows = vectors.join(F.broadcast(mean), list(keys)).withColumn("c", minus("k", "mean_k"))
+    rows = vectors.join(mean, list(keys)).withColumn("c", minus("k", "mean_k"))
     rows = rows.withColumn("z1", rotated(F.col("c"), r1)).withColumn("z2", rotated(F.col("c"), r2))
     label = vertex("z1") * (2 * dim) + vertex("z2")
     return rows.select(*keys, "pos", "k", "v", F.when(F.col("pos") < sink, F.lit((2 * dim) ** 2).cast("long")).otherwise(label).alias("bucket"))
@@ -147,5 +161,5 @@ def random_rotation(dim: int, seed: int) -> list[list[float]]:
 def bucket_stats(buckets: DataFrame, queries: DataFrame, dim: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """(keys, bucket, mean_k, mean_v, mass, size): values weighted by exp(mean query . k / sqrt(dim))."""
     mean_q = queries.groupBy(*keys).agg(vector_mean("q").alias("mean_q"))
-    rows = buckets.join(F.broadcast(mean_q), list(keys)).withColumn("corr", F.exp(dot("mean_q", "k") * dim**-0.5))
+    rows = buckets.join(mean_q, list(keys)).withColumn("corr", F.exp(dot("mean_q", "k") * dim**-0.5))
     return rows.groupBy(*keys, "bucket").agg(vector_mean("k").alias("mean_k"), vector_mean("v", F.col("corr")).alias("mean_v"), F.sum("corr").alias("mass"), F.count("*").alias("size"))

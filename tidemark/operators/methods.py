@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.vectors import dot, minus, normalised, vector_mean, vertex_scores
+from tidemark.functions.vectors import dot, draw, minus, normalised, numbers, vector_mean, vertex_scores
 from tidemark.operators.grouping import bucket_stats, cluster, cluster_stats, equal_weight_groups, hash_buckets, nearest, random_rotation, rotated
 from tidemark.plans.attention import KEYS, by_query, equal_group, ranked
 
@@ -95,10 +95,8 @@ def ideal_topk(c: Context) -> DataFrame:
 
 
 def draw_key(c: Context) -> Column:
-    """A uniform number for each (query, key): by hash, or arithmetic if `arithmetic` is set, so other engines can follow."""
-    if c.options.get("arithmetic"):
-        return ((F.col("pos") * 7919 + F.col("qpos") * 104729 + c.seed) % 1000003 + 1) / 1000004.0
-    return (F.pmod(F.xxhash64(*c.keys, "qpos", "pos", F.lit(c.seed)), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
+    """A uniform number for each (query, key)."""
+    return draw(*numbers(c.logits, c.keys), F.col("qpos"), F.col("pos"), seed=c.seed)
 
 
 @register("IdealSampling", "idealized")
@@ -125,11 +123,9 @@ def ideal_equal_weight_splits(c: Context) -> DataFrame:
     w = by_query(c.keys)
     rows = ranked(c.logits, c.keys).withColumn("w", F.exp(F.col("logit") - F.max("logit").over(w)))
     rows = rows.withColumn("w", F.col("w") / F.sum("w").over(w))
-    out = _special(c, c.logits, "IdealEqualWeightSplits").select(*_columns(c))
-    for b in c.budgets:  # a plan a budget
-        part = equal_weight_groups(rows, int(b), c.options.get("refill", True), c.keys)
-        out = out.unionByName(named(part, "IdealEqualWeightSplits", F.lit(int(b))).withColumn("item", F.concat(F.lit("g"), F.col("gid").cast("string"))).select(*_columns(c)))
-    return combine(out, c.keys)
+    groups = equal_weight_groups(rows, c.budgets, c.options.get("refill", True), c.keys)
+    groups = named(groups, "IdealEqualWeightSplits", F.col("b")).withColumn("item", F.concat(F.lit("g"), F.col("gid").cast("string")))
+    return combine(_special(c, c.logits, "IdealEqualWeightSplits").select(*_columns(c)).unionByName(groups.select(*_columns(c))), c.keys)
 
 
 def hybrid(c: Context, grouped: DataFrame, name: str, top: int, mode: str) -> DataFrame:
@@ -212,7 +208,7 @@ def lsh_attention(c: Context) -> DataFrame:
     every = c.vectors.select(*c.keys, F.col("pos").alias("qpos"), "q")
     stats = bucket_stats(hash_buckets(c.vectors, r1, r2, c.dim, c.keys), every, c.dim, c.keys)
     means = c.vectors.groupBy(*c.keys).agg(vector_mean("q").alias("mean_q"), vector_mean("k").alias("mean_key"))
-    q = c.queries.join(F.broadcast(means), list(c.keys)).withColumn("qc", minus("q", "mean_q")).withColumn("z", minus("qc", "mean_key"))
+    q = c.queries.join(means, list(c.keys)).withColumn("qc", minus("q", "mean_q")).withColumn("z", minus("qc", "mean_key"))
     q = q.withColumn("z1", rotated(F.col("z"), r1)).withColumn("z2", rotated(F.col("z"), r2))
     q = q.select(*c.keys, "qpos", "qc", normalised(vertex_scores("z1")).alias("pi1"), normalised(vertex_scores("z2")).alias("pi2"))
     pairs = q.join(stats, list(c.keys))

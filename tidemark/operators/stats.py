@@ -97,9 +97,9 @@ def query_deviation(queries: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame
     return rows.select(*keys, "qpos", norm("q").alias("q_norm"), d.alias("deviation"), (d / F.greatest(norm("q"), F.lit(1e-10))).alias("relative_deviation"))
 
 
-def select_heads(stats: DataFrame, metric: str = "effective_entropy", percentiles: Sequence[int] = (0, 25, 50, 75, 100), keys: Sequence[str] = KEYS) -> DataFrame:
+def select_heads(stats: DataFrame, metric: str = "effective_entropy", percentiles: Sequence[int] = (0, 25, 50, 75, 100), keys: Sequence[str] = KEYS, ties: Sequence[str] = ()) -> DataFrame:
     """The heads at the percentiles of a metric (half-even rounding); of equal picks the smallest percentile stays."""
-    w = Window.orderBy(metric, *keys)  # heads of a model: a small, bounded table
+    w = Window.orderBy(metric, *(ties or keys))  # heads of a model: a small, bounded table
     ranks = stats.select(*keys, metric, (F.row_number().over(w) - 1).alias("r"), F.count("*").over(Window.partitionBy()).alias("n"))
     asked = ranks.withColumn("percentile", F.explode(F.array(*map(F.lit, percentiles))))
     picked = asked.filter(F.col("r") == F.bround(F.col("percentile") / 100 * (F.col("n") - 1)))
@@ -116,19 +116,14 @@ def quantiles(stats: DataFrame, by: Sequence[str], value: str = "value", at: Seq
     return stats.groupBy(*by).agg(*[F.percentile(value, q).alias(f"q{round(100 * q):02d}") for q in at])
 
 
-# Older names of metrics, and what they are called now.
-METRIC_ALIASES = {
-    "entropy_full": "full_entropy",
-    "entropy_nonlocal": "effective_entropy",
-    "top1pct_mass_full": "full_top1pct_mass",
-    "top1pct_mass_nonlocal": "effective_top1pct_mass",
-    "top5pct_mass_full": "full_top5pct_mass",
-    "top5pct_mass_nonlocal": "effective_top5pct_mass",
-}
+def concentration_at(logits: DataFrame, shares: Sequence[float] = (0.1, 0.25, 0.5, 0.75, 0.9), percents: Sequence[int] = PERCENTS, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, share, qpos, pct, mass): the concentration of the queries at some shares of the queries' order."""
+    rows = concentration(logits, percents, keys)
+    nth = rows.select(*keys, "qpos").distinct().withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("qpos")) - 1)
+    nth = nth.withColumn("n", F.count("*").over(Window.partitionBy(*keys))).withColumn("share", F.explode(F.array(*map(F.lit, shares))))
+    return nth.filter(F.col("r") == F.floor(F.col("n") * F.col("share"))).join(rows, [*keys, "qpos"]).select(*keys, "share", "qpos", "pct", "mass")
 
 
-def current_metric(metric: Column) -> Column:
-    out = metric
-    for old, new in METRIC_ALIASES.items():
-        out = F.when(metric == old, new).otherwise(out)
-    return out
+def mean_query_norm(queries: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, mean_q_norm): the length of a head's mean query."""
+    return queries.groupBy(*keys).agg(vector_mean("q").alias("m")).select(*keys, norm("m").alias("mean_q_norm"))

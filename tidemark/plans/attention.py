@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.vectors import dot, relative_error, vector_mean
 
 KEYS = ("head",)
-#: A query side of at most this many rows is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 10_000
 
 
 def last_queries(vectors: DataFrame, n: int, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -29,14 +27,13 @@ def is_special(pos: Column, n_causal: Column, n_sink: int, local_window: int) ->
     return (pos < n_sink) | (pos >= F.greatest(F.lit(n_sink), n_causal - local_window))
 
 
-def causal_logits(queries: DataFrame, vectors: DataFrame, dim: int, n_sink: int = 1, local_window: int = 0, scale: float | None = None, keys: Sequence[str] = KEYS, small: bool = False) -> DataFrame:
+def causal_logits(queries: DataFrame, vectors: DataFrame, dim: int, n_sink: int = 1, local_window: int = 0, scale: float | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
     """(keys, qpos, pos, logit, special, v) of each query and the keys up to its position.
 
-    small: the query side is known to be bounded (heads times last-n) and may be broadcast.
+    No hint is given: Spark broadcasts the queries where their size allows it, and joins by the head elsewhere.
     """
     scale = dim**-0.5 if scale is None else scale
-    side = F.broadcast(queries) if small else queries
-    pairs = vectors.drop("q").join(side, list(keys)).filter(F.col("pos") <= F.col("qpos"))
+    pairs = vectors.drop("q").join(queries, list(keys)).filter(F.col("pos") <= F.col("qpos"))
     return pairs.select(*keys, "qpos", "pos", (dot("q", "k") * F.lit(scale)).alias("logit"), is_special(F.col("pos"), F.col("qpos") + 1, n_sink, local_window).alias("special"), "v")
 
 

@@ -37,6 +37,9 @@ class Config:
     gqa: int = 1
     options: dict = field(default_factory=dict)
     compute_statistics: bool = False
+    metadata: str | None = None  # the folder of the tasks' metadata.json files, which list the selected heads
+    layers: str | Sequence[int] = "all"
+    n_layers: int = 0  # needed where a list of layers is asked for by "all" and the vectors hold more
 
 
 def load(path: str) -> Config:
@@ -67,6 +70,9 @@ def heads(spark: SparkSession, c: Config, vectors: DataFrame) -> DataFrame:
     if c.head_mode == "all_heads":
         return every.withColumn("percentile", F.lit(None).cast("int"))
     if c.head_mode == "selected_heads":
+        listed = listed_heads(spark, c)
+        if listed:
+            return spark.createDataFrame(listed, "layer int, q_head int, kv_head int, percentile int")
         keys = ("layer", "q_head", "kv_head")
         seq = sequences(vectors, every).withColumns({k: F.col(k) for k in keys})
         logits = A.causal_logits(A.last_queries(seq, c.n_queries, KEYS), seq, c.dim, c.n_sink, c.local_window, keys=KEYS)
@@ -75,12 +81,25 @@ def heads(spark: SparkSession, c: Config, vectors: DataFrame) -> DataFrame:
     raise ValueError(f"unknown head mode: {c.head_mode}")
 
 
+def listed_heads(spark: SparkSession, c: Config) -> list[tuple]:
+    """The heads that the tasks' metadata list, whichever layout their folders have; none where none does."""
+    if not c.metadata:
+        return []
+    found = [h for t in c.tasks for h in tables.task_metadata(spark, f"{tables.task_dir(spark, c.metadata, t)}/metadata.json").get("selected_heads", [])]
+    return sorted({(h["layer"], h["q_head"], h["kv_head"], h.get("percentile")) for h in found}, key=str)
+
+
+def count_heads(chosen: DataFrame) -> int:
+    """How many heads are evaluated."""
+    return chosen.select("layer", "q_head").distinct().count()
+
+
 KEYS = ("task", "example_id", "layer", "q_head", "kv_head")
 
 
 def sequences(vectors: DataFrame, wanted: DataFrame) -> DataFrame:
     """(KEYS, pos, q, k, v) of the heads wanted; sequences that lack a tensor are left out."""
-    small = F.broadcast(wanted.select("layer", "q_head", "kv_head"))  # heads of a model
+    small = wanted.select("layer", "q_head", "kv_head")
     part = lambda t, head, name: vectors.filter(F.col("tensor") == t).select("task", "example_id", "layer", F.col("head").alias(head), "pos", F.col("vec").cast("array<double>").alias(name))
     kv = part("K_rope", "kv_head", "k").join(part("V", "kv_head", "v"), ["task", "example_id", "layer", "kv_head", "pos"])
     q = part("Q_rope", "q_head", "q").join(small, ["layer", "q_head"])
@@ -93,8 +112,10 @@ def results(spark: SparkSession, c: Config) -> tuple[DataFrame, DataFrame, DataF
     if c.tasks:
         vectors = vectors.filter(F.col("task").isin(*c.tasks))
     tables.check_examples(vectors, c.n_examples)
+    if c.layers != "all" or c.n_layers:
+        vectors = vectors.filter(F.col("layer").isin(*tables.layers(c.layers, c.n_layers)))
     first = vectors.select("task", "example_id").distinct().groupBy("task").agg(F.slice(F.array_sort(F.collect_list("example_id")), 1, c.n_examples).alias("ids"))
-    vectors = vectors.join(F.broadcast(first), "task").filter(F.array_contains("ids", F.col("example_id"))).drop("ids")
+    vectors = vectors.join(first, "task").filter(F.array_contains("ids", F.col("example_id"))).drop("ids")
     chosen = heads(spark, c, vectors).persist()
     seq = sequences(vectors, chosen)
     seq = seq.persist()  # every method starts from these
@@ -112,17 +133,20 @@ def results(spark: SparkSession, c: Config) -> tuple[DataFrame, DataFrame, DataF
 def run(spark: SparkSession, c: Config) -> dict:
     """Evaluates and writes results, aggregates by task (weighted by the heads' percentiles where known) and the run's spec."""
     rows, chosen, logits = results(spark, c)
+    try:
+        return _written(spark, c, rows, chosen, logits)
+    finally:
+        spark.catalog.clearCache()
+
+
+def _written(spark: SparkSession, c: Config, rows: DataFrame, chosen: DataFrame, logits: DataFrame) -> dict:
     rows.write.mode("overwrite").parquet(f"{c.out}/results")
     kept = spark.read.parquet(f"{c.out}/results")
     sinks.write_results(kept, f"{c.out}/results.csv")
     per_head = aggregate.by_method(kept, ["task", "layer", "head"])
     if c.head_mode == "selected_heads":
         picks = chosen.select("layer", F.col("q_head").alias("head"), "percentile")
-        per_task = [(t["task"], aggregate.weighted_heads(per_head.filter(F.col("task") == t["task"]), picks, ("layer", "head"))) for t in kept.select("task").distinct().collect()]
-        summary = None
-        for task, frame in per_task:
-            frame = frame.withColumn("task", F.lit(task))
-            summary = frame if summary is None else summary.unionByName(frame)
+        summary = aggregate.weighted_heads(per_head, picks, ("layer", "head"), ("task",))
     else:
         summary = aggregate.by_method(kept, ["task"])
     summary.write.mode("overwrite").json(f"{c.out}/aggregates")
@@ -130,7 +154,10 @@ def run(spark: SparkSession, c: Config) -> dict:
     if c.compute_statistics:
         stats.head_statistics(logits, keys=KEYS).write.mode("overwrite").json(f"{c.out}/statistics")
     names = sorted(r["method"] for r in kept.select("method").distinct().collect())
-    sinks.run_spec(f"{c.out}/spec.json", {k: v for k, v in vars(c).items()}, names, list(c.tasks), list(c.budgets), c.seed)
+    lengths = logits.groupBy("task", "example_id").agg((F.max("qpos") + 1).alias("n")).groupBy("task").agg(F.array_sort(F.collect_list("n")).alias("seq_lens"))
+    counts = kept.groupBy("task").agg(F.count("*").alias("rows"), F.array_sort(F.collect_set(F.format_string("L%dH%d", "layer", "head"))).alias("heads"))
+    details = {r["task"]: {"seq_lens": list(r["seq_lens"]), "rows": r["rows"], "heads": list(r["heads"])} for r in counts.join(lengths, "task").collect()}
+    sinks.run_spec(f"{c.out}/spec.json", dict(vars(c)), names, count_heads(chosen), details)
     return {"rows": kept.count(), "methods": names}
 
 

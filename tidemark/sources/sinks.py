@@ -6,10 +6,11 @@ import json
 from datetime import datetime
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Columns of the results file, in order.
+# Columns of the results file, in order.
 RESULT = ("task", "layer", "head", "example_id", "query_pos", "method", "method_kind", "budget", "actual_budget", "rel_l2_error", "seed")
 
 
@@ -30,9 +31,33 @@ def provenance(examples: DataFrame) -> DataFrame:
     return examples.withColumn("context_chars", F.length("context").cast("long")).withColumn("context_preview", F.substring("context", 1, 200)).drop("context")
 
 
-def example_json(seq_len: Column) -> Column:
-    """The sidecar of an example: question and answer cut to 200 characters."""
-    return F.to_json(F.struct(F.col("id").alias("example_id"), seq_len.alias("sequence_length"), F.substring("question", 1, 200).alias("question"), F.length("context").cast("long").alias("context_chars")))
+def sidecars(examples: DataFrame, heads: str, backend: str | None = None, raw: bool = True, rope: bool = True) -> DataFrame:
+    """(id, json): what is kept of each example beside its vectors; question and answer are cut to 200 characters.
+
+    examples: id, seq_len, question, answer, context. An answer that is no text is put down as JSON.
+    """
+    text = {f.name for f in examples.schema.fields if isinstance(f.dataType, T.StringType)}
+    answer = F.col("answer") if "answer" in text else F.to_json("answer")
+    fields = [
+        F.col("id").alias("example_id"), F.col("seq_len").alias("sequence_length"), F.substring("question", 1, 200).alias("question"),
+        F.substring(answer, 1, 200).alias("answer"), F.coalesce(F.length("context"), F.lit(0)).cast("long").alias("context_chars"),
+        F.lit(heads).alias("heads_extracted"), F.lit(rope).alias("rope_included"), F.lit(raw).alias("raw_included"),
+        *([F.lit(backend).alias("backend")] if backend else []),
+    ]
+    return examples.select("id", F.to_json(F.struct(*fields)).alias("json"))
+
+
+def save_examples(examples: DataFrame, vectors: DataFrame, path: str, task: str, heads: str = "all", **about) -> DataFrame:
+    """Saves the vectors of examples and their sidecars; returns (id, seq_len, folder), longest first.
+
+    examples as in sidecars(); vectors: id, layer, tensor, head, pos, vec. Folders are ex_000, ex_001, ... in that order.
+    """
+    nth = F.row_number().over(Window.partitionBy(F.lit(task)).orderBy(F.desc("seq_len"), "id")) - 1  # examples of a task: a few
+    named = examples.withColumn("folder", F.format_string("ex_%03d", nth))
+    rows = vectors.join(named.select("id", "folder"), "id").select(F.lit(task).alias("task"), F.col("folder").alias("example_id"), "layer", "tensor", "head", "pos", "vec")
+    write_vectors(rows, f"{path}/vectors")
+    sidecars(named, heads, **about).join(named.select("id", "folder"), "id").select("folder", F.col("json").alias("value")).write.mode("overwrite").partitionBy("folder").text(f"{path}/examples/{task}")
+    return named.select("id", "seq_len", "folder")
 
 
 def head_statistics(stats: DataFrame) -> DataFrame:
@@ -49,8 +74,11 @@ def write_json(path: str, data) -> None:
     Path(path).write_text(json.dumps(data, indent=2, default=str))
 
 
-def run_spec(path: str, config: dict, methods: list[str], tasks: list[str], budgets: list[int], seed: int) -> None:
-    write_json(path, {"date": datetime.now().isoformat(timespec="seconds"), "methods": methods, "tasks": tasks, "budgets": budgets, "seed": seed, "resolved_config": config})
+def run_spec(path: str, config: dict, methods: list[str], heads: int, details: dict) -> None:
+    """What was run: the configuration, its methods, and for each task its heads, sequence lengths and rows."""
+    same = {"algorithms": "algorithms", "tasks": "tasks", "head_mode": "head_mode", "n_examples_per_task": "n_examples", "n_queries_per_example": "n_queries", "budgets": "budgets", "seed": "seed"}
+    spec = {"date": datetime.now().isoformat(timespec="seconds")} | {k: config[v] for k, v in same.items()}
+    write_json(path, spec | {"methods": methods, "n_heads": heads, "task_details": details, "resolved_config": config})
 
 
 def task_metadata(path: str, **fields) -> None:

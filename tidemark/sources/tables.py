@@ -3,18 +3,15 @@
 from __future__ import annotations
 
 import json
-import os
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Long form of a stored tensor: one row per position.
 VECTORS = "task string, example_id string, layer int, tensor string, head int, pos int, vec array<float>"
-HEAD_STATS = T.MapType(T.StringType(), T.MapType(T.StringType(), T.MapType(T.StringType(), T.DoubleType())))
-PROMPT = "Context: {context}\n\nQuestion: {question}\n\nAnswer:"
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
@@ -65,17 +62,97 @@ def gqa_heads(layers: Sequence[int], n_q: int, n_kv: int, spark: SparkSession) -
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that all executors see: spark.checkpoint.dir. Where that is unset, a temporary one, on one machine only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder.rstrip("/") if folder else "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: it names the folder that all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="tidemark-")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder, in any store that Spark reaches."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def _json_files(spark: SparkSession, path: str, names: str) -> DataFrame:
+    """(file, entries): each JSON file's name without its ending, and its entries as text."""
+    files = spark.read.text(path, wholetext=True, pathGlobFilter=names)
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.[a-z]+$", 1)
+    return files.select(name.alias("file"), F.from_json("value", T.MapType(T.StringType(), T.StringType())).alias("m"))
+
+
+def _head_values(files: DataFrame, *named: str) -> DataFrame:
+    """(named, layer, head, metric, value) of the entries; `metadata` is passed over, older metric names are replaced."""
+    rows = files.select(*named, F.explode(F.map_filter("m", lambda k, _: k != "metadata")).alias("l", "heads"))
+    kind = T.MapType(T.StringType(), T.MapType(T.StringType(), T.DoubleType()))
+    rows = rows.select(*named, "l", F.explode(F.from_json("heads", kind)).alias("h", "stats"))
+    number = lambda c: F.split_part(c, F.lit("_"), F.lit(2)).cast("int")
+    rows = rows.select(*named, number("l").alias("layer"), number("h").alias("head"), F.explode("stats").alias("metric", "value"))
+    return rows.withColumn("metric", current_metric(F.col("metric")))
+
+
+META = T.StructType([
+    T.StructField("example_id", T.StringType()), T.StructField("sequence_length", T.LongType()), T.StructField("sequence_lengths", T.ArrayType(T.LongType())),
+    T.StructField("scout_examples", T.ArrayType(T.StringType())),
+    T.StructField("selected_heads", T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in ("layer", "q_head", "kv_head")] + [T.StructField("effective_entropy", T.DoubleType()), T.StructField("percentile", T.IntegerType())]))),
+])
 
 
 def head_statistics_json(spark: SparkSession, path: str, names: str = "*.json") -> DataFrame:
-    """(task, layer, head, metric, value) of head-statistics JSON files; `metadata` is passed over."""
-    files = spark.read.text(path, wholetext=True, pathGlobFilter=names).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.[a-z]+$", 1).alias("task"), F.from_json("value", T.MapType(T.StringType(), T.StringType())).alias("m"))
-    rows = files.select("task", F.explode(F.map_filter("m", lambda k, _: k != "metadata")).alias("l", "heads"))
-    rows = rows.select("task", "l", F.explode(F.from_json("heads", T.MapType(T.StringType(), T.MapType(T.StringType(), T.DoubleType())))).alias("h", "stats"))
-    return rows.select("task", F.split_part("l", F.lit("_"), F.lit(2)).cast("int").alias("layer"), F.split_part("h", F.lit("_"), F.lit(2)).cast("int").alias("head"), F.explode("stats").alias("metric", "value"))
+    """(task, layer, head, metric, value) of head-statistics JSON files, one a task."""
+    return _head_values(_json_files(spark, path, names).withColumnRenamed("file", "task"), "task")
+
+
+def _meta(files: DataFrame) -> DataFrame:
+    return files.withColumn("meta", F.from_json(F.col("m")["metadata"], META))
+
+
+def _length():
+    """A sequence's length: its own entry, else the first of the list, else 0."""
+    return F.coalesce(F.nullif(F.col("meta.sequence_length"), F.lit(0)), F.get("meta.sequence_lengths", F.lit(0)), F.lit(0)).alias("seq_len")
+
+
+def head_statistics_meta(spark: SparkSession, path: str, names: str = "*.json") -> DataFrame:
+    """(task, example_id, seq_len) of the files that say so."""
+    rows = _meta(_json_files(spark, path, names)).filter("meta is not null")
+    return rows.select(F.col("file").alias("task"), F.coalesce("meta.example_id", F.get("meta.scout_examples", F.lit(0)), F.lit("")).alias("example_id"), _length())
+
+
+def per_example_statistics(spark: SparkSession, root: str, task: str, names: str = "ex_*.json") -> DataFrame:
+    """(task, example, seq_len, layer, head, metric, value) of a task's examples; no rows where it has none."""
+    folder = f"{root}/per_example/{task}"
+    if not exists(spark, folder):
+        return spark.createDataFrame([], "task string, example string, seq_len long, layer int, head int, metric string, value double")
+    files = _meta(_json_files(spark, folder, names)).select(F.lit(task).alias("task"), F.col("file").alias("example"), _length(), "m")
+    return _head_values(files, "task", "example", "seq_len")
+
+
+def selected_heads(spark: SparkSession, path: str, names: str = "*.json") -> DataFrame:
+    """(task, layer, q_head, kv_head, effective_entropy, percentile, ord, label) of the heads that the files' metadata
+    lists; labels go by their order."""
+    rows = _meta(_json_files(spark, path, names)).select(F.col("file").alias("task"), F.posexplode("meta.selected_heads").alias("ord", "h"))
+    labels = F.array(*[F.lit(f"P{p}") for p in (0, 25, 50, 75, 100)])
+    label = F.coalesce(F.get(labels, F.col("ord")), F.concat(F.lit("H"), F.col("ord").cast("string")))
+    return rows.select("task", "h.*", "ord", label.alias("label"))
+
+
+# Older names of metrics, and what they are called now.
+METRIC_ALIASES = {
+    "entropy_full": "full_entropy",
+    "entropy_nonlocal": "effective_entropy",
+    "top1pct_mass_full": "full_top1pct_mass",
+    "top1pct_mass_nonlocal": "effective_top1pct_mass",
+    "top5pct_mass_full": "full_top5pct_mass",
+    "top5pct_mass_nonlocal": "effective_top5pct_mass",
+}
+
+
+def current_metric(metric: Column) -> Column:
+    """A metric's name as it is called now."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in METRIC_ALIASES.items() for x in pair]), metric), metric)
 
 
 def benchmark_examples(docs: DataFrame, domain: str | None = None) -> DataFrame:
@@ -86,19 +163,37 @@ def benchmark_examples(docs: DataFrame, domain: str | None = None) -> DataFrame:
     return rows.select(F.concat(task, F.lit("_"), nth.cast("string")).alias("id"), task.alias("task"), F.concat(F.lit("What is "), F.col("doc_id").cast("string"), F.lit("?")).alias("question"), F.col("text").alias("context"), F.col("lang").alias("domain"), "source", "doc_id")
 
 
+def ordinals(df: DataFrame, name: str) -> DataFrame:
+    """df with the number of each row, from 0, in the order of its partitions: their sizes, one row each, pass the driver."""
+    own = df.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = dict(own.groupBy("_part").agg(F.count("*")).collect())
+    start, firsts = 0, []
+    for part in sorted(sizes):
+        firsts += [F.lit(part), F.lit(start).cast("long")]
+        start += sizes[part]
+    base = F.element_at(F.create_map(*firsts), F.col("_part")) if firsts else F.lit(0).cast("long")
+    return own.withColumn(name, base + F.col("_at")).drop("_part", "_at")
+
+
 def load_task(spark: SparkSession, name: str, source: dict) -> DataFrame:
     """Dispatch over the kinds of benchmark files; an unknown kind is a ValueError."""
     if source.get("benchmark") == "jsonl":
         rows = spark.read.json(source["path"])
-        return rows.withColumn("id", F.concat(F.lit(f"{name}_"), (F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1).cast("string"))) if "id" not in rows.columns else rows
+        return rows if "id" in rows.columns else ordinals(rows, "id").withColumn("id", F.concat(F.lit(f"{name}_"), F.col("id").cast("string")))
     if source.get("benchmark") == "documents":
         return benchmark_examples(spark.read.parquet(source["path"]), source.get("domain"))
     raise ValueError(f"unknown benchmark: {source.get('benchmark')}")
 
 
+def longest(examples: DataFrame, size: str, by: Sequence[str], n: int, order: Sequence[str]) -> DataFrame:
+    """The n examples of the largest size in each group; ties in the given order."""
+    w = Window.partitionBy(*by).orderBy(F.desc(size), *order)
+    return examples.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= n).drop("r")
+
+
 def prompt(context, question):
-    """The prompt of an example."""
-    return F.concat(F.lit("Context: "), context, F.lit("\n\nQuestion: "), question, F.lit("\n\nAnswer:"))
+    """The prompt of an example; no context is an empty one."""
+    return F.concat(F.lit("Context: "), F.coalesce(context, F.lit("")), F.lit("\n\nQuestion: "), question, F.lit("\n\nAnswer:"))
 
 
 def tail(tokens, n: int):
@@ -106,17 +201,28 @@ def tail(tokens, n: int):
     return F.slice(tokens, F.greatest(F.size(tokens) - n, F.lit(0)) + 1, n)
 
 
-def task_dir(root: str, task: str, phase: str | None = None) -> str:
-    """{root}/{task}, or an older layout below selected_heads or all_heads where that is there."""
-    if phase:
-        return os.path.join(root, phase, task)
-    for at in (os.path.join(root, task), os.path.join(root, "selected_heads", task), os.path.join(root, "all_heads", task)):
-        if os.path.isdir(at):
-            return at
-    return os.path.join(root, task)
+#: Folders that older layouts put between the root and the task.
+PHASES = ("selected_heads", "all_heads")
+
+
+def phase_of(spark: SparkSession, root: str, task: str) -> str | None:
+    """The older layout's folder that holds a task; none where the task lies at the root, or nowhere."""
+    if exists(spark, f"{root}/{task}"):
+        return None
+    return next((p for p in PHASES if exists(spark, f"{root}/{p}/{task}")), None)
+
+
+def task_dir(spark: SparkSession, root: str, task: str, phase: str | None = None) -> str:
+    """{root}/{task}, or below the folder of an older layout, given or found."""
+    phase = phase or phase_of(spark, root, task)
+    return f"{root}/{phase}/{task}" if phase else f"{root}/{task}"
 
 
 def task_metadata(spark: SparkSession, path: str) -> dict:
     """A task's metadata file; nothing where there is none."""
-    found = spark.read.text(path, wholetext=True).first() if os.path.exists(path) else None
-    return json.loads(found["value"]) if found else {}
+    return json.loads(spark.read.text(path, wholetext=True).first()["value"]) if exists(spark, path) else {}
+
+
+def layers(asked: str | Sequence[int], n_layers: int) -> list[int]:
+    """The layers asked for; "all" is every one."""
+    return list(range(n_layers)) if asked == "all" else [int(x) for x in asked]
