@@ -58,16 +58,50 @@ def test_suffix_equal_ids(spark):
     assert sorted((r.doc_id, r.n_removed) for r in rows) == [(5, 0)] * 3 + [(9, len(text.encode()))]
 
 
-def test_interleave_is_the_suffix_order():
-    rng = np.random.default_rng(0)
-    sizes = rng.integers(1, 90, 40)
-    data = rng.integers(97, 99, sizes.sum()).astype(np.uint8)
-    cut = int(sizes[:20].sum())
-    parts = [suffix_dedup.Shard(data[:cut], sizes[:20], np.uint8), suffix_dedup.Shard(data[cut:], sizes[20:], np.uint8)]
-    whole = suffix_dedup.Shard(data, sizes, np.uint8)
-    z = suffix_dedup.interleave([p.bwt for p in parts], 200)
-    first = len(parts[0].text)
-    assert z.tolist() == (whole.order >= first).astype(int).tolist()
+def test_suffix_order():
+    rng = np.random.default_rng(1)
+    for top in (1, 2, 256):
+        sizes = rng.integers(0, 90, 40)
+        data = rng.integers(0, top, sizes.sum()).astype(np.uint8)
+        shard = suffix_dedup.Shard(data, sizes)
+        edge = np.concatenate([[0], np.cumsum(sizes)])
+        whole = [(data[i : edge[k + 1]].tobytes(), k) for k in range(len(sizes)) for i in range(edge[k], edge[k + 1] + 1)]
+        assert shard.order.tolist() == sorted(range(len(whole)), key=lambda i: (whole[i][0], i))
+
+
+@pytest.mark.parametrize("top", [1, 2, 4, 256])
+def test_interleave_is_the_order_of_strings(top):
+    rng = np.random.default_rng(top)
+    sizes = rng.integers(50, 90, 60)
+    data = rng.integers(0, top, sizes.sum()).astype(np.uint8)
+    data[sizes[:7].sum() : sizes[:9].sum()] = data[: sizes[7] + sizes[8]]
+    edge = np.concatenate([[0], np.cumsum(sizes)])
+    for shards in ([(0, 60)], [(0, 7), (7, 30), (30, 31), (31, 60)]):
+        at, interval = suffix_dedup.interleave(data, sizes, shards, 50)
+        text = [data[i : i + 50].tobytes() for i in at.tolist()]
+        assert sorted(at.tolist()) == [i for k in range(60) for i in range(edge[k], edge[k + 1] - 49)]
+        assert text == sorted(text) and [x == y for x, y in zip(text, text[1:], strict=False)] == (np.diff(interval) == 0).tolist()
+
+
+def test_suffix_in_a_tree(spark, monkeypatch):
+    """Units of a few documents, merged in a tree of several levels."""
+    monkeypatch.setattr(suffix_dedup, "UNIT_BYTES", 2000)
+    monkeypatch.setattr(suffix_dedup, "LOT", 2)
+    docs = alike_docs(5) + odd_docs()[:12]
+    docs = [(i * 7 % 1009, *d[1:]) for i, d in enumerate(docs)]
+    rows = suffix_dedup.dedup(frame(spark, docs).repartition(4)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == plain_suffix(docs)
+
+
+def test_suffix_of_long_runs(spark):
+    """Texts over the borders of slices: one byte, a short period, and a passage across a border."""
+    n = 9 << 20
+    passage = words(random.Random(1), 60)
+    long = "a" * n + passage + "xyz" * 1000
+    docs = [(1, long, None, None, None), (2, "a" * 300, None, None, None), (3, "b" + passage + "c", None, None, None), (0, "a" * 49, None, None, None), (4, "zxy" * 40, None, None, None), (5, "A" * n, None, None, None), (6, "A" * 60, None, None, None)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.dedup(frame(spark, docs)).collect()}
+    size = len(passage.encode())
+    assert got == {0: (49, 0, 0), 1: (n + size + 3000, 0, 0), 2: (300, 300, 1), 3: (size + 2, size, 1), 4: (120, 120, 1), 5: (n, 0, 0), 6: (60, 60, 1)}
 
 
 def plain_near(docs, percent=80):

@@ -5,15 +5,23 @@ out by content, so that equal strings meet without any order over the whole corp
 least hash among its grams (its minimizer), and neighbours with the same minimizer make one piece.
 
 1. Minimizers (40-bit hashes) that lie in one document only are found by counts in hash buckets and dropped.
-2. The pieces left go, once per unit of documents, to the bucket of their minimizer.
-3. There the distinct pieces are cut into shards; each gets a suffix order and its Burrows-Wheeler transform. The
-   transforms are merged by refining the interleave of the shards, one character more each round, without sorting
-   their suffixes again. Neighbours with a common prefix of `size` form repeated intervals; each gets its least id.
+2. The pieces left go, once per unit of documents, to the bucket of their minimizer. All of them are merged there.
+3. There the pieces of some units make a shard, which gets its suffix order: the rows of its transform. The shards are
+   merged by refining their interleave: each round takes the symbols before the rows, as many as fit a machine word,
+   and distributes the merged rows by them, so that rows are in order of so many characters more. Rows of a shard keep
+   their own order and are not sorted again. Only rows take part from which a whole string can still be reached. Rows
+   part in the round whose symbols differ, so neighbours that never part have a common prefix of `size`: these are the
+   repeated intervals, and each gets its least id.
 4. The least ids go back to the documents, which lose the bytes covered.
 
+A bucket's size follows the input's bytes. Where there are more than LOT units, their pieces are merged in a tree:
+equal pieces (those whose first and last strings lie in the same intervals) of a lot of units go up as one. So a
+passage that every document holds is never gathered anywhere.
+
 Defined results: null or empty texts have no bytes; strings never cross documents; rows with equal ids do not
 remove each other's bytes; a null id counts as larger than all; an empty table gives no rows; extra columns are
-ignored; very long texts are one row of a batch.
+ignored; a very long text is one unit, read some MB at a time, and long runs of one byte or a short period are cut into
+pieces that are mostly equal.
 """
 
 from __future__ import annotations
@@ -24,23 +32,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batches, ranges, stored, texts, utf8, word_array, words64
+from tidemark.llm.common import SMALL_BATCHES, gathered, input_bytes, pressed, ranges, settings, settle, stored, texts, tidy, unpressed, utf8
+from tidemark.llm.common import word_array, words64
 
 GRAM = 24  # bytes whose hash picks the minimizer
-POSITION = 20  # low bits of a packed minimizer
-SHARD = 32_000  # bytes of pieces in a shard
-CHUNK = 200_000  # bytes of pieces whose shards are merged at a time
+POSITION = 20  # low bits of a hash that don't count
+MOST = 200  # string starts of a piece
+SLICE = 4 << 20  # bytes whose minimizers are looked at, or whose pieces are put together, at a time
+UNIT_BYTES = 4 << 20  # of text in a unit
+BUCKET_BYTES = 16 << 20  # of input for each bucket
+SHARD = 32_000  # bytes of pieces in a shard, about
+CHUNK = 4 << 20  # bytes of pieces whose shards are merged at a time, about
+LOT = 256  # units whose pieces are merged in one node of the tree
 LAST = np.iinfo(np.int64).max
 
-UNITS = "unit long, n int, ids binary, ends binary, data binary"
-SEEN = "unit long, bucket long, hashes binary, several binary"
-SHARED = "unit long, hashes binary"
-PIECES = "kind int, unit long, bucket long, first long, size long, data binary, about binary"
-LEAST = "unit long, first long, about binary, least binary"
+UNITS = "part long, unit long, ids binary, ends binary, data binary"
+SEEN = "part long, unit long, bucket long, hashes binary, several binary"
+SHARED = "part long, unit long, hashes binary"
+PIECES = "kind int, part long, unit long, bucket long, first long, data binary, about binary, least binary"
+LEVEL = "kind int, bucket long, lot long, unit long, first long, data binary, about binary, least binary, place binary"
+LEAST = "unit long, bucket long, first long, least binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -59,27 +73,8 @@ def _table(schema: str, rows: list[tuple]) -> pa.Table:
     return pa.Table.from_batches([_batch(schema, rows)])
 
 
-def _pressed(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(3).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
-
-
-def _unpressed(raw: bytes, *kinds: str) -> list[np.ndarray]:
-    """Arrays of one length and these kinds, put together."""
-    raw = zstandard.ZstdDecompressor().decompress(raw)
-    widths = [np.dtype(k).itemsize for k in kinds]
-    n, at, out = len(raw) // sum(widths), 0, []
-    for k, w in zip(kinds, widths, strict=True):
-        out.append(np.frombuffer(raw, k, n, at))
-        at += n * w
-    return out
-
-
-def runs(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of string starts with one minimizer: first start, how many, row, and minimizer hash."""
-    none = np.zeros(0, np.int64)
-    n = len(data) - size + 1
-    if n <= 0:
-        return none, none, none, none.astype(np.uint64)
+def _slice_runs(data: np.ndarray, size: int) -> np.ndarray:
+    """The minimizer hash of the string at each start."""
     w = words64(data)
     h = np.zeros(len(data) - GRAM + 1, np.uint64)
     for k, m in zip(range(0, GRAM, 8), (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9), strict=True):
@@ -87,29 +82,46 @@ def runs(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.
         h += w[k : k + len(h)] * np.uint64(m)
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
-    h &= ~np.uint64((1 << POSITION) - 1)
-    h |= np.arange(len(h), dtype=np.uint64) & np.uint64((1 << POSITION) - 1)
+    h >>= np.uint64(POSITION + 4)
     span, have = size - GRAM + 1, 1
     while 2 * have <= span:
         h = np.minimum(h[:-have], h[have:])
         have *= 2
-    if span > have:
-        h = np.minimum(h[: len(h) - (span - have)], h[span - have :])
-    inside = np.zeros(n + 1, bool)
-    lens = np.diff(offs)
-    long = lens >= size
-    step = np.zeros(len(data) + 2, np.int8)
-    step[offs[:-1][long]] += 1
-    step[(offs[1:] - size + 1)[long]] -= 1
-    inside[:n] = np.cumsum(step[:n]) > 0
-    new = inside[:n].copy()
-    new[1:] &= (h[1:] != h[:-1]) | ~inside[: n - 1]
-    heads = offs[:-1][long]
-    new[heads] = True
-    first = np.flatnonzero(new)
-    row = np.searchsorted(offs, first, side="right") - 1
-    stop = np.minimum(np.append(first[1:], n), (offs[1:] - size + 1)[row])
-    return first, stop - first, row, h[first] >> np.uint64(POSITION + 4)
+    return np.minimum(h[: len(h) - (span - have)], h[span - have :]) if span > have else h
+
+
+def runs(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of at most MOST string starts with one minimizer: first start, how many, row, and minimizer hash."""
+    out = []
+    total = len(data) - size + 1
+    for lo in range(0, max(0, total), SLICE):
+        hi = min(total, lo + SLICE)
+        h = _slice_runs(data[lo : hi + size - 1], size)
+        a, b = np.searchsorted(offs, lo, side="right") - 1, np.searchsorted(offs, hi, side="left")
+        begin, stop = np.maximum(offs[a:b], lo) - lo, np.minimum(offs[a + 1 : b + 1] - size + 1, hi) - lo
+        some = stop > begin
+        begin, stop = begin[some], stop[some]
+        if not len(begin):
+            continue
+        step = np.zeros(hi - lo + 1, np.int8)
+        step[begin] += 1
+        step[stop] -= 1
+        inside = np.cumsum(step[:-1], dtype=np.int8) > 0
+        new = inside.copy()
+        new[1:] &= (h[1:] != h[:-1]) | ~inside[:-1]
+        new[begin] = True
+        first = np.flatnonzero(new)
+        row = np.searchsorted(begin, first, side="right") - 1
+        n = np.minimum(np.append(first[1:], hi - lo), stop[row]) - first
+        parts = -(-n // MOST)  # runs of one byte, or of a short period, are long
+        if (parts > 1).any():
+            nth = ranges(np.zeros(len(n), np.int64), parts)
+            first, n, row = np.repeat(first, parts) + nth * MOST, np.minimum(np.repeat(n, parts) - nth * MOST, MOST), np.repeat(row, parts)
+        out.append((first + lo, n, (np.flatnonzero(some) + a)[row], h[first]))
+    if not out:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none.astype(np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _five(h: np.ndarray) -> bytes:
@@ -122,25 +134,29 @@ def _eight(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def units(docs: DataFrame, parts: int) -> DataFrame:
-    """The documents in units of some MB, compressed, in a table bucketed by unit: what joins them later is not shuffled."""
+def units(docs: DataFrame, name: str) -> DataFrame:
+    """The documents in units of some MB, compressed, in a table bucketed by the task that read them, a file a task: what
+    joins them later is not shuffled."""
     spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def gather(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, b in enumerate(batches(it)):
+        for k, b in enumerate(gathered(it, UNIT_BYTES)):
             data, offs = utf8(b.column("text"))
-            doc = b.column("doc_id")
-            yield _batch(UNITS, [(b.column("part")[0].as_py() << 32 | k, b.num_rows, _pressed(doc.is_valid().to_numpy(zero_copy_only=False).astype("u1"), doc.fill_null(LAST).to_numpy(zero_copy_only=False).astype("<i8")), offs[1:].astype("<i8").tobytes(), _pressed(data))])
+            doc, part = b.column("doc_id"), b.column("part")[0].as_py()
+            ids = pressed(doc.is_valid().to_numpy(zero_copy_only=False).astype("u1"), doc.fill_null(LAST).to_numpy(zero_copy_only=False).astype("<i8"))
+            yield _batch(UNITS, [(part, part << 32 | k, ids, offs[1:].astype("<i8").tobytes(), pressed(data))])
+        settle()
 
-    name = f"tidemark_units_{uuid.uuid4().hex}"
     rows = texts(docs).withColumn("part", F.spark_partition_id().cast("long")).mapInArrow(gather, UNITS)
-    rows.write.format("parquet").bucketBy(parts, "unit").saveAsTable(name)
+    with settings(spark, SMALL_BATCHES):
+        rows.write.format("parquet").bucketBy(parts, "part").saveAsTable(name)
     return spark.table(name)
 
 
-def _unit(n: int, ids: bytes, ends: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    valid, own = _unpressed(ids, "u1", "<i8")
-    return valid.astype(bool), own, np.concatenate([[0], np.frombuffer(ends, "<i8")]), _unpressed(data, "u1")[0]
+def _unit(ids: bytes, ends: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    valid, own = unpressed(ids, "u1", "<i8")
+    return valid.astype(bool), own, np.concatenate([[0], np.frombuffer(ends, "<i8")]), unpressed(data, "u1")[0]
 
 
 def minimizers(rows: DataFrame, size: int, buckets: int) -> DataFrame:
@@ -149,15 +165,20 @@ def minimizers(rows: DataFrame, size: int, buckets: int) -> DataFrame:
     def see(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for r in range(b.num_rows):
-                _, _, offs, data = _unit(*(b.column(c)[r].as_py() for c in ("n", "ids", "ends", "data")))
+                part, unit = b.column("part")[r].as_py(), b.column("unit")[r].as_py()
+                _, _, offs, data = _unit(*(b.column(c)[r].as_py() for c in ("ids", "ends", "data")))
                 _, _, row, h = runs(data, offs, size)
-                part = (h % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((row, h, part))
-                h, row, part = h[order], row[order], part[order]
+                order = np.lexsort((row, h))
+                h, row = h[order], row[order]
                 head = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
                 several = row[head] != row[np.append(head[1:], len(h)) - 1] if len(h) else np.zeros(0, bool)
-                cut = np.searchsorted(part[head], np.arange(buckets + 1))
-                yield _batch(SEEN, [(b.column("unit")[r].as_py(), p, _five(h[head[x:y]]), np.packbits(several[x:y]).tobytes()) for p, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x])
+                h = h[head]
+                to = (h % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(to, kind="stable")
+                h, several, to = h[order], several[order], to[order]
+                cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]])) if len(to) else np.zeros(1, int)
+                yield _batch(SEEN, [(part, unit, int(to[x]), _five(h[x:y]), np.packbits(several[x:y]).tobytes()) for x, y in zip(cut[:-1], cut[1:], strict=True)])
+        settle()
 
     return rows.mapInArrow(see, SEEN)
 
@@ -171,73 +192,129 @@ def shared(seen: DataFrame) -> DataFrame:
         every = np.sort(np.concatenate(own))
         both = np.union1d(every[1:][every[1:] == every[:-1]], np.concatenate([h[f] for h, f in zip(own, flags, strict=True)]))
         rows = []
-        for k, h in zip(t.column("unit").to_pylist(), own, strict=True):
+        for p, k, h in zip(t.column("part").to_pylist(), t.column("unit").to_pylist(), own, strict=True):
             if len(both):
                 h = h[both[np.minimum(np.searchsorted(both, h), len(both) - 1)] == h]
                 if len(h):
-                    rows.append((k, _five(h)))
+                    rows.append((p, k, _five(h)))
         return _table(SHARED, rows)
 
     return stored(seen.groupBy("bucket").applyInArrow(pick, SHARED), "suffix-shared")
 
 
+def _numbered(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal byte strings have equal numbers; and where each number occurs first. Some MB are put together at a time."""
+    done = np.concatenate([[0], np.cumsum(last - first)])
+    cuts = np.unique(np.searchsorted(done, np.arange(0, done[-1] + SLICE, SLICE), side="left").clip(0, len(first)))
+    number, words = np.zeros(len(first), np.int64), []
+    for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        d = word_array(data, first[x:y], last[x:y]).dictionary_encode()
+        number[x:y] = d.indices.to_numpy(zero_copy_only=False).astype(np.int64) + sum(map(len, words))
+        words.append(d.dictionary)
+    if len(words) > 1:
+        number = pa.concat_arrays(words).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)[number]
+    lead = np.zeros(int(number.max()) + 1 if len(number) else 0, np.int64)
+    lead[number[::-1]] = np.arange(len(number))[::-1]
+    return number, lead
+
+
 def pieces(rows: DataFrame, common: DataFrame, size: int, buckets: int) -> DataFrame:
     """Stored. kind 0: distinct pieces of a unit for a bucket; kind 1: where the unit's pieces lie."""
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
-        known = np.unique(np.concatenate([_eight(x.as_py()) for x in right.column("hashes")])) if right.num_rows else np.zeros(0, np.uint64)
-        for k, *stuff in zip(*(left.column(c).to_pylist() for c in _names(UNITS)), strict=True):
-            _, ids, offs, data = _unit(*stuff)
-            if not len(known):
+        hashes: dict[int, list[np.ndarray]] = {}
+        for unit, x in zip(right.column("unit").to_pylist(), right.column("hashes"), strict=True):
+            hashes.setdefault(unit, []).append(_eight(x.as_py()))
+        for i, (part, unit) in enumerate(zip(left.column("part").to_pylist(), left.column("unit").to_pylist(), strict=True)):
+            if unit not in hashes:
                 continue
+            known = np.sort(np.concatenate(hashes[unit]))
+            _, ids, offs, data = _unit(*(left.column(c)[i].as_py() for c in ("ids", "ends", "data")))
             first, n, row, h = runs(data, offs, size)
             keep = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
             first, n, row, h = first[keep], n[keep], row[keep], h[keep]
-            d = word_array(data, first, first + n + size - 1).dictionary_encode()
-            number = d.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            lead = np.zeros(len(d.dictionary), np.int64)
-            lead[number[::-1]] = np.arange(len(number))[::-1]
+            number, lead = _numbered(data, first, first + n + size - 1)
             least = np.full(len(lead), LAST)
             np.minimum.at(least, number, ids[row])
-            part = (h[lead] % np.uint64(buckets)).astype(np.int64)
-            by = np.lexsort((h[lead], part))
-            where = np.searchsorted(part[by], np.arange(buckets + 1))
+            to = (h[lead] % np.uint64(buckets)).astype(np.int64)
+            by = np.lexsort((h[lead], to))
             rank = np.empty(len(by), np.int64)
             rank[by] = np.arange(len(by))
-            for p in np.unique(part).tolist():
-                i = lead[by[where[p] : where[p + 1]]]
-                raw = data[ranges(first[i], n[i] + size - 1)]
-                out.append((0, k, p, int(where[p]), len(i), _pressed(raw), _pressed(n[i].astype("u1"), least[by[where[p] : where[p + 1]]].astype("<i8"), (h[i] >> np.uint64(8)).astype("<u4"))))
-            out.append((1, k, None, None, len(first), None, _pressed(first.astype("<i8"), n.astype("u1"), rank[number].astype("<i4"))))
+            edge = np.flatnonzero(np.concatenate([[True], to[by][1:] != to[by][:-1], [True]])) if len(by) else np.zeros(1, int)
+            for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                j = by[x:y]
+                at = lead[j]
+                raw = data[ranges(first[at], n[at] + size - 1)]
+                about = pressed(n[at].astype("u1"), (h[at] >> np.uint64(8)).astype("<u4"))
+                out.append((0, part, unit, int(to[j[0]]), x, pressed(raw), about, _packed(least[j], np.ones(y - x, np.int64))))
+            out.append((1, part, unit, None, None, None, pressed(first.astype("<i8"), n.astype("u1"), rank[number].astype("<i4")), None))
         return _table(PIECES, out)
 
-    return stored(rows.groupBy("unit").cogroup(common.groupBy("unit")).applyInArrow(cut, PIECES), "suffix-pieces")
+    return stored(rows.groupBy("part").cogroup(common.groupBy("part")).applyInArrow(cut, PIECES), "suffix-pieces")
+
+
+def _packed(values: np.ndarray, counts: np.ndarray) -> bytes:
+    """Least ids of pieces: one value, or one for each start."""
+    a = pressed(counts.astype("u1"))
+    return len(a).to_bytes(8, "little") + a + pressed(values.astype("<i8"))
+
+
+def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    k = 8 + int.from_bytes(raw[:8], "little")
+    return unpressed(raw[k:], "<i8")[0], unpressed(raw[8:k], "u1")[0].astype(np.int64)
+
+
+def _spread(values: np.ndarray, counts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A value for each of n starts."""
+    first = np.cumsum(counts) - counts
+    return values[np.repeat(first, n) + ranges(np.zeros(len(n), np.int64), n) * np.repeat(counts > 1, n)]
+
+
+def _short(low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The reverse: one value where all starts of a piece have the same."""
+    if not len(n):
+        return low, n
+    first = np.cumsum(n) - n
+    one = np.minimum.reduceat(low, first) == np.maximum.reduceat(low, first)
+    counts = np.where(one, 1, n)
+    return low[ranges(first, counts)], counts
 
 
 def suffix_order(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Rows in order of the suffixes of strings with terminators (at `ends`); ties in order of the strings."""
     n = len(text)
+    bits, i = max(1, (n - 1).bit_length()), np.arange(n, dtype=np.uint64)
     stop = ends[np.searchsorted(ends, np.arange(n))]
-    shifted = np.where(np.arange(n) == stop, 0, text.astype(np.uint64) + np.uint64(1))
+    mask, wide = np.uint64((1 << bits) - 1), np.uint64(bits)
+
+    def ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        both = key << wide | i  # ties go by place
+        both.sort()
+        order, key = (both & mask).astype(np.int64), both >> wide
+        rank = np.empty(n, np.uint64)
+        rank[order] = np.cumsum(np.append(False, key[1:] != key[:-1])) if n else 0
+        return rank, order
+
+    symbol = text.astype(np.uint64) + np.uint64(1)
+    symbol[ends] = 0
+    have = min(6, (64 - bits) // 9)
     key = np.zeros(n, np.uint64)
-    live = np.arange(n)
-    for k in range(6):  # nine bits a character
-        at = live + k
-        key = key << np.uint64(9) | np.where(at <= stop, shifted[np.minimum(at, n - 1)], np.uint64(0))
-    rank = np.unique(key, return_inverse=True)[1]
-    have, longest = 6, int((stop - np.arange(n)).max()) + 1 if n else 0
-    while have < longest:
-        later = rank[np.minimum(live + have, stop)]  # past its end: the terminator, the least of all
-        rank = np.unique(rank.astype(np.int64) * n + later, return_inverse=True)[1]
+    for k in range(have):  # nine bits a character; past its end: the terminator, the least of all
+        key = key << np.uint64(9) | symbol[np.minimum(np.arange(n) + k, stop)]
+    rank, order = ranked(key)
+    longest = int((stop - np.arange(n)).max()) + 1 if n else 0
+    while have < longest and int(rank[order[-1]]) < n - 1:
+        rank, order = ranked(rank << wide | rank[np.minimum(np.arange(n) + have, stop)])
         have *= 2
-    return np.argsort(rank, kind="stable")
+    return order
 
 
 class Shard:
-    """Suffix order and Burrows-Wheeler transform of some strings."""
+    """Suffix order of some strings, put together in `data`: `row` gives the row of the suffix from each place on, with
+    one place more for each string's terminator."""
 
-    def __init__(self, data: np.ndarray, sizes: np.ndarray, kind: type):
+    def __init__(self, data: np.ndarray, sizes: np.ndarray):
         n = int(sizes.sum()) + len(sizes)
         self.ends = np.cumsum(sizes + 1) - 1
         self.text = np.zeros(n, np.uint8)
@@ -245,140 +322,187 @@ class Shard:
         live[self.ends] = False
         self.text[live] = data
         self.order = suffix_order(self.text, self.ends)
-        starts = np.concatenate([[0], self.ends[:-1] + 1])
-        symbols = self.text.astype(kind) + (kind is np.uint16)
-        symbols[self.ends] = 0
-        before = np.arange(n) - 1
-        before[starts] = self.ends
-        self.bwt = symbols[before[self.order]]
-
-
-def interleave(transforms: list[np.ndarray], depth: int) -> np.ndarray:
-    """Which shard each row of the merged order comes from, in order of `depth` characters at least."""
-    flat = np.concatenate(transforms)
-    z = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
-    symbol = np.empty_like(flat)
-    ends = np.repeat(np.arange(len(transforms), dtype=np.uint8), [int((t == 0).sum()) for t in transforms])
-    for _ in range(depth):
-        symbol[np.argsort(z, kind="stable")] = flat  # the rows of a shard keep their own order
-        new = z[np.argsort(symbol, kind="stable")]
-        new[: len(ends)] = ends  # terminators are in order of their strings
-        if np.array_equal(new, z):
-            break
-        z = new
-    return z
-
-
-def least_ids(data: np.ndarray, sizes: np.ndarray, least: np.ndarray, size: int) -> np.ndarray:
-    """For each string start of each piece, the least id of all pieces that hold the string; pieces put together."""
-    kind = np.uint16 if (data == 0).any() else np.uint8  # 0 is the terminator's
+        self.row = np.empty(n, np.int64)
+        self.row[self.order] = np.arange(n)
+
+
+def interleave(data: np.ndarray, sizes: np.ndarray, shards: list[tuple[int, int]], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The merged order of all strings of `size` bytes in pieces put together, and the interval of each; shards: their
+    first and last pieces.
+
+    A string's row in a round is the suffix that begins `depth` bytes before the string's end.
+    """
     edge = np.concatenate([[0], np.cumsum(sizes)])
-    shards, at = [], 0
-    step = max(SHARD, int(edge[-1]) // 250 + 1)
-    while at < len(sizes):
-        to = max(at + 1, int(np.searchsorted(edge, edge[at] + step, side="right")) - 1)
-        shards.append((at, to, Shard(data[edge[at] : edge[to]], sizes[at:to], kind)))
-        at = to
-    z = interleave([s.bwt for _, _, s in shards], size)
-    # the merged order as positions in the pieces put together; a terminator has none
-    where, piece = [], []
-    for a, to, s in shards:
-        owner = np.searchsorted(s.ends, np.arange(len(s.text)))
-        pos = edge[a] + np.arange(len(s.text)) - owner
-        pos[s.ends] = -1
-        where.append(pos[s.order])
-        piece.append((a + owner)[s.order])
-    flat_where, flat_piece = np.concatenate(where), np.concatenate(piece)
-    row = np.empty(len(z), np.int64)
-    row[np.argsort(z, kind="stable")] = np.arange(len(z))  # of the shards' rows, in the merged order
-    pos, own = flat_where[row], flat_piece[row]
-    whole = (pos >= 0) & (edge[own + 1] - pos >= size)
-    pos, own = pos[whole], own[whole]
-    w = words64(data)
-    same = np.ones(max(0, len(pos) - 1), bool)
-    for k in [*range(0, size - 7, 8), size - 8]:
-        v = w[pos + k]
-        same &= v[1:] == v[:-1]
-    head = np.flatnonzero(np.append(True, ~same))
-    low = np.repeat(np.minimum.reduceat(least[own], head), np.diff(np.append(head, len(pos))))
-    out = np.full(len(data), LAST)
-    out[pos] = low
-    return out[ranges(edge[:-1], sizes - size + 1)]
-
-
-def merge(rows: DataFrame, size: int) -> DataFrame:
-    """Stored: for each unit and its pieces, by number, the least id of each string start (one value if all are equal)."""
-
-    def bucket(t: pa.Table) -> pa.Table:
-        raw = np.concatenate([_unpressed(x.as_py(), "u1")[0] for x in t.column("data")])
-        about = [_unpressed(x.as_py(), "u1", "<i8", "<u4") for x in t.column("about")]
-        count = [len(x[0]) for x in about]
-        sizes, ids, h = (np.concatenate([x[i] for x in about]) for i in range(3))
-        sizes = sizes.astype(np.int64) + size - 1
-        del about
-        edge = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        d = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(edge), pa.py_buffer(raw)]).dictionary_encode()
-        number = d.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        lead = np.zeros(len(d.dictionary), np.int64)
-        del d
-        lead[number[::-1]] = np.arange(len(number))[::-1]
-        low = np.full(len(lead), LAST)
-        np.minimum.at(low, number, ids)
-        by = np.argsort(h[lead], kind="stable")  # equal minimizers stay together
-        hs = h[lead][by]
-        alone = np.append(True, hs[1:] != hs[:-1]) & np.append(hs[1:] != hs[:-1], True)  # nothing to merge with
-        results: list = [None] * len(lead)
-        for j in by[alone].tolist():
-            results[j] = low[j : j + 1]
-        by, hs = by[~alone], hs[~alone]
-        total = np.cumsum(sizes[lead][by])
-        at = 0
+    merged = []
+    for a, z in shards:  # depth 0: the rows behind the strings, shard by shard in the shards' own order
+        own = Shard(data[edge[a] : edge[z]], sizes[a:z])
+        n = sizes[a:z] - size + 1
+        start = ranges(edge[a:z], n)
+        behind = start - edge[a] + np.repeat(np.arange(z - a), n) + size
+        merged.append(start[np.argsort(own.row[behind], kind="stable")])
+    at = np.concatenate(merged)
+    bits = max(1, (len(at) - 1).bit_length())
+    most = (64 - bits) // 8
+    whole = words64(data).byteswap()  # eight bytes from each place on, the first the highest
+    interval, depth, mask = np.zeros(len(at), np.int64), 0, np.uint64((1 << bits) - 1)
+    nth = np.arange(len(at), dtype=np.uint64)
+    while depth < size:
+        k = size % most if depth == 0 and size % most else min(most, size - depth)
+        depth += k
+        symbols = whole[at + (size - depth)] >> np.uint64(64 - 8 * k)
+        both = symbols << np.uint64(bits) | nth
+        both.sort()  # a stable distribution by symbols
+        order, symbols = (both & mask).astype(np.int64), both >> np.uint64(bits)
+        at, interval = at[order], interval[order]
+        part = np.append(False, (symbols[1:] != symbols[:-1]) | (interval[1:] != interval[:-1]))
+        interval = np.cumsum(part)
+    return at, interval
+
+
+def least_ids(data: np.ndarray, sizes: np.ndarray, low: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each string start of the pieces put together, the least of the ids (low, one a start) of all equal strings;
+    and numbers of the pieces, equal for equal ones. owner: the unit of each piece, in order."""
+    edge = np.concatenate([[0], np.cumsum(sizes)])
+    cut, at = [0], 0
+    for k in np.flatnonzero(owner[1:] != owner[:-1]).tolist():  # whole units make a shard, as many as fit
+        if edge[k + 1] - edge[at] >= SHARD:
+            at = k + 1
+            cut.append(at)
+    cut.append(len(sizes))
+    start, interval = interleave(data, sizes, list(zip(cut[:-1], cut[1:], strict=True)), size)
+    n = sizes - size + 1
+    number = np.zeros(len(data), np.int64)
+    number[ranges(edge[:-1], n)] = np.arange(len(low))
+    number = number[start]
+    head = np.flatnonzero(np.append(True, interval[1:] != interval[:-1]))
+    out, of = np.empty(len(low), np.int64), np.empty(len(low), np.int64)
+    out[number] = np.repeat(np.minimum.reduceat(low[number], head), np.diff(np.append(head, len(number))))
+    of[number] = interval
+    first = np.cumsum(n) - n
+    alike = np.column_stack([of[first], of[first + n - 1], n])  # the first and last strings cover a piece of n <= size
+    alike[n > size, 2] = -1 - np.flatnonzero(n > size)  # longer ones stay apart
+    return out, np.unique(alike, axis=0, return_inverse=True)[1].ravel()
+
+
+class Group:
+    """All pieces that rows of a bucket bring, and their least ids."""
+
+    def __init__(self, t: pa.Table, size: int):
+        about = [unpressed(x.as_py(), "u1", "<u4") for x in t.column("about")]
+        self.count = [len(x[0]) for x in about]
+        self.n = np.concatenate([x[0] for x in about]).astype(np.int64)
+        tag = np.concatenate([x[1] for x in about])
+        self.sizes = self.n + size - 1
+        self.raw = np.concatenate([unpressed(x.as_py(), "u1")[0] for x in t.column("data")])
+        least = [_unpacked(x.as_py()) for x in t.column("least")]
+        low = _spread(*(np.concatenate([x[i] for x in least]) for i in range(2)), self.n)
+        self.edge = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.first = np.cumsum(self.n) - self.n
+        owner = np.repeat(np.arange(len(self.count)), self.count)
+        self.low, self.alike = np.empty(len(low), np.int64), np.empty(len(owner), np.int64)
+        self.tag = tag
+        by = np.argsort(tag, kind="stable")  # pieces of a minimizer are merged together
+        total, tags = np.cumsum(self.sizes[by]), tag[by]
+        at = done = 0
         while at < len(by):
             to = int(np.searchsorted(total, (total[at - 1] if at else 0) + CHUNK, side="right"))
-            to = int(np.searchsorted(hs, hs[min(max(to, at + 1), len(by)) - 1], side="right"))
-            i = by[at:to]
-            got = least_ids(raw[ranges(edge[lead[i]], sizes[lead[i]])], sizes[lead[i]], low[i], size)
-            cut = np.concatenate([[0], np.cumsum(sizes[lead[i]] - size + 1)])
-            lo, hi = np.minimum.reduceat(got, cut[:-1]), np.maximum.reduceat(got, cut[:-1])
-            for k, j in enumerate(i.tolist()):
-                results[j] = lo[k : k + 1] if lo[k] == hi[k] else got[cut[k] : cut[k + 1]]
+            to = int(np.searchsorted(tags, tags[min(max(to, at + 1), len(by)) - 1], side="right"))
+            i = np.sort(by[at:to])  # in order of the rows, so of the units
+            got, alike = least_ids(self.raw[ranges(self.edge[i], self.sizes[i])], self.sizes[i], low[ranges(self.first[i], self.n[i])], owner[i], size)
+            self.low[ranges(self.first[i], self.n[i])] = got
+            self.alike[i] = alike + done
+            done += int(alike.max()) + 1
             at = to
-        out, done = [], 0
+
+    def rows(self, t: pa.Table) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(unit, first, which pieces) of each row."""
+        done = 0
         for k, (unit, first) in enumerate(zip(t.column("unit").to_pylist(), t.column("first").to_pylist(), strict=True)):
-            own = [results[j] for j in number[done : done + count[k]].tolist()]
-            out.append((unit, first, _pressed(np.array([len(x) for x in own], "u1")), _pressed(np.concatenate(own).astype("<i8"))))
-            done += count[k]
+            yield unit, first, np.arange(done, done + self.count[k])
+            done += self.count[k]
+
+    def least(self, i: np.ndarray) -> bytes:
+        return _packed(*_short(self.low[ranges(self.first[i], self.n[i])], self.n[i]))
+
+
+def merge(rows: DataFrame, n_units: int, size: int) -> DataFrame:
+    """Stored: for each row of pieces, the least id of each string start. rows: unit, bucket, first, data, about, least."""
+
+    def whole(t: pa.Table) -> pa.Table:
+        g, bucket = Group(t, size), t.column("bucket")[0].as_py()
+        return _table(LEAST, [(unit, bucket, first, g.least(i)) for unit, first, i in g.rows(t)])
+
+    if n_units <= LOT:
+        return stored(rows.groupBy("bucket").applyInArrow(whole, LEAST), "suffix-least")
+
+    def level(t: pa.Table) -> pa.Table:
+        """kind 0: one of equal pieces, for the next level; kind 1: which of them each row's pieces are."""
+        g, bucket, lot = Group(t, size), t.column("bucket")[0].as_py(), t.column("lot")[0].as_py()
+        lead, where = np.unique(g.alike, return_index=True, return_inverse=True)[1:]
+        lead = np.asarray(lead)
+        raw = g.raw[ranges(g.edge[lead], g.sizes[lead])]
+        out = [(0, bucket, lot, lot, 0, pressed(raw), pressed(g.n[lead].astype("u1"), g.tag[lead]), g.least(lead), None)]
+        return _table(LEVEL, out + [(1, bucket, lot, unit, first, None, None, None, pressed(where[i].astype("<i8"), g.n[i].astype("<i8"))) for unit, first, i in g.rows(t)])
+
+    lots = -(-n_units // LOT)
+    dealt = rows.withColumn("lot", F.pmod(F.xxhash64("unit"), F.lit(lots)))
+    half = stored(dealt.groupBy("bucket", "lot").applyInArrow(level, LEVEL), "suffix-level")
+    above = merge(half.filter("kind = 0").select("unit", "bucket", "first", "data", "about", "least"), lots, size)
+
+    def down(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return _table(LEAST, [])
+        values, counts = _unpacked(right.column("least")[0].as_py())
+        first = np.cumsum(counts) - counts
+        out = []
+        for unit, bucket, at, place in zip(*(left.column(c).to_pylist() for c in ("unit", "bucket", "first", "place")), strict=True):
+            which = unpressed(place, "<i8", "<i8")[0]
+            out.append((unit, bucket, at, _packed(values[ranges(first[which], counts[which])], counts[which])))
         return _table(LEAST, out)
 
-    return stored(rows.filter("kind = 0").groupBy("bucket").applyInArrow(bucket, LEAST), "suffix-least")
+    own = half.filter("kind = 1").select("bucket", "lot", "unit", "first", "place")
+    return stored(own.groupBy("bucket", "lot").cogroup(above.withColumnRenamed("unit", "lot").groupBy("bucket", "lot")).applyInArrow(down, LEAST), "suffix-least")
+
+
+def _covered(hit: np.ndarray, size: int) -> np.ndarray:
+    """Which bytes a string that starts at a hit covers."""
+    out = np.zeros(len(hit), bool)
+    for lo in range(0, len(hit), SLICE):
+        hi = min(len(hit), lo + SLICE)
+        sums = np.concatenate([[0], np.cumsum(hit[max(0, lo - size + 1) : hi], dtype=np.int32)])
+        i = np.arange(lo, hi) - max(0, lo - size + 1)
+        out[lo:hi] = sums[i + 1] > sums[np.maximum(i - size + 1, 0)]
+    return out
 
 
 def remove(rows: DataFrame, found: DataFrame, least: DataFrame, size: int) -> DataFrame:
     """Every document without the bytes covered: counts and the hash of what is left."""
-    side = least.select("unit", "first", "about", "least").unionByName(found.filter("kind = 1").select("unit", F.lit(-1).cast("long").alias("first"), "about", F.lit(None).cast("binary").alias("least")))
+    null = lambda t: F.lit(None).cast(t)
+    part = F.shiftright("unit", 32)
+    side = least.select(part.alias("part"), "unit", "first", null("binary").alias("about"), "least")
+    side = side.unionByName(found.filter("kind = 1").select("part", "unit", null("long").alias("first"), "about", null("binary").alias("least")))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        places, parts = None, {}
-        for first, about, low in zip(*(right.column(c).to_pylist() for c in ("first", "about", "least")), strict=True):
-            if first < 0:
-                places = _unpressed(about, "<i8", "u1", "<i4")
+        out, places, parts = [], {}, {}
+        for unit, first, about, low in zip(*(right.column(c).to_pylist() for c in ("unit", "first", "about", "least")), strict=True):
+            if first is None:
+                places[unit] = about
             else:
-                parts[first] = (_unpressed(about, "u1")[0].astype(np.int64), _unpressed(low, "<i8")[0])
-        for _, *stuff in zip(*(left.column(c).to_pylist() for c in _names(UNITS)), strict=True):
-            valid, ids, offs, data = _unit(*stuff)
-            gone = np.zeros(len(data), bool)
-            if places is not None and parts:
-                start, n, number = (x.astype(np.int64) for x in places)
-                sizes, values = (np.concatenate([parts[k][i] for k in sorted(parts)]) for i in range(2))
-                first = np.cumsum(sizes) - sizes
-                of = np.repeat(np.arange(len(start)), n)
-                nth = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-                low = values[first[number][of] + np.where(sizes[number][of] == 1, 0, nth)]
-                own = ids[np.searchsorted(offs, start, side="right") - 1]
-                hit = (start[of] + nth)[low < own[of]]
-                step = np.bincount(hit, minlength=len(data) + 1) - np.bincount(hit + size, minlength=len(data) + 1)
-                gone = np.cumsum(step)[: len(data)] > 0
+                parts.setdefault(unit, []).append((first, low))
+        for i, unit in enumerate(left.column("unit").to_pylist()):
+            valid, ids, offs, data = _unit(*(left.column(c)[i].as_py() for c in ("ids", "ends", "data")))
+            hit = np.zeros(len(data), bool)
+            if unit in places and unit in parts:
+                start, n, number = (x.astype(np.int64) for x in unpressed(places[unit], "<i8", "u1", "<i4"))
+                got = [_unpacked(low) for _, low in sorted(parts.pop(unit))]
+                values, counts = (np.concatenate([x[k] for x in got]) for k in range(2))
+                first, own = np.cumsum(counts) - counts, ids[np.searchsorted(offs, start, side="right") - 1]
+                for x in range(0, len(start), 1 << 16):  # some pieces at a time
+                    s, k, j = start[x : x + (1 << 16)], n[x : x + (1 << 16)], number[x : x + (1 << 16)]
+                    nth = ranges(np.zeros(len(k), np.int64), k)
+                    low = values[np.repeat(first[j], k) + nth * np.repeat(counts[j] > 1, k)]
+                    hit[(np.repeat(s, k) + nth)[low < np.repeat(own[x : x + (1 << 16)], k)]] = True
+            gone = _covered(hit, size) if hit.any() else hit
             opens = gone.copy()
             opens[1:] &= ~gone[:-1]
             heads = offs[:-1][offs[:-1] < offs[1:]]
@@ -390,12 +514,20 @@ def remove(rows: DataFrame, found: DataFrame, least: DataFrame, size: int) -> Da
                 out.append((int(ids[k]) if valid[k] else None, b - a, b - a - len(kept), int(opens[a:b].sum()), hashlib.sha256(kept.tobytes()).hexdigest()))
         return _table(RESULT, out)
 
-    return rows.groupBy("unit").cogroup(side.groupBy("unit")).applyInArrow(run, RESULT)
+    return rows.groupBy("part").cogroup(side.groupBy("part")).applyInArrow(run, RESULT)
 
 
+@tidy
 def dedup(docs: DataFrame, size: int = 50) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document; size: 32 to 250 bytes."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = units(docs, parts)
-    found = pieces(rows, shared(minimizers(rows, size, parts)), size, parts)
-    return remove(rows, found, merge(found, size), size)
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = -(-input_bytes(docs) // BUCKET_BYTES) or parts
+    name = f"tidemark_units_{uuid.uuid4().hex}"
+    try:
+        rows = units(docs, name)
+        found = pieces(rows, shared(minimizers(rows, size, buckets)), size, buckets)
+        least = merge(found.filter("kind = 0").select("unit", "bucket", "first", "data", "about", "least"), rows.count(), size)
+        return stored(remove(rows, found, least, size), "suffix-dedup", keep=True)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
