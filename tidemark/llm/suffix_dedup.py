@@ -42,10 +42,11 @@ GRAM = 24  # bytes whose hash picks the minimizer
 POSITION = 20  # low bits of a hash that don't count
 MOST = 200  # string starts of a piece
 SLICE = 4 << 20  # bytes whose minimizers are looked at, or whose pieces are put together, at a time
-UNIT_BYTES = 4 << 20  # of text in a unit
-BUCKET_BYTES = 16 << 20  # of input for each bucket
+UNIT_BYTES = 3 << 20  # of text in a unit
+BUCKET_BYTES = 8 << 20  # of input for each bucket
 SHARD = 32_000  # bytes of pieces in a shard, about
-CHUNK = 4 << 20  # bytes of pieces whose shards are merged at a time, about
+CHUNK = 1 << 18  # bytes of pieces whose shards are merged at a time, about
+ORDER = 48  # characters by which the suffixes of a shard are in order at least; what lies behind a string is shorter
 LOT = 256  # units whose pieces are merged in one node of the tree
 LAST = np.iinfo(np.int64).max
 
@@ -77,7 +78,7 @@ def _slice_runs(data: np.ndarray, size: int) -> np.ndarray:
     """The minimizer hash of the string at each start."""
     w = words64(data)
     h = np.zeros(len(data) - GRAM + 1, np.uint64)
-    for k, m in zip(range(0, GRAM, 8), (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9), strict=True):
+    for k, m in zip(range(0, GRAM, 8), (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5), strict=False):
         h ^= h >> np.uint64(29)
         h += w[k : k + len(h)] * np.uint64(m)
     h ^= h >> np.uint64(32)
@@ -249,6 +250,7 @@ def pieces(rows: DataFrame, common: DataFrame, size: int, buckets: int) -> DataF
                 about = pressed(n[at].astype("u1"), (h[at] >> np.uint64(8)).astype("<u4"))
                 out.append((0, part, unit, int(to[j[0]]), x, pressed(raw), about, _packed(least[j], np.ones(y - x, np.int64))))
             out.append((1, part, unit, None, None, None, pressed(first.astype("<i8"), n.astype("u1"), rank[number].astype("<i4")), None))
+        settle()
         return _table(PIECES, out)
 
     return stored(rows.groupBy("part").cogroup(common.groupBy("part")).applyInArrow(cut, PIECES), "suffix-pieces")
@@ -281,8 +283,9 @@ def _short(low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low[ranges(first, counts)], counts
 
 
-def suffix_order(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Rows in order of the suffixes of strings with terminators (at `ends`); ties in order of the strings."""
+def suffix_order(text: np.ndarray, ends: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """Rows in order of the suffixes of strings with terminators (at `ends`), or of their first `depth` characters; ties
+    in order of the strings."""
     n = len(text)
     bits, i = max(1, (n - 1).bit_length()), np.arange(n, dtype=np.uint64)
     stop = ends[np.searchsorted(ends, np.arange(n))]
@@ -298,12 +301,14 @@ def suffix_order(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
     symbol = text.astype(np.uint64) + np.uint64(1)
     symbol[ends] = 0
-    have = min(6, (64 - bits) // 9)
-    key = np.zeros(n, np.uint64)
-    for k in range(have):  # nine bits a character; past its end: the terminator, the least of all
-        key = key << np.uint64(9) | symbol[np.minimum(np.arange(n) + k, stop)]
+    wide_symbol = np.uint64(8 if n and int(symbol.max()) < 256 else 9)
+    have = (64 - bits) // int(wide_symbol)
+    key = symbol
+    for k in range(1, have):  # past its end: the terminator, the least of all
+        key = key << wide_symbol | symbol[np.minimum(np.arange(k, n + k), stop)]
     rank, order = ranked(key)
     longest = int((stop - np.arange(n)).max()) + 1 if n else 0
+    longest = longest if depth is None else min(longest, depth)
     while have < longest and int(rank[order[-1]]) < n - 1:
         rank, order = ranked(rank << wide | rank[np.minimum(np.arange(n) + have, stop)])
         have *= 2
@@ -314,14 +319,14 @@ class Shard:
     """Suffix order of some strings, put together in `data`: `row` gives the row of the suffix from each place on, with
     one place more for each string's terminator."""
 
-    def __init__(self, data: np.ndarray, sizes: np.ndarray):
+    def __init__(self, data: np.ndarray, sizes: np.ndarray, depth: int | None = None):
         n = int(sizes.sum()) + len(sizes)
         self.ends = np.cumsum(sizes + 1) - 1
         self.text = np.zeros(n, np.uint8)
         live = np.ones(n, bool)
         live[self.ends] = False
         self.text[live] = data
-        self.order = suffix_order(self.text, self.ends)
+        self.order = suffix_order(self.text, self.ends, depth)
         self.row = np.empty(n, np.int64)
         self.row[self.order] = np.arange(n)
 
@@ -335,11 +340,14 @@ def interleave(data: np.ndarray, sizes: np.ndarray, shards: list[tuple[int, int]
     edge = np.concatenate([[0], np.cumsum(sizes)])
     merged = []
     for a, z in shards:  # depth 0: the rows behind the strings, shard by shard in the shards' own order
-        own = Shard(data[edge[a] : edge[z]], sizes[a:z])
+        own = Shard(data[edge[a] : edge[z]], sizes[a:z], ORDER)
         n = sizes[a:z] - size + 1
         start = ranges(edge[a:z], n)
         behind = start - edge[a] + np.repeat(np.arange(z - a), n) + size
-        merged.append(start[np.argsort(own.row[behind], kind="stable")])
+        wide = max(1, (len(start) - 1).bit_length())
+        both = own.row[behind] << wide | np.arange(len(start))
+        both.sort()
+        merged.append(start[both & ((1 << wide) - 1)])
     at = np.concatenate(merged)
     bits = max(1, (len(at) - 1).bit_length())
     most = (64 - bits) // 8
@@ -400,6 +408,7 @@ class Group:
         self.first = np.cumsum(self.n) - self.n
         owner = np.repeat(np.arange(len(self.count)), self.count)
         self.low, self.alike = np.empty(len(low), np.int64), np.empty(len(owner), np.int64)
+        del about, least
         self.tag = tag
         by = np.argsort(tag, kind="stable")  # pieces of a minimizer are merged together
         total, tags = np.cumsum(self.sizes[by]), tag[by]
@@ -430,7 +439,10 @@ def merge(rows: DataFrame, n_units: int, size: int) -> DataFrame:
 
     def whole(t: pa.Table) -> pa.Table:
         g, bucket = Group(t, size), t.column("bucket")[0].as_py()
-        return _table(LEAST, [(unit, bucket, first, g.least(i)) for unit, first, i in g.rows(t)])
+        out = [(unit, bucket, first, g.least(i)) for unit, first, i in g.rows(t)]
+        del g
+        settle()
+        return _table(LEAST, out)
 
     if n_units <= LOT:
         return stored(rows.groupBy("bucket").applyInArrow(whole, LEAST), "suffix-least")
@@ -512,6 +524,7 @@ def remove(rows: DataFrame, found: DataFrame, least: DataFrame, size: int) -> Da
                 g = gone[a:b]
                 kept = data[a:b][~g] if g.any() else data[a:b]
                 out.append((int(ids[k]) if valid[k] else None, b - a, b - a - len(kept), int(opens[a:b].sum()), hashlib.sha256(kept.tobytes()).hexdigest()))
+        settle()
         return _table(RESULT, out)
 
     return rows.groupBy("part").cogroup(side.groupBy("part")).applyInArrow(run, RESULT)
