@@ -1,17 +1,18 @@
 """MinHash near-dedup with an LSH forest.
 
 Texts with equal shingle sets form a class at once (their sorted hashes' digest), so copies are never compared.
-Each class has a signature of TREES * DEPTH min-hashes; each tree sorts all classes by its own order of the
-signature. In a tree, classes that share DEPTH values are a region. Small regions give all their pairs; in dense
-ones the depth adapts: classes are compared to their longest-common-prefix neighbours in the deeper order first,
-and what is then still apart in such a region is compared across components, block by block, by an inverted index
-of the block's sets. Candidates are confirmed on full shingle sets, near each other in cells of bounded size; links become components by alternating
-star contraction. Links, components and candidates stay distributed; only region borders of range partitions, a
-few rows each, pass the driver.
+Each class has a signature of min-hashes; each tree sorts all classes by its own order of the signature, and knows the
+length of the common prefix of neighbours. Classes that share DEPTH values are a region. The depth adapts by region: a
+region of more than SMALL classes is cut at one value more, again and again, down to DEEPEST; a class alone at DEPTH
+goes up one value. All pairs of a region small enough are candidates, and neighbours in the order always are. Where
+even the deepest region is dense, classes still in different components are compared across them, block by block, by an
+inverted index of the block's sets. Candidates are confirmed on full shingle sets, near each other in cells of bounded
+size; links become components by alternating star contraction, in which vertices of very many links are joined apart.
+Links, components and candidates stay distributed; no more vertices than there are partitions are broadcast.
 
 Defined results: null, empty or blank texts have an empty set and are linked with nothing; one word is one shingle;
 rows with equal ids are one document; a null id is its own, kept, with a null component; an empty table gives no
-rows; extra columns are ignored.
+rows; extra columns are ignored; a very long text is one row of a batch.
 """
 
 from __future__ import annotations
@@ -24,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, batches, hash64, mix, ranges, stored, texts, utf8, word_array, word_hashes, word_spans
+from tidemark.llm.common import LOWER, SMALL_BATCHES, batches, hash64, mix, ranges, settings, stored, texts, tidy, utf8, word_array, word_hashes, word_spans
 
 TREES, DEPTH = 24, 4
 SIZE = TREES * DEPTH
+DEEPEST = 8  # values of a prefix at most
 SMALL = 6  # classes in a region whose pairs are all compared at once
-NEAR = 2  # neighbours compared in a larger one
+NEAR = 2  # neighbours compared in any region
+HUB = 1000  # links of a vertex that is joined apart, at least
 HELD = 16_384  # rows of one region held at a time
 CELL = 2000  # pairs confirmed in a cell
 BLOCK = 256  # classes outside the largest component of a dense neighbourhood held at a time
@@ -39,8 +42,9 @@ _XOR = _rng.integers(0, 1 << 32, SIZE, dtype=np.uint32)
 _MUL = _rng.integers(0, 1 << 32, SIZE, dtype=np.uint32) | np.uint32(1)
 
 SIGNED = "doc_id long, n long, digest binary, sig binary, text string"
-FOREST = "tree int, k1 long, k2 long, k3 long, n long, rep long"
+FOREST = "tree int, k1 long, k2 long, k3 long, k4 long, n long, rep long"
 PAIRS = "a long, b long, tree int, k1 long, k2 long"
+_FOREST = [c.split()[0] for c in FOREST.split(", ")]
 
 
 def shingle_sets(col: pa.Array, size: int = 2) -> list[np.ndarray]:
@@ -81,7 +85,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def signed(docs: DataFrame) -> DataFrame:
+def signed(docs: DataFrame, name: str) -> DataFrame:
     """(doc_id, n, digest, sig, text) of every row, in a table bucketed by doc_id: later joins don't shuffle the texts."""
     spark = docs.sparkSession
 
@@ -97,83 +101,114 @@ def signed(docs: DataFrame) -> DataFrame:
                 pa.array([next(sig).tobytes() if len(s) else None for s in sets], pa.binary()), b.column("text"),
             ], names=["doc_id", "n", "digest", "sig", "text"])
 
-    name, parts = f"tidemark_signed_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts(docs).mapInArrow(sign, SIGNED).write.format("parquet").option("compression", "zstd").bucketBy(parts, "doc_id").saveAsTable(name)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = texts(docs).mapInArrow(sign, SIGNED).repartition(parts, "doc_id")  # a file a bucket
+    with settings(spark, SMALL_BATCHES):
+        rows.write.format("parquet").option("compression", "zstd").bucketBy(parts, "doc_id").saveAsTable(name)
     return spark.table(name)
 
 
 def forest(classes: DataFrame) -> DataFrame:
-    """A row per class and tree: the first DEPTH min-hashes of its order (k1, k2) and two more (k3)."""
+    """A row per class and tree: the first DEEPEST min-hashes of its order, two in a number, the first the higher."""
 
     def keys(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = (np.arange(TREES)[:, None] * DEPTH + np.arange(DEEPEST)) % SIZE
         for b in it:
             if not b.num_rows:
                 continue
             sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, SIZE)
-            m = len(sig)
-            for lo in range(0, m, 500):
+            for lo in range(0, len(sig), 500):
                 s = sig[lo : lo + 500]
-                order = (np.arange(TREES)[:, None] * DEPTH + np.arange(DEPTH + 2)) % SIZE
-                k = np.ascontiguousarray(s[:, order]).view(np.int64).reshape(len(s) * TREES, 3)
-                of = np.repeat(np.arange(lo, lo + len(s)), TREES)
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(TREES, dtype=np.int32), len(s))), *(pa.array(np.ascontiguousarray(k[:, i])) for i in range(3)), b.column("n").take(pa.array(of)), b.column("rep").take(pa.array(of))], names=["tree", "k1", "k2", "k3", "n", "rep"])
+                v = s[:, order].reshape(len(s) * TREES, DEEPEST).astype(np.uint64)
+                k = (v[:, ::2] << np.uint64(32) | v[:, 1::2]).view(np.int64)
+                of = pa.array(np.repeat(np.arange(lo, lo + len(s)), TREES))
+                tree = pa.array(np.tile(np.arange(TREES, dtype=np.int32), len(s)))
+                yield pa.RecordBatch.from_arrays([tree, *(pa.array(np.ascontiguousarray(x)) for x in k.T), b.column("n").take(of), b.column("rep").take(of)], names=[c.split()[0] for c in FOREST.split(", ")])
 
     return classes.select("rep", "n", "sig").mapInArrow(keys, FOREST)
 
 
+def common_prefix(rows: np.ndarray) -> np.ndarray:
+    """How many values each row (tree, k1, k2, k3, k4, ...) shares with the next; -1 for rows of different trees."""
+    a, b = rows[:-1], rows[1:]
+    out = np.zeros(max(0, len(rows) - 1), np.int64)
+    same = a[:, 0] == b[:, 0]
+    for c in range(1, 1 + DEEPEST // 2):
+        half = a[:, c] >> 32 == b[:, c] >> 32
+        out += same * half
+        same = same & (a[:, c] == b[:, c])
+        out += same
+    out[a[:, 0] != b[:, 0]] = -1
+    return out
+
+
+def region_sizes(shared: np.ndarray, depth: int) -> np.ndarray:
+    """For each row, how many rows share `depth` values with it, one after another."""
+    cut = np.concatenate([[True], shared < depth])
+    first = np.flatnonzero(cut)
+    return np.diff(np.append(first, len(cut)))[np.cumsum(cut) - 1]
+
+
 def _pairs(rows: np.ndarray, percent: int) -> Iterator[tuple]:
-    """Candidates among rows (tree, k1, k2, k3, n, rep) in order; a dense region also gives (null, null, its key)."""
+    """Candidates among rows (tree, k1, k2, k3, k4, n, rep) in order; a dense region also gives (null, null, its key)."""
     if not len(rows):
         return
-    new = np.append(True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1))
-    first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(rows)))
-    sizes = size[np.cumsum(new) - 1]
+    shared = common_prefix(rows)
+    # the depth at which each row's region is small: DEPTH or deeper; one less for a row alone at DEPTH
+    depth = np.full(len(rows), DEPTH)
+    for d in range(DEPTH, DEEPEST + 1):
+        depth[(depth == d) & (region_sizes(shared, d) > SMALL)] = d + 1
+    alone = region_sizes(shared, DEPTH) == 1
+    least = shared.copy()
     for step in range(1, SMALL):
-        i = np.arange(len(rows) - step)
-        if not len(i):
+        if step > 1:  # shared by all rows between two that are `step` apart
+            least = np.minimum(least[:-1], shared[step - 1 :])
+        if not len(least):
             break
-        near = (np.cumsum(new)[step:] == np.cumsum(new)[:-step]) & ((sizes[:-step] <= SMALL) | (step <= NEAR))
-        a, b = rows[:-step][near], rows[step:][near]
-        fits = (100 * np.minimum(a[:, 4], b[:, 4]) >= percent * np.maximum(a[:, 4], b[:, 4])) & (a[:, 5] != b[:, 5])
-        for x, y in zip(a[fits], b[fits], strict=True):
-            yield (int(min(x[5], y[5])), int(max(x[5], y[5])), None, None, None)
-    for f in first[size > SMALL]:
-        yield (None, None, int(rows[f, 0]), int(rows[f, 1]), int(rows[f, 2]))
+        take = least >= np.maximum(depth[:-step], DEPTH)
+        if step <= NEAR:
+            take |= least >= DEPTH
+        if step == 1:
+            take |= (least == DEPTH - 1) & (alone[:-1] | alone[1:])
+        a, b = rows[:-step][take], rows[step:][take]
+        fits = (100 * np.minimum(a[:, 5], b[:, 5]) >= percent * np.maximum(a[:, 5], b[:, 5])) & (a[:, 6] != b[:, 6])
+        for x, y in zip(a[fits, 6].tolist(), b[fits, 6].tolist(), strict=True):
+            yield (min(x, y), max(x, y), None, None, None)
+    dense = np.flatnonzero(depth > DEEPEST)
+    for t, k1, k2 in np.unique(rows[dense, :3], axis=0).tolist():
+        yield (None, None, t, k1, k2)
 
 
 def candidates(rows: DataFrame, percent: int) -> DataFrame:
     """Stored pairs of neighbours in the sorted trees, and the keys of dense regions (a and b null)."""
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cols = ["tree", "k1", "k2", "k3", "n", "rep"]
-
-    def near(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, first, kinds = np.zeros((0, 6), np.int64), True, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-        names = [c.split()[0] for c in PAIRS.split(", ")]
+    names, kinds = [c.split()[0] for c in PAIRS.split(", ")], (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
 
-        def out(found):
-            found = list(found)
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True) if found else [()] * 5, kinds, strict=True)], names=names)
+    def out(found: Iterator[tuple]) -> pa.RecordBatch:
+        found = list(found)
+        columns = zip(*found, strict=True) if found else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
+    def near(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, 7), np.int64)
         for b in it:
             if not b.num_rows:
                 continue
-            held = np.concatenate([held, np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in cols])])
-            cut = np.flatnonzero((held[1:, :3] != held[:-1, :3]).any(axis=1))
+            held = np.concatenate([held, np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in _FOREST])])
+            cut = np.flatnonzero(common_prefix(held) < DEPTH - 1)
             last = int(cut[-1]) + 1 if len(cut) else 0
             if not last and len(held) > HELD:  # a long region: its end is carried over
-                last = len(held) - SMALL
                 yield out(_pairs(held, percent))
-                held = held[last:]
-                continue
-            if last:
+                held = held[-SMALL:]
+            elif last:
                 yield out(_pairs(held[:last], percent))
                 held = held[last:]
         yield out(_pairs(held, percent))
 
-    # whole regions share a partition; a dense one is streamed, never held
-    spread = rows.repartition(parts, "tree", "k1", "k2").sortWithinPartitions("tree", "k1", "k2", "k3", "rep")
+    # rows that share DEPTH - 1 values share a partition; a dense region is streamed, never held
+    first = F.shiftright("k2", 32)
+    spread = rows.repartition(parts, "tree", "k1", first).sortWithinPartitions(*_FOREST[:5], "rep")
     return stored(spread.mapInArrow(near, PAIRS), "near-candidates")
 
 
@@ -227,21 +262,33 @@ def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(x) + len(y) - shared)
 
 
+def _with_least(rows: DataFrame, n_rows: int) -> DataFrame:
+    """(u, v, m) of rows (u, v): m is the least of u and all its v.
+
+    Vertices with more than an even share of the rows (so fewer of them than there are partitions) are broadcast with
+    their m; the others are joined by u.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = max(HUB, -(-n_rows // parts))
+    low = rows.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c"))
+    hubs = F.broadcast(low.filter(F.col("c") > most).select("u", "m"))
+    few = rows.join(hubs.select("u"), "u", "left_anti").join(low.filter(F.col("c") <= most).select("u", "m"), "u")
+    return rows.join(hubs, "u").unionByName(few).select("u", "v", "m")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(v, component) of every linked vertex: large-star and small-star steps until nothing changes."""
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "near-edges")
-    last = None
+    last, n = None, edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        large = _with_least(both, 2 * n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        small = _with_least(large, n).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         edges = stored(small, "near-small")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == last:
             return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "v")
-        last = now
+        last, n = now, now[0]
 
 
 def across(rows: DataFrame, dense: DataFrame, links: DataFrame, comps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -316,9 +363,17 @@ class Postings:
         return np.bincount(self.of[ranges(self.start[at], self.count[at])], minlength=len(self.sizes))
 
 
+@tidy
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row."""
-    rows = signed(docs)
+    """doc_id, n_shingles, component_id, kept of every row, stored."""
+    name = f"tidemark_signed_{uuid.uuid4().hex}"
+    try:
+        return stored(_near_duplicates(signed(docs, name), percent), "near-duplicates", keep=True)
+    finally:
+        docs.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _near_duplicates(rows: DataFrame, percent: int) -> DataFrame:
     some = rows.filter("n > 0 and doc_id is not null")
     classes = stored(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "near-classes")
     trees = forest(classes)
