@@ -31,9 +31,12 @@ FROM dw LEFT JOIN n ON n.doc_id = dw.doc_id LEFT JOIN (SELECT v, min(c) AS c FRO
 """
 
 
+LEVELS = 8
+
+
 def url_filter() -> str:
-    """The same tree as the operator's, level by level."""
-    from tidemark.llm.url_filter import DOUBT, LEAST, LEVELS, PRIOR, REJECT, RULES, SHARE, Z
+    """The same tree as the operator's, level by level; paths of the tables it is run on have no more than LEVELS."""
+    from tidemark.llm.url_filter import DOUBT, LEAST, PRIOR, REJECT, RULES, Z
 
     kind = "CASE WHEN {s} IS NULL THEN '-' WHEN regexp_matches({s}, '^[0-9]+$') THEN 'n' WHEN regexp_matches({s}, '^[^0-9]+$') THEN 'w' ELSE 'x' END"
     rules = sorted(RULES, key=lambda r: -len(r[0] + r[1]))
@@ -49,14 +52,14 @@ def url_filter() -> str:
         seg = f"segs[{d + 1}]"
         out += [
             f"c{d} AS (SELECT template, {seg} AS seg, sum(n) AS n, sum(labelled) AS labelled, sum(bad) AS bad, array_to_string(list_sort(list(DISTINCT {kind.format(s=f'segs[{d + 2}]')})), '') AS make FROM t{d} WHERE {seg} IS NOT NULL GROUP BY 1, 2)",
-            f"l{d} AS (SELECT template, seg, n, labelled, bad, make || ':' || CAST(CAST(floor(4 * (bad + 0.5) / (labelled + 1)) AS BIGINT) AS VARCHAR) AS make FROM (SELECT *, sum(n) OVER (PARTITION BY template) AS total FROM c{d}) z WHERE n >= {LEAST} AND n >= {SHARE} * total)",
+            f"l{d} AS (SELECT template, seg, n, labelled, bad, make || ':' || CAST(CAST(floor(4 * (bad + 0.5) / (labelled + 1)) AS BIGINT) AS VARCHAR) AS make FROM c{d} WHERE n >= {LEAST})",
             f"j{d} AS (SELECT *, abs(bad - rate * labelled) <= {Z} * sqrt(labelled * rate * (1 - rate)) AS alike FROM (SELECT *, CAST(sum(bad) OVER w AS DOUBLE) / greatest(sum(labelled) OVER w, 1) AS rate FROM l{d} WINDOW w AS (PARTITION BY template, make)) z)",
             f"m{d} AS (SELECT template, make, min(seg) AS first, count(*) AS k FROM j{d} WHERE alike GROUP BY template, make)",
             f"n{d} AS (SELECT j{d}.template, seg, CASE WHEN alike AND k > 1 THEN '{{' || first || ':' || j{d}.make || '}}' ELSE seg END AS name FROM j{d} LEFT JOIN m{d} ON m{d}.template = j{d}.template AND m{d}.make = j{d}.make)",
             f"t{d + 1} AS (SELECT host, path, n, labelled, bad, segs, t{d}.template || CASE WHEN {seg} IS NULL THEN '' ELSE '/' || coalesce(name, '*') END AS template FROM t{d} LEFT JOIN n{d} ON n{d}.template = t{d}.template AND n{d}.seg = {seg})",
         ]
     out += [
-        f"tree AS (SELECT host, path, labelled, bad, CASE WHEN len(segs) > {LEVELS} THEN template || '/**' ELSE template END AS template FROM t{LEVELS})",
+        f"tree AS (SELECT host, path, labelled, bad, template FROM t{LEVELS})",
         f"leaf AS (SELECT template, sum(labelled) > 0 AND (sum(bad) + {PRIOR} * (SELECT sum(bad) / (sum(labelled) + {DOUBT}) FROM tree)) / (sum(labelled) + {PRIOR}) >= {REJECT} AS rejected FROM tree GROUP BY template)",
     ]
     return f"WITH {', '.join(out)} SELECT page_id, host, path, {name} AS rule, coalesce({verdict}, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict, template FROM base JOIN tree USING (host, path) JOIN leaf USING (template)"
