@@ -47,7 +47,7 @@ BUCKET_BYTES = 8 << 20  # of input for each bucket
 SHARD = 32_000  # bytes of pieces in a shard, about
 CHUNK = 1 << 18  # bytes of pieces whose shards are merged at a time, about
 ORDER = 48  # characters by which the suffixes of a shard are in order at least; what lies behind a string is shorter
-LOT = 256  # units whose pieces are merged in one node of the tree
+LOT = 4096  # units whose pieces are merged in one node of the tree
 LAST = np.iinfo(np.int64).max
 
 UNITS = "part long, unit long, ids binary, ends binary, data binary"
