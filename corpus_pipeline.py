@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import contamination, near_dup, packing, quality, secret_scan
-from tidemark.llm.common import stored
+from tidemark.llm.common import scratch, stored
 from tidemark.llm.subwords import tokenizer_path
 
 
@@ -69,7 +69,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with scratch(spark):  # the stages' tables go when the last is written
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        for name, stage in STAGES[:-1]:
+            docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        return stored(STAGES[-1][1](spark, docs, sf_dir), "pipeline", keep=True)
