@@ -44,6 +44,7 @@ MOST = 200  # string starts of a piece
 SLICE = 4 << 20  # bytes whose minimizers are looked at, or whose pieces are put together, at a time
 UNIT_BYTES = 3 << 20  # of text in a unit
 BUCKET_BYTES = 8 << 20  # of input for each bucket
+TABLE_BYTES = 32 << 20  # of input for each bucket of the units' table, at most
 SHARD = 32_000  # bytes of pieces in a shard, about
 CHUNK = 1 << 18  # bytes of pieces whose shards are merged at a time, about
 ORDER = 48  # characters by which the suffixes of a shard are in order at least; what lies behind a string is shorter
@@ -139,7 +140,7 @@ def units(docs: DataFrame, name: str) -> DataFrame:
     """The documents in units of some MB, compressed, in a table bucketed by the task that read them, a file a task: what
     joins them later is not shuffled."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs) // TABLE_BYTES))
 
     def gather(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, b in enumerate(gathered(it, UNIT_BYTES)):
