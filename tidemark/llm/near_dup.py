@@ -262,33 +262,40 @@ def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(x) + len(y) - shared)
 
 
-def _with_least(rows: DataFrame, n_rows: int) -> DataFrame:
+def _with_least(rows: DataFrame, hub: int | None) -> DataFrame:
     """(u, v, m) of rows (u, v): m is the least of u and all its v.
 
-    Vertices with more than an even share of the rows (so fewer of them than there are partitions) are broadcast with
-    their m; the others are joined by u.
+    hub: vertices of more rows than that, fewer than there are partitions, are broadcast with their m; the others are
+    joined by u. None: there are no such vertices.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    most = max(HUB, -(-n_rows // parts))
     low = rows.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c"))
-    hubs = F.broadcast(low.filter(F.col("c") > most).select("u", "m"))
-    few = rows.join(hubs.select("u"), "u", "left_anti").join(low.filter(F.col("c") <= most).select("u", "m"), "u")
+    if hub is None:
+        return rows.join(low.select("u", "m"), "u")
+    hubs = F.broadcast(low.filter(F.col("c") > hub).select("u", "m"))
+    few = rows.join(hubs.select("u"), "u", "left_anti").join(low.filter(F.col("c") <= hub).select("u", "m"), "u")
     return rows.join(hubs, "u").unionByName(few).select("u", "v", "m")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(v, component) of every linked vertex: large-star and small-star steps until nothing changes."""
+    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "near-edges")
-    last, n = None, edges.count()
+
+    def state() -> tuple:
+        """How many edges there are, the most that a vertex is the least end of, and a checksum."""
+        at = edges.groupBy("v").agg(F.count("*").alias("c"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"))
+        return tuple(at.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.max("c"), F.lit(0)), F.sum("s")).first())
+
+    now = state()
     while True:
+        share = max(HUB, -(-2 * now[0] // parts))  # of an even split, so fewer vertices than partitions have more
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both, 2 * n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        small = _with_least(large, n).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        large = _with_least(both, share if now[1] > share else None).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        small = _with_least(large, None).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         edges = stored(small, "near-small")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        last, now = now, state()
         if now == last:
             return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "v")
-        last, n = now, now[0]
 
 
 def across(rows: DataFrame, dense: DataFrame, links: DataFrame, comps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
