@@ -177,21 +177,17 @@ class Attention:
         da -= np.einsum("ijk,ijk->ij", da, a)[..., None]
         da *= a
         g["R"][:] = da.sum(0)
-        dk = da.transpose(0, 2, 1) @ q
-        # by place: for the query, the key, the value and the bigram; then summed by class through a product with 0 and 1,
-        # much faster than adding rows one by one
-        each = np.zeros((nb + 1, BLOCK, 3 * WIDTH + CLASSES), np.float32)
-        each[1:, :, :WIDTH] = da @ k
-        for lo, d in ((WIDTH, dk), (2 * WIDTH, dv)):
-            each[:-1, :, lo : lo + WIDTH] = d[:, :BLOCK]
-            each[1:, :, lo : lo + WIDTH] += d[:, BLOCK:]
-        each[1:, :, 3 * WIDTH :] = z.reshape(nb, BLOCK, CLASSES)
+        # rows are summed by class through products with 0 and 1, much faster than adding them one by one; the keys of a
+        # block lie behind those of the block before
         hot = np.zeros((rows.size, CLASSES + 1), np.float32)
         hot[np.arange(rows.size), rows.ravel()] = 1
-        sums = hot.T @ each.reshape(rows.size, -1)
-        g["B"][:] = sums[:, 3 * WIDTH :]
-        for i, (name, scale) in enumerate((("Q", np.float32(WIDTH**-0.5)), ("K", np.float32(1)), ("V", np.float32(1)))):
-            d = sums[:, i * WIDTH : (i + 1) * WIDTH] * scale
+        own, before = hot[BLOCK:].T, hot[:-BLOCK].T
+        g["B"][:] = own @ z
+        keys, values = da.transpose(0, 2, 1) @ q, dv
+        flat = lambda x: np.ascontiguousarray(x).reshape(-1, WIDTH)
+        both = lambda x: before @ flat(x[:, :BLOCK]) + own @ flat(x[:, BLOCK:])
+        scale = np.float32(WIDTH**-0.5)
+        for name, d in (("Q", own @ (da @ k).reshape(-1, WIDTH) * scale), ("K", both(keys)), ("V", both(values))):
             g[name][:] = w["E"].T @ d
             g["E"][:] += d @ w[name].T
         return loss, out
