@@ -150,15 +150,7 @@ def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     path = place(spark, "tokens")
     write(docs, path, tokenizer, end_id)
     found = read(spark, path)
-    sizes = spark.read.schema(BLOCK).parquet(f"{path}/blocks").select("part", "first", "lengths")
-
-    def total(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            if b.num_rows:
-                ends = [f + int(np.abs(np.frombuffer(x, "<i8")).sum()) for f, x in zip(b.column("first").to_pylist(), b.column("lengths").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("part"), pa.array(ends, pa.int64())], names=["part", "n"])
-
-    rows = stored(sizes.mapInArrow(total, "part int, n long"), "token-parts").groupBy("part").agg(F.max("n").alias("n")).orderBy("part").collect()
+    rows = found.groupBy("part").agg(F.max(F.col("start") + F.col("n_tokens")).alias("n")).orderBy("part").collect()
     sums = np.concatenate([[0], np.cumsum([r["n"] for r in rows])]).astype(int).tolist()
     base = spark.createDataFrame([(r["part"], b) for r, b in zip(rows, sums, strict=False)], "part int, base long")
     return found.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
