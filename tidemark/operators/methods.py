@@ -128,18 +128,21 @@ def ideal_equal_weight_splits(c: Context) -> DataFrame:
     return combine(_special(c, c.logits, "IdealEqualWeightSplits").select(*_columns(c)).unionByName(groups.select(*_columns(c))), c.keys)
 
 
-def hybrid(c: Context, grouped: DataFrame, name: str, top: int, mode: str) -> DataFrame:
-    """Attention over ranked groups. grouped: logits of candidates with gid, 0 the best.
+def hybrid(c: Context, grouped: DataFrame, name: str) -> DataFrame:
+    """Attention over ranked groups, for all `modes` and `top_k_sweep` in one plan. grouped: logits of candidates with gid, 0 the best.
 
-    topk: special keys and the members of the first `top` groups. hybrid: the other groups too, one item each.
+    topk: special keys and the members of the first k groups. hybrid: the other groups too, one item each.
     Queries without candidates have no row: their output is zero.
     """
-    rows = grouped if mode == "hybrid" else grouped.filter(F.col("gid") < top)
-    item = F.when(F.col("gid") < top, F.concat(F.lit("c"), F.col("pos").cast("string"))).otherwise(F.concat(F.lit("g"), F.col("gid").cast("string")))
-    some = grouped.select(*c.keys, "qpos").distinct()
-    special = c.logits.filter("special").join(some, [*c.keys, "qpos"], "left_semi").withColumn("item", F.concat(F.lit("s"), F.col("pos").cast("string")))
-    cols = [*c.keys, "qpos", "item", "logit", "v"]
-    return combine(named(special.select(*cols).unionByName(rows.withColumn("item", item).select(*cols)), name, F.lit(0)), c.keys)
+    swept = [(m, k) for m in c.options.get("modes", ["hybrid"]) for k in c.options.get("top_k_sweep", [5])]
+    settings = [F.struct(F.lit(f"{name}-{m}-k{k}").alias("method"), F.lit(m == "hybrid").alias("rest"), F.lit(k).alias("top")) for m, k in swept]
+    cols = [*c.keys, "qpos", "pos", "gid", "logit", "v"]
+    special = c.logits.filter("special").withColumn("gid", F.lit(-1).cast("long"))
+    rows = special.select(*cols).unionByName(grouped.select(*cols)).withColumn("last", F.max("gid").over(by_query(c.keys))).filter("last >= 0")
+    rows = rows.withColumn("s", F.explode(F.array(*settings))).select(*cols, "s.*").filter("rest OR gid < top")
+    item = F.when(F.col("gid") < 0, F.concat(F.lit("s"), F.col("pos").cast("string"))).when(F.col("gid") < F.col("top"), F.concat(F.lit("c"), F.col("pos").cast("string")))
+    item = F.coalesce(item, F.concat(F.lit("g"), F.col("gid").cast("string")))
+    return combine(rows.withColumn("item", item).withColumn("requested_budget", F.lit(0).cast("long")), c.keys)
 
 
 def kmeans_groups(c: Context, labels: DataFrame) -> DataFrame:
@@ -161,7 +164,7 @@ def kmeans_attention(c: Context) -> DataFrame:
     n = c.options.get("n_clusters", 256)
     labels = c.options.get("labels")
     grouped = kmeans_groups(c, cluster(c.vectors, n, "k", c.seed, c.keys) if labels is None else labels)
-    return _all([hybrid(c, grouped, f"KMeans-C{n}-{mode}-k{k}", k, mode) for mode in c.options.get("modes", ["hybrid"]) for k in c.options.get("top_k_sweep", [5])])
+    return hybrid(c, grouped, f"KMeans-C{n}")
 
 
 def multiq_groups(c: Context, centres: DataFrame, n_groups: int) -> DataFrame:
@@ -186,7 +189,7 @@ def multiq_attention(c: Context) -> DataFrame:
         labels = cluster(every, q, "q", c.seed, c.keys)
         centres = every.join(labels, [*c.keys, "pos"]).groupBy(*c.keys, "cid").agg(vector_mean("q").alias("centre"))
     grouped = multiq_groups(c, centres, g)
-    return _all([hybrid(c, grouped, f"MultiQ-Q{q}-G{g}-{mode}-k{k}", k, mode) for mode in c.options.get("modes", ["hybrid"]) for k in c.options.get("top_k_sweep", [5])])
+    return hybrid(c, grouped, f"MultiQ-Q{q}-G{g}")
 
 
 def _all(frames: list[DataFrame]) -> DataFrame:
